@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ratio
 from ..functions.series import Axis, Series, ewm_reach, span, wilder
 from .catalogue import dotted, family
-from .volume import typical
 
 
 def true_range(a: Axis) -> Column:
@@ -89,10 +88,11 @@ KELTNER_WINDOWS, KELTNER_WIDTHS = (10, 20, 30), (1.5, 2.0, 2.5)
 def keltner_lines(a: Axis, n: int) -> tuple[Column, Column, Column]:
     """Middle, upper and lower line of the original form (means of three price mixes)."""
     h, low, close = F.col("high"), F.col("low"), F.col("close")
+    third = F.lit(3.0)  # divided last, so that sums of whole prices stay exact
     return (
-        a.mean(typical(), n),
-        a.mean((4 * h - 2 * low + close) / F.lit(3.0), n),
-        a.mean((-2 * h + 4 * low + close) / F.lit(3.0), n),
+        a.mean(h + low + close, n) / third,
+        a.mean(4 * h - 2 * low + close, n) / third,
+        a.mean(-2 * h + 4 * low + close, n) / third,
     )
 
 
