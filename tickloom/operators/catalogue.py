@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -18,14 +18,15 @@ class Family:
     build: Callable[[Series], Series]
     reach: int  # rows of history that a value depends on (to double precision)
     suite: bool = False
+    grouped: bool = False  # needs a grouped map over the rows
 
 
 CATALOGUE: dict[str, Family] = {}
 
 
-def family(name: str, columns: Sequence[str], reach: int = 1, suite: bool = False):
+def family(name: str, columns: Sequence[str], reach: int = 1, suite: bool = False, grouped: bool = False):
     def register(fn: Callable[..., Series]) -> Callable[..., Series]:
-        CATALOGUE[name] = Family(name, tuple(columns), fn, reach, suite)
+        CATALOGUE[name] = Family(name, tuple(columns), fn, reach, suite, grouped)
         return fn
 
     return register
@@ -53,12 +54,66 @@ def lookback_of(names: Sequence[str] | None = None) -> int:
     return max(f.reach for f in families(names))
 
 
+@dataclass(frozen=True)
+class Recorder:
+    """Stands in for a series and notes the steps a family takes."""
+
+    axis: Axis
+    steps: tuple[tuple[str, dict], ...] = ()
+
+    def add(self, cols: Mapping) -> Recorder:
+        return self._note("add", cols)
+
+    def ewm(self, specs: Mapping) -> Recorder:
+        return self._note("scan", specs)
+
+    def fold(self, specs: Mapping) -> Recorder:
+        return self._note("fold", specs)
+
+    def drop(self, *names: str) -> Recorder:
+        return self
+
+    def _note(self, kind: str, cols: Mapping) -> Recorder:
+        return replace(self, steps=(*self.steps, (kind, dict(cols))))
+
+
 def apply_families(s: Series, names: Sequence[str] | None = None) -> Series:
-    for f in families(names):
-        s = f.build(s)
+    """Runs the families side by side, level by level.
+
+    The steps of all families are noted first. Then every family moves on through its plain
+    columns until it waits for a scan or a running fold, and those are taken for all families
+    at once. The plan has as many window passes as the deepest family, not as all together.
+    """
+    wanted = families(names)
+    queues = [list(f.build(Recorder(s.axis)).steps) for f in wanted if not f.grouped]
+    have: set[str] = set(s.df.columns)
+    while any(queues):
+        waiting = {q[0][0] for q in queues if q}
+        kind = next(k for k in ("add", "fold", "scan") if k in waiting)
+        level: dict[str, object] = {}
+        for q in queues:
+            if q and q[0][0] == kind:
+                level |= {n: e for n, e in q.pop(0)[1].items() if n not in have}
+        have |= set(level)
+        if level:
+            s = {"add": s.add, "fold": s.fold, "scan": s.ewm}[kind](level)
+    for f in wanted:
+        if f.grouped:
+            s = f.build(s)
     return s
 
 
+def helper_clashes(names: Sequence[str] | None = None) -> dict[str, set[str]]:
+    """Helper columns that two families define differently (must be empty)."""
+    seen: dict[str, set[str]] = {}
+    for f in families(names):
+        if not f.grouped:
+            for _kind, cols in f.build(Recorder(Axis())).steps:
+                for n, e in cols.items():
+                    seen.setdefault(n, set()).add(str(e))
+    return {n: v for n, v in seen.items() if len(v) > 1}
+
+
 def build_features(
     bars: DataFrame,
     names: Sequence[str] | None = None,

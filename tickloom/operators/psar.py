@@ -133,7 +133,7 @@ PSAR_SETS = {
 }
 
 
-@family("psar_grid", list(PSAR_SETS), 2000)
+@family("psar_grid", list(PSAR_SETS), 2000, grouped=True)
 def psar_grid(s: Series) -> Series:
     s = psar_into(s, PSAR_SETS)
     return s.drop(*[f"{n}__up" for n in PSAR_SETS])

@@ -85,8 +85,8 @@ def ta_mfi(s: Series) -> Series:
 @suite("ta_nvi", ["volume_nvi"], 2)
 def ta_nvi(s: Series) -> Series:
     a = s.axis
-    s = s.add({"_step": F.when(truth(F.col("volume") < a.lag("volume")), 1 + a.change("close")).otherwise(1.0)})
-    s = s.fold({"_nvi": ("product", F.col("_step"))})
+    s = s.add({"_nvi_step": F.when(truth(F.col("volume") < a.lag("volume")), 1 + a.change("close")).otherwise(1.0)})
+    s = s.fold({"_nvi": ("product", F.col("_nvi_step"))})
     return s.add({"volume_nvi": F.lit(1000.0) * F.col("_nvi")})
 
 
@@ -214,15 +214,15 @@ def ta_ichimoku(s: Series) -> Series:
 
 def _stoch_of(s: Series, x: str, out: str, n: int) -> Series:
     """Stochastic of a single line; a frame without range repeats the last value."""
-    s = s.add({"_raw": stochastic(s.axis, n, x, x, x)})
-    return s.add({out: F.last("_raw", ignorenulls=True).over(s.axis.running)})
+    s = s.add({f"_raw{x}": stochastic(s.axis, n, x, x, x)})
+    return s.add({out: F.last(f"_raw{x}", ignorenulls=True).over(s.axis.running)})
 
 
 @suite("ta_stc", ["trend_stc"], ewm_reach(2 / 51) + 2 * ewm_reach(0.5) + 20)
 def ta_stc(s: Series) -> Series:
     s = s.ewm({"_f": span("close", 23), "_w": span("close", 50)}).add({"_line": F.col("_f") - F.col("_w")})
-    s = _stoch_of(s, "_line", "_k1", 10).ewm({"_d1": span("_k1", 3)})
-    return _stoch_of(s, "_d1", "_k2", 10).ewm({"trend_stc": span("_k2", 3)})
+    s = _stoch_of(s, "_line", "_k1", 10).ewm({"_stc_d": span("_k1", 3)})
+    return _stoch_of(s, "_stc_d", "_k2", 10).ewm({"trend_stc": span("_k2", 3)})
 
 
 @suite("ta_adx", ["trend_adx", "trend_adx_pos", "trend_adx_neg"], 2 * ewm_reach(1 / 14) + 30)
@@ -254,7 +254,7 @@ def ta_aroon(s: Series) -> Series:
 PSAR_COLUMNS = ["trend_psar_up", "trend_psar_down", "trend_psar_up_indicator", "trend_psar_down_indicator"]
 
 
-@suite("ta_psar", PSAR_COLUMNS, 2000)
+@family("ta_psar", PSAR_COLUMNS, 2000, suite=True, grouped=True)
 def ta_psar(s: Series) -> Series:
     s = psar_into(s, {"_stop": (0.02, 0.2)})
     up = F.col("_stop__up")
@@ -344,27 +344,27 @@ def ta_kama(s: Series) -> Series:
     """
     a, n = s.axis, 10
     slow, fast = 2 / 31, 2 / 3
-    s = s.add({"_step": F.abs(a.diff("close")), "_net": F.abs(a.diff("close", n)), "_rn": F.row_number().over(a.spec) - 1})
-    share = F.coalesce(ratio("_net", F.sum("_step").over(a.rows(n))), F.lit(0.0))
+    s = s.add({"_ka_step": F.abs(a.diff("close")), "_ka_net": F.abs(a.diff("close", n)), "_ka_row": F.row_number().over(a.spec) - 1})
+    share = F.coalesce(ratio("_ka_net", F.sum("_ka_step").over(a.rows(n))), F.lit(0.0))
     s = s.add(
-        {"_sc": F.when(F.col("_net").isNotNull(), F.pow(share * F.lit(fast - slow) + F.lit(slow), 2)),
-         "_blk": F.floor(F.col("_rn") / KAMA_BLOCK)}
+        {"_ka_sc": F.when(F.col("_ka_net").isNotNull(), F.pow(share * F.lit(fast - slow) + F.lit(slow), 2)),
+         "_ka_block": F.floor(F.col("_ka_row") / KAMA_BLOCK)}
     )
-    live, first = F.col("_rn") >= n, F.col("_rn") == n
-    inner = Window.partitionBy(*a.keys, "_blk").orderBy(*a.order).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.add({"_log": F.sum(F.when(F.col("_rn") > n, F.ln(F.lit(1.0) - F.col("_sc"))).otherwise(0.0)).over(inner)})
-    weight = F.when(first, 1.0).when(live, F.col("_sc")).otherwise(0.0)
-    s = s.add({"_part": F.exp("_log") * F.sum(weight * F.col("close") * F.exp(-F.col("_log"))).over(inner)})
+    live, first = F.col("_ka_row") >= n, F.col("_ka_row") == n
+    inner = Window.partitionBy(*a.keys, "_ka_block").orderBy(*a.order).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.add({"_ka_log": F.sum(F.when(F.col("_ka_row") > n, F.ln(F.lit(1.0) - F.col("_ka_sc"))).otherwise(0.0)).over(inner)})
+    weight = F.when(first, 1.0).when(live, F.col("_ka_sc")).otherwise(0.0)
+    s = s.add({"_ka_part": F.exp("_ka_log") * F.sum(weight * F.col("close") * F.exp(-F.col("_ka_log"))).over(inner)})
     hops = math.ceil(KAMA_REACH / KAMA_BLOCK)
-    blocks = Window.partitionBy(*a.keys).orderBy("_blk")
-    end = F.struct(F.col("_part").alias("p"), F.exp("_log").alias("d"))
-    s = s.add({f"_end{h}": F.max_by(end, "_rn").over(blocks.rangeBetween(-h, -h)) for h in range(1, hops + 1)})
+    blocks = Window.partitionBy(*a.keys).orderBy("_ka_block")
+    end = F.struct(F.col("_ka_part").alias("p"), F.exp("_ka_log").alias("d"))
+    s = s.add({f"_ka_end{h}": F.max_by(end, "_ka_row").over(blocks.rangeBetween(-h, -h)) for h in range(1, hops + 1)})
     carry, keep = F.lit(0.0), F.lit(1.0)
     for h in range(1, hops + 1):
-        carry = carry + F.coalesce(F.col(f"_end{h}.p"), F.lit(0.0)) * keep
-        keep = keep * F.coalesce(F.col(f"_end{h}.d"), F.lit(1.0))
-    return s.add({"momentum_kama": F.when(live, F.col("_part") + F.exp("_log") * carry)}).drop(
-        *[f"_end{h}" for h in range(1, hops + 1)]
+        carry = carry + F.coalesce(F.col(f"_ka_end{h}.p"), F.lit(0.0)) * keep
+        keep = keep * F.coalesce(F.col(f"_ka_end{h}.d"), F.lit(1.0))
+    return s.add({"momentum_kama": F.when(live, F.col("_ka_part") + F.exp("_ka_log") * carry)}).drop(
+        *[f"_ka_end{h}" for h in range(1, hops + 1)]
     )
 
 

@@ -55,9 +55,9 @@ def adx_into(s: Series, n: int, adx: str, pos: str, neg: str) -> Series:
     s = s.add({pos: di("_s_pdm"), neg: di("_s_ndm")})
     gap, both = F.abs(F.col(pos) - F.col(neg)), F.col(pos) + F.col(neg)
     s = s.add(
-        {"_dx": F.when(both.isNotNull(), F.coalesce(ratio(F.lit(100.0) * gap, both), F.lit(0.0)))}
+        {f"_dx_{adx}": F.when(both.isNotNull(), F.coalesce(ratio(F.lit(100.0) * gap, both), F.lit(0.0)))}
     )
-    return s.ewm({adx: wilder("_dx", n, seed="mean")})
+    return s.ewm({adx: wilder(f"_dx_{adx}", n, seed="mean")})
 
 
 @family("adx", ["adx", "adx_pos", "adx_neg"], 2 * ewm_reach(1 / 14) + 30)

@@ -1,0 +1,6 @@
+"""Registered queries and the SQL that checks them."""
+
+
+def load_queries() -> None:
+    """Import every module that registers queries."""
+    from . import market_queries, registry  # noqa: F401

@@ -59,6 +59,12 @@ def supplier_bars(spark: SparkSession, sf: str) -> DataFrame:
     return daily(supplier_trades(spark, sf))
 
 
+def calm_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The brand bars on an index scale, so that daily returns stay within some percent."""
+    level = {n: F.floor(F.col(n) / 10).cast("double") + F.lit(1e7) for n in ("open", "high", "low", "close")}
+    return bars(spark, sf).withColumns(level)
+
+
 _BOUNDS: dict[tuple[str, str], int] = {}
 
 
