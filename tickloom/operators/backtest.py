@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.asof import asof_join
 from ..functions.scalars import flag, ratio, truth
 from ..functions.series import Axis, Series, as_series
+from ..session import cut
 
 YEAR = math.sqrt(252)
 
@@ -206,6 +208,7 @@ def _with_var(s: Series, by: list[str], q: float = 0.05) -> DataFrame:
         # the rows of a group already sit together, so this costs no further exchange
         whole = Axis(tuple(by), s.axis.order).whole
         return rows.withColumn("_var", F.percentile("strategy_returns", F.lit(q)).over(whole))
+    rows = cut(rows)  # read several times below
     return rows.join(exact_percentile(rows, by, "strategy_returns", q).withColumnRenamed("value", "_var"), by, "left")
 
 
@@ -215,8 +218,6 @@ def exact_percentile(df: DataFrame, by: Sequence[str], x: str, q: float, bins: i
     Values are counted in equal-width bins first (map-side), which tells the bins that hold
     the two ranks around the percentile; only their rows are sorted, by (group, bin).
     """
-    from pyspark.sql.window import Window
-
     by = list(by)
     data = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x"))
     span = data.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("_x").alias("_n"))

@@ -3,4 +3,4 @@
 
 def load_queries() -> None:
     """Import every module that registers queries."""
-    from . import market_queries, registry  # noqa: F401
+    from . import market_queries, ml_queries, news_queries, registry, stream_queries  # noqa: F401

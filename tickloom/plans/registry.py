@@ -32,9 +32,12 @@ def day(name: str = "ts") -> Column:
     return F.to_date(name).cast("string").alias("day")
 
 
-def rounded(df: DataFrame, digits: dict[str, int], keep: Sequence[Column | str]) -> DataFrame:
-    """Key columns and the named columns at their compared precision."""
-    return df.select(*keep, *[grid(F.col(n), d).alias(n) for n, d in digits.items()])
+def rounded(df: DataFrame, digits: dict[str, int], keep: Sequence[Column | str], nudge: float = 0.0) -> DataFrame:
+    """Key columns and the named columns at their compared precision.
+
+    ``nudge`` moves values that fall exactly between two decimals off the rounding edge.
+    """
+    return df.select(*keep, *[grid(F.col(n) + nudge if nudge else F.col(n), d).alias(n) for n, d in digits.items()])
 
 
 def family_query(name: str) -> Query:
