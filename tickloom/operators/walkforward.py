@@ -55,7 +55,7 @@ def fold_rows(s: Series, train: int = 252, test: int = 63, step: int = 21, parts
 
     pieces = {"train": member(0, train, "train"), "test": member(train, test, "test")}
     exploded = s.df.withColumn("_m", F.explode(F.concat(*[pieces[p] for p in parts])))
-    keep = [n for n in s.df.columns if not n.startswith("_")]
+    keep = [n for n in s.df.columns if not n.startswith("_") and n not in ("fold", "part")]
     return exploded.select(*keep, F.col("_m.fold").cast("int").alias("fold"), F.col("_m.part").alias("part"))
 
 
@@ -79,7 +79,7 @@ def time_series_split(s: Series, n_splits: int = 5) -> DataFrame:
     )
     tag = lambda arr, part: F.transform(arr, lambda f: F.struct(f.alias("fold"), F.lit(part).alias("part")))
     rows = s.df.withColumn("_m", F.explode(F.concat(tag(train, "train"), tag(test, "test"))))
-    keep = [n for n in s.df.columns if not n.startswith("_")]
+    keep = [n for n in s.df.columns if not n.startswith("_") and n not in ("fold", "part")]
     return rows.select(*keep, F.col("_m.fold").cast("int").alias("fold"), F.col("_m.part").alias("part"))
 
 
