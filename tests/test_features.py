@@ -94,7 +94,7 @@ def test_psar_slices_repair_wrong_guesses(bars):
     """Slices far too short to forget their guess must still give the exact levels."""
     sets = {"p": (0.02, 0.2), "q": (0.001, 0.01)}
     whole = ordered(psar_into(Series(bars), sets).tidy())
-    cut = ordered(psar_into(slice_series(bars, 60, 4), sets).tidy())
+    cut = ordered(psar_into(slice_series(bars, 200, 4), sets).tidy())
     for n in ("p", "q"):
         np.testing.assert_array_equal(whole[n], cut[n])
         assert (whole[f"{n}__up"].astype("boolean") == cut[f"{n}__up"].astype("boolean")).fillna(True).all()

@@ -61,7 +61,7 @@ def test_long_sums(bars, frame, n):
     out = ordered(Series(bars).ewm({"s": Roll("close", n), "r": Roll("close", n, ramp=True), "e": span("close", 3)}).tidy())
     close_to(out["s"], by_symbol(frame, lambda g: g["close"].rolling(n).sum()))
     weights = np.arange(1, n + 1)
-    close_to(out["r"], by_symbol(frame, lambda g: g["close"].rolling(n).apply(lambda x: (x * weights).sum(), raw=True)))
+    close_to(out["r"], by_symbol(frame, lambda g: g["close"].rolling(n).apply(lambda x: (x * weights).sum(), raw=True)), 1e-10)
 
 
 def test_slices_keep_rows_and_values(bars):

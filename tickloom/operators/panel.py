@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import ratio
 from ..functions.series import BARS, Series, as_series
 
 
@@ -83,10 +84,11 @@ def beta(relative: DataFrame, min_rows: int = 20) -> DataFrame:
     both = r.isNotNull() & m.isNotNull()
     r, m = F.when(both, r), F.when(both, m)
     stats = relative.groupBy("symbol").agg(
-        F.count(r).alias("n"), F.corr(r, m).alias("corr"), F.stddev_samp(r).alias("sr"), F.stddev_samp(m).alias("sm")
+        F.count(r).alias("n"), F.covar_samp(r, m).alias("both"), F.stddev_samp(r).alias("sr"), F.var_samp(m).alias("vm")
     )
-    usable = (F.col("n") > min_rows) & (F.col("sr") > 0) & (F.col("sm") > 0)
-    return stats.select("symbol", F.when(usable, F.col("corr") * F.col("sr") / F.col("sm")).otherwise(1.0).alias("beta"))
+    usable = (F.col("n") > min_rows) & (F.col("sr") > 0) & (F.col("vm") > 0)
+    # correlation times the ratio of deviations is covariance over market variance
+    return stats.select("symbol", F.when(usable, ratio("both", "vm")).otherwise(1.0).alias("beta"))
 
 
 def rolling_beta(relative: DataFrame, n: int = 60, **layout) -> DataFrame:

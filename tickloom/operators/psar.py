@@ -71,7 +71,9 @@ def _mapper(sets: Mapping[str, tuple[float, float]], order: str, sliced: bool):
             pdf[name] = stops
             pdf[f"{name}__up"] = pd.array(np.where(started, rising, None), dtype="boolean")
             if sliced:
-                borders = {halo - 1: list(seed) if seed is not None else states[halo - 1] if halo else None, len(pdf) - 1: states[-1]}
+                borders = {len(pdf) - 1: states[-1]}
+                if halo:
+                    borders[halo - 1] = list(seed) if seed is not None else states[halo - 1]
                 pdf[f"_state_{name}"] = [borders.get(i) for i in range(len(pdf))]
                 pdf = pdf.drop(columns=f"_seed_{name}")
         return pdf
@@ -112,11 +114,12 @@ def psar_into(s: Series, sets: Mapping[str, tuple[float, float]]) -> Series:
 def _wrong_borders(done: DataFrame, sets, keys, order: str) -> DataFrame:
     """Slices whose starting state differs from the end of the slice before, with the right one."""
     edges = done.groupBy(*keys).agg(
+        F.max(~F.col("_halo")).alias("_own"),
         *[F.max_by(f"_state_{n}", order).alias(f"_end_{n}") for n in sets],
         *[F.max_by(f"_state_{n}", F.when(F.col("_halo"), F.col(order))).alias(f"_start_{n}") for n in sets],
     )
     chain = Window.partitionBy(keys[0]).orderBy("_slice")
-    linked = edges.select(
+    linked = edges.where("_own").select(
         *keys, *[F.col(f"_start_{n}") for n in sets],
         *[F.lag(f"_end_{n}").over(chain).alias(f"_seed_{n}") for n in sets],
     )
