@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import ordered
-from tickloom.functions.series import Series, as_series
+from tickloom.functions.series import Series, as_series, slice_series
 from tickloom.operators import backtest as B
 from tickloom.operators import targets as T
 from tickloom.operators import walkforward as WF
@@ -92,6 +92,13 @@ def test_folds_by_arithmetic(bars, frame):
             assert sorted(part[part["part"] == "test"]["ts"]) == days[i : i + 30]
 
 
+def test_splits_do_not_depend_on_the_layout(bars):
+    whole, cut = Series(bars), slice_series(bars, 130, 5)
+    for split in (lambda s: WF.fold_rows(s, 100, 30, 20), WF.time_series_split, lambda s: WF.chrono_split(s).tidy()):
+        a, b = split(whole), split(cut)
+        assert a.count() == b.count() and a.exceptAll(b.select(*a.columns)).isEmpty()
+
+
 def test_time_series_split(bars, frame):
     rows = WF.time_series_split(Series(bars), 4).toPandas()
     for sym, g in frame.groupby("symbol"):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.asof import asof_join
-from ..functions.scalars import flag, ratio, truth
+from ..functions.scalars import flag, grid, ratio, truth
 from ..functions.series import Axis, Series, as_series
 from ..session import cut
 
@@ -294,5 +294,5 @@ def report(metric_rows: DataFrame, strategy: str = "long_short", threshold: floa
                 args.append(F.col(name))
             else:
                 lines.append(f"{label}: %.2f" + ("%%" if kind == "%" else ""))
-                args.append(F.col(name) * 100 if kind == "%" else F.col(name))
+                args.append(grid(F.col(name) * 100 if kind == "%" else F.col(name), 2))
     return metric_rows.select("symbol", F.format_string("\n".join(lines), *args).alias("report"))

@@ -211,6 +211,15 @@ def _newton_step(width: int, ridge: float):
     return batches
 
 
+BROADCAST_BYTES = 64 << 20
+
+
+def small(weights: DataFrame, width: int) -> DataFrame:
+    """Marks the weights for broadcast if their counted size allows it; otherwise the join
+    shuffles and adaptive execution splits a hot symbol."""
+    return F.broadcast(weights) if weights.count() * (8 * width + 64) <= BROADCAST_BYTES else weights
+
+
 def linear(features: Sequence[str]) -> Column:
     z = F.col("w")[len(features)]
     for i, n in enumerate(features):
@@ -228,12 +237,12 @@ def fit_per_symbol(rows: DataFrame, features: Sequence[str], rounds: int = 6, ri
     rows = model_input(rows, features)
     width = len(features) + 1
     big = rows.groupBy("symbol").count().where(F.col("count") >= min_rows)
-    weights = big.select("symbol", F.array(*[F.lit(0.0)] * width).alias("w"))
+    weights = cut(big.select("symbol", F.array(*[F.lit(0.0)] * width).alias("w")))
     x = [F.col(n) for n in features] + [F.lit(1.0)]
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-linear(features)))
     pairs = [(i, j) for i in range(width) for j in range(i, width)]
     for _ in range(rounds):
-        scored = rows.join(weights, "symbol").withColumn("_p", p)
+        scored = rows.join(small(weights, width), "symbol").withColumn("_p", p)
         bend, miss = F.col("_p") * (F.lit(1.0) - F.col("_p")), F.col("target") - F.col("_p")
         sums = scored.groupBy("symbol").agg(
             F.any_value("w").alias("w"),
@@ -247,6 +256,6 @@ def fit_per_symbol(rows: DataFrame, features: Sequence[str], rounds: int = 6, ri
 def score_per_symbol(rows: DataFrame, weights: DataFrame, features: Sequence[str]) -> DataFrame:
     """Scores of all rows; symbols without a model get the neutral 0.5."""
     keep = rows.columns
-    scored = model_input(rows, features).join(weights, "symbol", "left")
+    scored = model_input(rows, features).join(small(weights, len(features) + 1), "symbol", "left")
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-linear(features)))
     return scored.select(*keep, F.coalesce(p, F.lit(0.5)).alias("prediction"))

@@ -14,8 +14,16 @@ from .backtest import Costs, backtest, metrics
 
 
 def numbered(s: Series) -> Series:
-    """Rows with ``_rn`` (from 0) and ``_n``, the length of their symbol."""
-    return s.add({"_rn": F.row_number().over(s.axis.spec) - 1, "_n": F.count(F.lit(1)).over(s.axis.whole)})
+    """Rows with ``_rn`` (from 0) and ``_n``, the length of their symbol.
+
+    In the sliced layout the numbers run on across slices, and the copied rows are dropped.
+    """
+    if not s.axis.sliced:
+        return s.add({"_rn": F.row_number().over(s.axis.spec) - 1, "_n": F.count(F.lit(1)).over(s.axis.whole)})
+    s = s.fold({"_seq": ("sum", F.lit(1))})
+    own = s.df.where(~F.col("_halo")).withColumn("_rn", F.col("_seq") - 1).drop("_seq")
+    key = s.axis.keys[0]
+    return Series(own.join(own.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key), s.axis)
 
 
 def fold_count(train: int, test: int, step: int):

@@ -573,7 +573,7 @@ def report_sql() -> str:
         lines.append(f"'{title}'")
         for label, name, kind in entries:
             label, q = label.replace("%%", "%"), f'"{name}"'
-            value = f"CAST({q} AS VARCHAR)" if kind == "d" else f"format('{{:.2f}}', {q} * {100 if kind == '%' else 1})"
+            value = f"CAST({q} AS VARCHAR)" if kind == "d" else f"format('{{:.2f}}', {rnd(f'{q} * {100 if kind == '%' else 1}', 2)})"
             lines.append(f"'{label}: ' || {value}" + (" || '%'" if kind == "%" else ""))
     return f"{backtest_sql()}, {metrics_sql()} SELECT symbol, concat_ws(chr(10), {', '.join(lines)}) AS report FROM mt"
 

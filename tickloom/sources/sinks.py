@@ -21,18 +21,11 @@ RECORD = T.StructType(
 def write_prediction_json(records: DataFrame, path: str, mode: str = "append") -> None:
     """Prediction records as JSON under ``symbol=/dt=`` folders.
 
-    Rows are spread by day and a few random slots, so that a hot symbol is written by
-    several tasks while each folder still gets few files.
+    Rows are spread by folder, so each folder gets one file and the days of a hot symbol are
+    written by many tasks.
     """
     out = records.withColumn("dt", F.to_date("ts"))
-    (
-        out.withColumn("_slot", F.abs(F.hash("ts")) % 4)
-        .repartition("symbol", "_slot")
-        .drop("_slot")
-        .write.mode(mode)
-        .partitionBy("symbol", "dt")
-        .json(path)
-    )
+    out.repartition("symbol", "dt").write.mode(mode).partitionBy("symbol", "dt").json(path)
 
 
 def read_prediction_json(spark: SparkSession, path: str) -> DataFrame:
