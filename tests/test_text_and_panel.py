@@ -61,6 +61,11 @@ def test_csv_bars(spark, frame, tmp_path):
         S.require_columns(got.drop("close"))
 
 
+def test_feature_columns_skip_bars_and_keys(bars):
+    df = bars.withColumn("target", F.lit(1)).withColumn("rsi_14", F.lit(1.0)).withColumn("Dividends", F.lit(0.0))
+    assert S.feature_columns(df) == ["rsi_14"]
+
+
 def test_date_range_reaches_the_scan(spark, bars, tmp_path):
     bars.write.parquet(str(tmp_path / "p"))
     plan = S.read_bars(spark, str(tmp_path / "p"), "2020-02-01")._jdf.queryExecution().executedPlan().toString()

@@ -107,6 +107,7 @@ def train_per_symbol(spark: SparkSession, sf: str) -> DataFrame:
     return M.classification_metrics(scored, ["prediction"], ["symbol"])
 
 
+@query("batch_score")
 @query("predict_panel")
 def predict_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The newest bar of every symbol scored, neutral records for symbols without a model."""
