@@ -20,6 +20,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_rows
 
@@ -242,7 +243,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     give repeated rows. No shuffle; a worker holds a few MB of text and a bounded chunk cache.
     """
     names = list(keep)
-    schema = docs.select(*names).schema.add("ids", "binary")
+    schema = T.StructType([*docs.select(*names).schema, T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks, pattern)
@@ -256,7 +257,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
 def decode(encoded: DataFrame, ids: str = "ids", ranks: str = DEFAULT_RANKS) -> DataFrame:
     """All columns and ``decoded``, the bytes that the ids stand for (NULL ids: no bytes)."""
-    schema = encoded.schema.add("decoded", "binary")
+    schema = T.StructType([*encoded.schema, T.StructField("decoded", T.BinaryType())])
     pattern = public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
