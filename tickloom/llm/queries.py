@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, flat_ids, line_dedup, line_rules, near_dup, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,37 @@ def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf, "documents"), words=4)
+
+
+def op7_flat_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return flat_ids.stored(table(spark, sf, "documents"))
+
+
+def op8_line_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return line_rules.judged(table(spark, sf, "documents")).select("doc_id", *line_rules.COLUMNS)
+
+
+def op9_site_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf, "documents"))
+
+
+def op10_retrieval_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.digest(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op7_flat_ids": op7_flat_ids,
+    "op8_line_rules": op8_line_rules,
+    "op9_site_lines": op9_site_lines,
+    "op10_retrieval_packing": op10_retrieval_packing,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_rules": line_rules.judged_sql("documents"),
+    "op9_site_lines": line_dedup.DIGEST_SQL,
+}
