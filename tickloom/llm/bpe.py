@@ -12,7 +12,7 @@ import base64
 import gc
 import heapq
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ DEFAULT_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WIDTHS = (4, 8, 12, 16, 24, 32, 64)
 WIDTH_OF = [next(w for w in WIDTHS if n <= w) for n in range(WIDTHS[-1] + 1)]
 MATRIX_ROWS = 1 << 15
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 #: Marks that the pattern cuts off after a run of letters.
 MARKS = frozenset(".,;:!?")
 NONE = np.int32(2**31 - 1)
@@ -86,7 +86,6 @@ class ByteBpe:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces_of = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.pairs = PairTable(self.ranks)
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.words = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
@@ -94,6 +93,10 @@ class ByteBpe:
         self.inner: dict[str, bytes | None] = {}  # chunks after a space
         self.head: dict[str, bytes | None] = {}  # chunks at the start of a text
 
+    @cached_property
+    def pairs(self) -> PairTable:
+        return PairTable(self.ranks)  # decoding does without
+
     # -- pieces -------------------------------------------------------------------------------
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
@@ -249,7 +252,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         bpe = coder(ranks, pattern)
         gc.disable()  # nothing here is cyclic, and full collections would walk the chunk cache
         for batch in batches:
-            for kept, texts in text_rows(batch, names, "__text"):
+            for kept, texts in text_rows(batch, names, "__text", 2_000_000):
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(bpe.encode(texts), pa.binary())], [*names, "ids"])
 
     return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
