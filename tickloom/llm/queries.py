@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flat_ids, line_dedup, line_rules, near_dup, packing
+from . import bpe, flat_ids, line_dedup, line_rules, multiset_hash, near_dup, packing, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def op4_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf, "documents"), words=4)
 
 
+def op5_warc_index(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.digest(table(spark, sf, "pages"))
+
+
+def op6_multiset_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return multiset_hash.digest(table(spark, sf, "documents"))
+
+
 def op7_flat_ids(spark: SparkSession, sf: str) -> DataFrame:
     return flat_ids.stored(table(spark, sf, "documents"))
 
@@ -39,6 +47,8 @@ def op10_retrieval_packing(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_warc_index": op5_warc_index,
+    "op6_multiset_hash": op6_multiset_hash,
     "op7_flat_ids": op7_flat_ids,
     "op8_line_rules": op8_line_rules,
     "op9_site_lines": op9_site_lines,
@@ -47,6 +57,7 @@ QUERIES: dict[str, Query] = {
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
+    "op5_warc_index": warc.DIGEST_SQL,
     "op8_line_rules": line_rules.judged_sql("documents"),
     "op9_site_lines": line_dedup.DIGEST_SQL,
 }
