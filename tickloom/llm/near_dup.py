@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -236,8 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
     smaller ones, to the smallest of them. The edges of each round are written out.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    seen = None
-    while True:
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -245,10 +244,40 @@ def components(edges: DataFrame) -> DataFrame:
         least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = written(small.distinct(), "edges")
-        mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if tuple(mark) == seen:
-            return now.select("u", F.col("v").alias("root"))
-        seen = tuple(mark)
+    return now.select("u", F.col("v").alias("root"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, which has none itself."""
+    if not edges.groupBy("u").count().where("count > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
+def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: those of a graph whose nodes are the components so far."""
+    if links.isEmpty():
+        return roots
+    named = links.join(roots.select(F.col("u").alias("a"), F.col("root").alias("x")), "a", "left").join(roots.select(F.col("u").alias("b"), F.col("root").alias("y")), "b", "left")
+    joined = components(named.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    joined = joined.select(F.col("u").alias("root"), F.col("root").alias("above"))
+    old = roots.join(joined, "root", "left").select("u", F.coalesce("above", "root").alias("root"))
+    new = joined.select(F.col("root").alias("u"), F.col("above").alias("root")).join(roots, "u", "left_anti")
+    return written(old.unionByName(new), "roots")
+
+
+def _nearest(shared: DataFrame) -> DataFrame:
+    """For each class the leader ``a`` of most of its buckets (``cls`` as ``b``)."""
+    counted = shared.where("a != cls").groupBy("a", "cls").agg(F.count("*").alias("n"))
+    return counted.groupBy("cls").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("cls").alias("b"))
+
+
+def _with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band``, ``cls``, ``a`` and the components of the two so far."""
+    own = roots.select(F.col("u").alias("cls"), "root")
+    lead = roots.select(F.col("u").alias("a"), F.col("root").alias("a_root"))
+    out = shared.join(own, "cls", "left").join(lead, "a", "left")
+    return written(out.select("band", "cls", "a", F.coalesce("root", "cls").alias("root"), F.coalesce("a_root", "a").alias("a_root")), "named")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -333,19 +362,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("low", "cls"))["cls"].alias("a")).where("n > 1")
     buckets = written(buckets.select("band", "a"), "buckets")
     shared = written(rows.select("band", "cls").join(buckets, "band"), "shared")
-    stars = shared.where("a != cls").select("a", F.col("cls").alias("b")).distinct()
-    links = written(verified(written(stars, "stars"), docs, classes, key, text, words, percent), "links")
-    roots = components(links)
+    # Two rounds of one comparison a class: with the bucket leader it shares most bands with.
+    first = written(_nearest(shared), "stars")
+    roots = components(verified(first, docs, classes, key, text, words, percent))
+    named = _with_roots(shared, roots)
+    second = written(_nearest(named.where("root != a_root")).join(first, ["a", "b"], "left_anti"), "stars")
+    if not second.isEmpty():
+        roots = _contracted(roots, written(verified(second, docs, classes, key, text, words, percent), "links"))
+        named = _with_roots(shared, roots)
     # Buckets whose members have come into one component are done.
-    root: Column = F.coalesce("root", "cls")
-    named = shared.join(roots, F.col("cls") == F.col("u"), "left").select("band", "cls", root.alias("root"))
-    named = written(named, "named")
     mixed = written(named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band"), "mixed")
-    still = named.join(mixed, "band").join(classes.select("cls", "sig"), "cls").select("band", "cls", "sig", "root")
-    more = written(open_pairs(written(still, "still")).join(links, ["a", "b"], "left_anti"), "open")
-    links = links.unionByName(verified(more, docs, classes, key, text, words, percent))
-    roots = components(links)
-    grouped = classes.select("cls", "low").join(roots, F.col("cls") == F.col("u"), "left").select("cls", "low", root.alias("root"))
+    if not mixed.isEmpty():
+        still = named.join(mixed, "band").join(classes.select("cls", "sig"), "cls").select("band", "cls", "sig", "root")
+        tried = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = written(open_pairs(written(still, "still")).join(tried, ["a", "b"], "left_anti"), "open")
+        if not more.isEmpty():
+            roots = _contracted(roots, written(verified(more, docs, classes, key, text, words, percent), "links"))
+    grouped = classes.select("cls", "low").join(roots, F.col("cls") == F.col("u"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     grouped = written(grouped, "grouped")
     lowest = written(grouped.groupBy("root").agg(F.min("low").alias("component_low")), "lowest")
     final = written(grouped.join(lowest, "root").select("cls", "component_low"), "components")
@@ -353,3 +386,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     component = F.coalesce(F.col("component_low"), low)
     out = out.withColumn("component_id", F.when(component != F.lit(-(2**63)), component))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of the smallest key of each component, with all columns; of rows with equal key and text one stays."""
+    kept = near_duplicates(docs, key, text, words, percent).where("kept").select(F.col(key).alias("__kept")).distinct()
+    kept = written(kept, "kept")
+    out = docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
+    again = written(docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("__again")), "repeated-keys")
+    lone = out.join(again, F.col(key).eqNullSafe(F.col("__again")), "left_anti")
+    several = out.join(again, F.col(key).eqNullSafe(F.col("__again")), "left_semi").dropDuplicates([key, text])
+    return lone.unionByName(several)

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flat_ids, line_dedup, line_rules, multiset_hash, near_dup, packing, warc
+from . import bpe, flat_ids, line_dedup, line_rules, lm_score, multiset_hash, near_dup, packing, warc, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_context_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return lm_score.scored(table(spark, sf, "documents"))
+
+
+def op2_wrappers(spark: SparkSession, sf: str) -> DataFrame:
+    return wrappers.digest(table(spark, sf, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"))
 
@@ -45,6 +53,8 @@ def op10_retrieval_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_context_mixing": op1_context_mixing,
+    "op2_wrappers": op2_wrappers,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_warc_index": op5_warc_index,
