@@ -13,19 +13,26 @@ from tickloom.llm import line_dedup, line_rules, near_dup, packing
 from tickloom.llm.common import run_folder, table
 
 
+def _bare(docs: DataFrame) -> DataFrame:
+    """The columns that a stage reads, and all others in one struct, so that no name clashes with the stage's own."""
+    read = [c for c in ("text", "source") if c in docs.columns]
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    return docs.select(*read, F.struct(*rest).alias("__rest"))
+
+
 def _with_text(docs: DataFrame, cleaned: DataFrame) -> DataFrame:
     """The columns of ``docs``, with the clean text as the text (a NULL text stays NULL)."""
     text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("clean_text"))
     columns = {"text": text, "n_chars": F.char_length(text).cast("long")}
-    return cleaned.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+    return cleaned.select(*[(columns[c] if c in columns else F.col("__rest")[c]).alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(docs, line_rules.judged(docs).where("kept"))
+    return _with_text(docs, line_rules.kept(_bare(docs)))
 
 
 def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _with_text(docs, line_dedup.dedup(docs))
+    return _with_text(docs, line_dedup.dedup(_bare(docs)))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

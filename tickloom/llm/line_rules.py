@@ -133,6 +133,16 @@ def judged(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataF
     return measures(clean(docs, text, rules), text).withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & F.col("keeps"))
 
 
+def kept(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``judged`` that are kept.
+
+    The row number in the condition holds the filter above the columns it reads: pushed below them,
+    their expressions would be written out inside one another.
+    """
+    out = judged(docs, text, rules).withColumn("__at", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("__at") >= 0)).drop("__at")
+
+
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
