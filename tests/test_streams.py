@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.operators.catalogue import build_features
 from tickloom.sources.bars import bars_from_trades
 from tickloom.streaming import live as L
 from tickloom.streaming.messages import TICK, parse_messages, to_messages
@@ -17,7 +18,7 @@ def rows(n, start=datetime(2024, 1, 1), step=7):
 def test_stream_bars_equal_batch_bars(spark, tmp_path):
     path = str(tmp_path / "ticks")
     ticks = spark.createDataFrame(rows(300), SCHEMA)
-    ticks.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    L.land_in_order(ticks, path, "ts", 4)
     stream = L.stream_table(spark, path, "*.parquet", ticks.schema, files_per_trigger=1)
     got = L.run_append(L.stream_bars(stream), "bars")
     end = ticks.agg(F.max("ts")).first()[0] - timedelta(minutes=10)
@@ -59,17 +60,24 @@ def test_expiry(spark):
 
 def test_scorer_keeps_a_bounded_history(spark, tmp_path, bars):
     path = str(tmp_path / "bars")
-    bars.where("ts < '2020-06-01'").repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(path)
+    early = bars.where("ts < '2020-06-01'")
+    L.land_in_order(early, path, "ts", 3)
     stream = L.stream_table(spark, path, "*.parquet", bars.schema, files_per_trigger=1)
-    scorer = L.StreamScorer(str(tmp_path / "s"), lambda f: f.select("symbol", "ts", F.lit(0.7).alias("prediction")), ["return_1d"], buffer=60, minimum=50)
+    scorer = L.StreamScorer(str(tmp_path / "s"), lambda f: f.select("symbol", "ts", F.col("return_1d").alias("prediction")), ["return_1d"], buffer=60, minimum=50)
     L.run_batches(stream, "scorer", scorer)
     out = scorer.signals(spark)
     newest = out.groupBy("symbol").agg(F.max("ts").alias("t")).collect()
-    assert {r["t"] for r in newest} == {bars.where("ts < '2020-06-01'").agg(F.max("ts")).first()[0]}
+    assert {r["t"] for r in newest} == {early.agg(F.max("ts")).first()[0]}
+    # every score is that of the batch features of the same bar
+    want = {(r["symbol"], r["ts"]): r["return_1d"] for r in build_features(early, columns=["return_1d"]).collect()}
+    assert all(abs(r["prediction"] - want[r["symbol"], r["ts"]]) < 1e-12 for r in out.collect())
     last = out.agg(F.max("v")).first()[0]
     state = spark.read.parquet(f"{tmp_path}/s/state/v={last}")
     assert state.groupBy("symbol").count().agg(F.max("count")).first()[0] == 60
-    assert {r["signal"] for r in out.collect()} == {"BUY"}
+    # a batch that runs again leaves the same
+    before = sorted(out.where(f"v = {last}").collect())
+    scorer(early.where(F.col("ts") > early.agg(F.expr("percentile_approx(ts, 0.7)")).first()[0]), last)
+    assert sorted(r[:2] for r in scorer.signals(spark).where(f"v = {last}").collect()) == [r[:2] for r in before]
 
 
 @pytest.mark.parametrize("mode", ["complete"])

@@ -16,7 +16,8 @@ def asof_join(
 ) -> DataFrame:
     """For every left row the last right row with the same ``by`` and ``on`` at or before it.
 
-    The whole right row is carried (NULL cells included). ``era_seconds`` splits long
+    The whole right row is carried (NULL cells included); of right rows with one key the largest row
+    counts. ``era_seconds`` splits long
     symbols into calendar eras: the window runs per era, and the last right row of the
     earlier eras comes from a table with one row per symbol and era.
     """
@@ -41,12 +42,12 @@ def asof_join(
         keys = [by, "_era"]
     w = (
         Window.partitionBy(*keys)
-        .orderBy(on, "_side")
+        .orderBy(on, "_side", "_right")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     joined = stacked.withColumn("_hit", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
     if era_seconds:
-        ends = right.withColumn("_era", era).groupBy(by, "_era").agg(F.max_by(F.struct(*payload), on).alias("_end"))
+        ends = right.withColumn("_era", era).groupBy(by, "_era").agg(F.max_by(F.struct(*payload), F.struct(on, *payload)).alias("_end"))
         # eras without right rows must exist as well, so that the carry reaches them
         eras = left.select(by, era.alias("_era")).distinct().join(ends, [by, "_era"], "full")
         before = Window.partitionBy(by).orderBy("_era").rowsBetween(Window.unboundedPreceding, -1)

@@ -255,13 +255,14 @@ def _fold(s: Series, specs: Mapping[str, tuple[str, Column]]) -> Series:
         return s.add({name: aggs[kind](x).over(s.axis.running) for name, (kind, x) in specs.items()})
     own = ~F.col("_halo")
     value = {name: f"_v_{name}" for name in specs}
-    with_x = s.add({value[n]: F.when(own, x) for n, (_, x) in specs.items()})
+    # the last value is also right for most copied rows, which later steps look back on
+    with_x = s.add({value[n]: x if kind == "last" else F.when(own, x) for n, (kind, x) in specs.items()})
     order = s.axis.order[0]
     ends = {"last": F.max_by, "first": F.min_by}
     totals = with_x.df.groupBy(*s.axis.keys).agg(
         *[
             (
-                ends[kind](F.col(value[n]), F.when(F.col(value[n]).isNotNull(), F.col(order)))
+                ends[kind](F.col(value[n]), F.when(own & F.col(value[n]).isNotNull(), F.col(order)))
                 if kind in ends
                 else aggs[kind](F.col(value[n]))
             ).alias(f"_t_{n}")

@@ -85,6 +85,9 @@ def apply_families(s: Series, names: Sequence[str] | None = None) -> Series:
     at once. The plan has as many window passes as the deepest family, not as all together.
     """
     wanted = families(names)
+    for f in wanted:  # grouped maps first, while the rows are narrow
+        if f.grouped:
+            s = f.build(s)
     queues = [list(f.build(Recorder(s.axis)).steps) for f in wanted if not f.grouped]
     have: set[str] = set(s.df.columns)
     while any(queues):
@@ -97,9 +100,6 @@ def apply_families(s: Series, names: Sequence[str] | None = None) -> Series:
         have |= set(level)
         if level:
             s = {"add": s.add, "fold": s.fold, "scan": s.ewm}[kind](level)
-    for f in wanted:
-        if f.grouped:
-            s = f.build(s)
     return s
 
 
@@ -127,9 +127,12 @@ def build_features(
     All families hang off one exchange on the symbol; the layout is whole or sliced as
     :func:`as_series` decides. ``columns`` prunes the result, and Catalyst then drops the
     window expressions that nothing needs. ``fillna`` lets frames be partial and replaces
-    what is still missing by the indicator's neutral value.
+    what is still missing by the indicator's neutral value. Rows without a symbol, a time or a
+    whole bar are no bars and are left out; bars must be unique per symbol and time, which
+    ``unique_bars`` sees to.
     """
     require_columns(bars)
+    bars = bars.na.drop(subset=["symbol", "ts", *BARS])
     if columns is not None and names is None:
         names = [f.name for f in families() if set(f.columns) & set(columns)]
     s = as_series(

@@ -171,6 +171,7 @@ class Ensemble:
         scored = self.members(Series(rows, s.axis)).where("part = 'val'")
         names = list(self.models)
         self.weights = {r["model"]: r["weight"] for r in ensemble_weights(scored, names).collect()}
+        rows.unpersist()
         return self
 
     def _sequences(self, s: Series) -> DataFrame:

@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio, truth
-from ..functions.series import Axis, Series, ewm_reach, wilder
+from ..functions.series import Axis, Ewm, Series, ewm_reach
 from .catalogue import family
 from .volume import typical
 
 
 def rsi_into(s: Series, names: dict[str, int]) -> Series:
-    """Relative strength of smoothed gains and losses; 100 when there are no losses."""
+    """Relative strength of smoothed gains and losses; 100 when there are no losses.
+
+    While the price stands still both averages shrink by the same factor and their ratio stays, so
+    the value of the last price change is carried on. A long flat run thus needs no history of its
+    own length, and the value is the same however the symbol is cut.
+    """
     s = s.add({"_dc": s.axis.diff("close")})
     s = s.add(
         {
@@ -21,13 +26,20 @@ def rsi_into(s: Series, names: dict[str, int]) -> Series:
         }
     )
     windows = sorted(set(names.values()))
-    s = s.ewm({f"_up_{n}": wilder("_gain", n) for n in windows} | {f"_dn_{n}": wilder("_loss", n) for n in windows})
+    s = s.ewm({f"_{x}_{n}": Ewm(source, 1.0 / n) for n in windows for x, source in (("up", "_gain"), ("dn", "_loss"))})
 
     def value(n: int) -> Column:
         up, dn = F.col(f"_up_{n}"), F.col(f"_dn_{n}")
         return F.when(dn == 0, 100.0).otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + ratio(up, dn)))
 
-    return s.add({name: value(n) for name, n in names.items()})
+    moved = truth(F.col("_dc") != 0)
+    s = s.fold({f"_rs_{n}": ("last", F.when(moved, value(n))) for n in windows})
+    # no price change so far: no losses either
+    return s.add({name: _from_row(s.axis, n, F.coalesce(F.col(f"_rs_{n}"), F.lit(100.0))) for name, n in names.items()})
+
+
+def _from_row(a: Axis, n: int, x: Column) -> Column:
+    return F.when(a.filled("close", n), x) if a.full else x
 
 
 RSI_WINDOWS = (7, 9, 14, 21, 28)

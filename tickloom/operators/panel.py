@@ -12,8 +12,8 @@ from ..functions.scalars import ratio
 from ..functions.series import BARS, Series, as_series
 
 
-def universe(table: DataFrame, sector: str | None = None, limit: int | None = 500) -> DataFrame:
-    """Distinct symbols of one sector, or of all sectors cut to ``limit``."""
+def universe(table: DataFrame, sector: str | None = None, limit: int | None = None) -> DataFrame:
+    """Distinct symbols of one sector, or of all sectors; a ``limit`` takes the first ones by name."""
     if sector is not None:
         return table.where(F.col("sector") == sector).select("sector", "symbol").distinct()
     every = table.select("symbol").distinct()
@@ -61,6 +61,12 @@ def market_calendar_align(bars: DataFrame, index: str, **layout) -> DataFrame:
     ).join(back, "at").select("symbol", "ts", *BARS)
 
 
+def shared_days(bars: DataFrame, index: str) -> DataFrame:
+    """``symbol, ts`` of the bars on days on which the index symbol has one too."""
+    days = bars.where(F.col("symbol") == index).select("ts").distinct()
+    return bars.select("symbol", "ts").join(days, "ts", "left_semi").distinct()
+
+
 def market_features(bars: DataFrame, index: str, **layout) -> DataFrame:
     """Return and volatility of the index and the return relative to it, on index dates."""
     if bars.where(F.col("symbol") == index).isEmpty():

@@ -173,14 +173,22 @@ def sentiment_features(
 
 
 def sentiment_cached(daily: DataFrame, path: str, as_of: str) -> DataFrame:
-    """The daily table of one day, computed once and then read back."""
+    """The daily table of one day, computed once and then read back.
+
+    A folder counts as written once its writer has left its mark of success; what a run that broke
+    off has left there is written anew.
+    """
     spark = daily.sparkSession
     folder = f"{path}/as_of={as_of}"
-    try:
-        return spark.read.schema(daily.schema).parquet(folder)
-    except Exception:  # noqa: BLE001 - not written yet
-        daily.write.mode("errorifexists").parquet(folder)
-        return spark.read.schema(daily.schema).parquet(folder)
+    if not is_complete(spark, folder):
+        daily.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(daily.schema).parquet(folder)
+
+
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a batch writer has finished with a folder, on any file system that the session reads."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def attach(bars: DataFrame, extra: DataFrame) -> DataFrame:

@@ -212,15 +212,22 @@ def ta_ichimoku(s: Series) -> Series:
     return s.add({f"trend_visual_ichimoku_{x}": a.lag(f"trend_ichimoku_{x}", 26) for x in ("a", "b")})
 
 
+#: Relative differences below this are rounding.
+NOISE = 1e-11
+
+
 def _stoch_of(s: Series, x: str, out: str, n: int) -> Series:
     """Stochastic of a single line; a frame without range repeats the last value."""
     s = s.add({f"_raw{x}": stochastic(s.axis, n, x, x, x)})
-    return s.add({out: F.last(f"_raw{x}", ignorenulls=True).over(s.axis.running)})
+    return s.fold({out: ("last", F.col(f"_raw{x}"))})
 
 
 @suite("ta_stc", ["trend_stc"], ewm_reach(2 / 51) + 2 * ewm_reach(0.5) + 20)
 def ta_stc(s: Series) -> Series:
-    s = s.ewm({"_f": span("close", 23), "_w": span("close", 50)}).add({"_line": F.col("_f") - F.col("_w")})
+    s = s.ewm({"_f": span("close", 23), "_w": span("close", 50)})
+    # what two averages of one price still differ by after a long flat run is rounding, not trend
+    gap = F.col("_f") - F.col("_w")
+    s = s.add({"_line": F.when(F.abs(gap) < F.abs("close") * NOISE, 0.0).otherwise(gap)})
     s = _stoch_of(s, "_line", "_k1", 10).ewm({"_stc_d": span("_k1", 3)})
     return _stoch_of(s, "_stc_d", "_k2", 10).ewm({"trend_stc": span("_k2", 3)})
 

@@ -144,7 +144,7 @@ def sectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("universe", f"WITH {SECTORS} SELECT DISTINCT symbol FROM sectors ORDER BY symbol LIMIT 500")
+@query("universe", f"WITH {SECTORS} SELECT DISTINCT symbol FROM sectors")
 def universe(spark: SparkSession, sf: str) -> DataFrame:
     return P.universe(sectors(spark, sf))
 
@@ -196,11 +196,10 @@ def symbol_union(spark: SparkSession, sf: str) -> DataFrame:
 TWO = f"WITH {bars_cte()}, {bars_cte('supplier').replace('bars AS', 'sb AS', 1)}"
 
 
-@query("key_intersection", f"{TWO} SELECT {DAY} FROM (SELECT ts FROM bars WHERE symbol = 'Brand#1' INTERSECT SELECT ts FROM bars WHERE symbol = 'Brand#2')")
+@query("key_intersection", f"{TWO} SELECT DISTINCT symbol, {DAY} FROM bars WHERE ts IN (SELECT ts FROM bars WHERE symbol = 'Brand#1')")
 def key_intersection(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.bars(spark, sf)
-    pick = lambda s: rows.where(F.col("symbol") == s).select("ts")
-    return pick("Brand#1").intersect(pick("Brand#2")).select(day())
+    """The days that every symbol shares with one of them."""
+    return P.shared_days(D.bars(spark, sf), "Brand#1").select("symbol", day())
 
 
 # ---------------------------------------------------------------------------- messages
@@ -270,18 +269,18 @@ def signal_record(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf).select("symbol", day(), *RECORD_COLS)
 
 
-@query("prediction_json_sink", f"{B0}, {RECORDS} SELECT symbol, {DAY}, prediction, confidence, signal FROM rec WHERE ts >= '2001-10-01'")
+@query("prediction_json_sink", f"{B0}, {RECORDS} SELECT symbol, {DAY}, prediction, confidence, signal FROM rec")
 def prediction_json_sink(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest records written as JSON by symbol and day, and read back."""
+    """All records written as JSON by day, and read back."""
     path = workspace(spark, "prediction-json")
-    write_prediction_json(records(spark, sf).where(F.col("ts") >= F.lit("2001-10-01").cast("timestamp")), path)
+    write_prediction_json(records(spark, sf), path)
     return read_prediction_json(spark, path).select("symbol", day(), *RECORD_COLS)
 
 
 @query("prediction_table", f"{B0}, {RECORDS} SELECT symbol, {DAY}, prediction, confidence, signal FROM rec WHERE ts >= '2001-06-01'")
 def prediction_table(spark: SparkSession, sf: str) -> DataFrame:
     path = workspace(spark, "prediction-table")
-    write_prediction_table(records(spark, sf).where(F.year("ts") >= 2001), path)
+    write_prediction_table(records(spark, sf), path)
     return read_prediction_table(spark, path, since="2001-06-01").select("symbol", day(), *RECORD_COLS)
 
 

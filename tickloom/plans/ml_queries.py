@@ -12,10 +12,12 @@ from ..operators import walkforward as WF
 from ..operators.catalogue import build_features
 from ..operators.targets import add_target
 from ..session import cut
-from ..sources.sinks import load_model, save_model
+from ..operators.training import train_and_backtest
+from ..sources.sinks import load_ensemble, load_model, load_weights, save_ensemble, save_model, save_weights
 from ..streaming.live import workspace
 from . import datasets as D
 from .market_queries import bound
+from .news_queries import combined
 from .registry import day, query
 
 FEATURES = ("return_1d", "return_5d", "volume_ratio_5", "price_position", "spread_proxy", "roc_10")
@@ -75,10 +77,12 @@ def ml_sequence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ensemble_panel")
 def ensemble_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """All four models, their weights and the weighted prediction of the validation rows."""
+    """All four models, stored and loaded, and the weighted prediction of the validation rows."""
     s = panel(spark, sf)
     model = E.Ensemble(FEATURES, trees=10, boost_rounds=5, long_rounds=5, sequence_features=SHORT)
-    scored = model.fit(s).predict(s).where("part = 'val'")
+    root = workspace(spark, "ensemble")
+    save_ensemble(model.fit(s), root, spark)
+    scored = load_ensemble(root, spark).predict(s).where("part = 'val'")
     return scored.select("symbol", day(), "target", "forest", "boost_a", "boost_b", "sequence", "prediction")
 
 
@@ -102,23 +106,45 @@ def train_panel(spark: SparkSession, sf: str) -> DataFrame:
 def train_per_symbol(spark: SparkSession, sf: str) -> DataFrame:
     """A logistic model per symbol, all fitted by the same aggregations."""
     rows = panel(spark, sf).df
-    weights = E.fit_per_symbol(rows.where("part = 'train'"), FEATURES, rounds=4)
+    weights = E.fit_per_symbol(rows.where("part = 'train'"), FEATURES, rounds=6)
     scored = E.score_per_symbol(rows.where("part = 'val'"), weights, FEATURES)
     return M.classification_metrics(scored, ["prediction"], ["symbol"])
 
 
-@query("batch_score")
 @query("predict_panel")
 def predict_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The newest bar of every symbol scored, neutral records for symbols without a model."""
     rows = panel(spark, sf).df
-    weights = E.fit_per_symbol(rows.where("part = 'train'"), FEATURES, rounds=3)
+    weights = E.fit_per_symbol(rows.where("part = 'train'"), FEATURES, rounds=6)
     newest = rows.groupBy("symbol").agg(F.max_by(F.struct(*FEATURES), "ts").alias("r")).select("symbol", "r.*")
     scored = E.score_per_symbol(newest, weights, FEATURES)
     names = D.table(spark, sf, "supplier").select(F.col("s_name").alias("symbol")).unionByName(newest.select("symbol"))
     return M.score_default(names.distinct(), scored, len(FEATURES))
 
 
+@query("batch_score")
+def batch_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored models of all symbols scored on the newest bars; the error record where there is none."""
+    root = workspace(spark, "symbol-models")
+    rows = panel(spark, sf).df
+    save_weights(E.fit_per_symbol(rows.where("part = 'train'"), FEATURES), root, list(FEATURES))
+    weights, features = load_weights(root, spark)
+    newest = rows.groupBy("symbol").agg(F.max_by(F.struct(*features), "ts").alias("r")).select("symbol", "r.*")
+    names = D.table(spark, sf, "supplier").select(F.col("s_name").alias("symbol")).unionByName(newest.select("symbol"))
+    known = E.score_per_symbol(newest.join(weights.select("symbol"), "symbol", "left_semi"), weights, features)
+    return M.score_default(names.distinct(), known, len(features))
+
+
+@query("ensemble_backtest")
+def ensemble_backtest(spark: SparkSession, sf: str) -> DataFrame:
+    """From bars to risk metrics: features with sentiment, labels, chronological split, ensemble, its own backtest."""
+    bars = D.calm_bars(spark, sf)
+    model = E.Ensemble((*FEATURES, "sentiment_combined_sentiment"), trees=10, boost_rounds=5, long_rounds=5, sequence_features=SHORT)
+    out = train_and_backtest(bars, model, sentiment=combined(spark, sf), columns=list(FEATURES), folder=workspace(spark, "trained"), **bound(spark, sf))
+    counts = [n for n in out.columns if n in ("total_trades", "profitable_trades", "losing_trades")]
+    return out.select("symbol", *[F.col(n) if n in counts else F.round(n, 6).alias(n) for n in out.columns if n != "symbol"])
+
+
 @query("model_store")
 def model_store(spark: SparkSession, sf: str) -> DataFrame:
     """Save, load, score: the loaded model must agree with the fitted one."""

@@ -91,7 +91,7 @@ def ta_suite_filled(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", day(), *feature_names(names))
 
 
-SLICED = ("moving_averages", "adx", "obv", "psar_grid", "rolling_stats")
+SLICED = ("moving_averages", "adx", "obv", "psar_grid", "rolling_stats", "rsi", "macd_grid", "ta_stc", "ta_stochrsi", "ta_psar")
 
 
 def _register_sliced() -> None:

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import grid
+from ..functions.series import as_series
+from ..operators import ensemble as E
+from ..operators.catalogue import build_features
 from ..operators.monitor import signal_record
+from ..operators.targets import add_target
 from ..streaming import live as L
 from ..streaming.messages import PREDICTION, TICK, parse_messages, processors, to_messages
 from . import datasets as D
 from .oracles.base import rnd
-from .registry import query, rounded
+from .registry import ORACLES, query, rounded
 
 TICKS = "tk AS (SELECT event_type AS symbol, ts, round(value * 100) AS price, event_id AS seq FROM events)"
 CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
@@ -128,10 +132,27 @@ def foreach_processor(spark: SparkSession, sf: str) -> DataFrame:
 def parted(spark: SparkSession, sf: str, files: int) -> str:
     """The ticks as several files in event-time order, as a collector would land them."""
     path = L.workspace(spark, "ticks")
-    D.ticks(spark, sf).repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
+    L.land_in_order(D.ticks(spark, sf), path, "ts", files)
     return path
 
 
+def file_by_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The ticks as a backlog of files, one per trigger."""
+    return L.stream_table(spark, parted(spark, sf, 4), "*.parquet", D.ticks(spark, sf).schema, files_per_trigger=1)
+
+
+@query("stream_bars_files", ORACLES["stream_bars"])
+def stream_bars_files(spark: SparkSession, sf: str) -> DataFrame:
+    out = L.run_append(L.stream_bars(file_by_file(spark, sf)), "stream-bars-files")
+    return out.select("symbol", minute("ts"), "open", "high", "low", "close", "volume")
+
+
+@query("stream_accuracy_files", ORACLES["stream_accuracy"])
+def stream_accuracy_files(spark: SparkSession, sf: str) -> DataFrame:
+    out = L.run_append(L.stream_accuracy(prediction_feed(file_by_file(spark, sf))), "accuracy-files")
+    return rounded(out, {"accuracy": 6}, ["symbol", minute("window_end"), "total_predictions"])
+
+
 @query("bounded_ingest", f"WITH {TICKS} SELECT symbol, count(*) AS ticks, CAST(sum(price) AS DOUBLE) AS turnover FROM tk GROUP BY symbol")
 def bounded_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """At most one file per micro-batch; the rest waits, nothing is dropped."""
@@ -142,19 +163,24 @@ def bounded_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("ticks"), F.sum("price").alias("turnover"))
 
 
+SCORE_COLUMNS = ("return_5d", "rsi_14", "price_position")
+
+
+def score_model(bars: DataFrame):
+    """A logistic model of the direction of the next bar, fitted on the features of given bars."""
+    rows = build_features(bars, columns=list(SCORE_COLUMNS), group_rows=L.BUCKETS * 1000)
+    s = add_target(as_series(rows, ahead=1, group_rows=L.BUCKETS * 1000), drop_unlabelled=True)
+    return E.fit(E.model_input(s.tidy(), SCORE_COLUMNS), SCORE_COLUMNS, E.logistic())
+
+
 @query("stream_score")
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly bars stream in; every batch scores the newest bar of each symbol from its last 1000 bars."""
+    """Hourly bars stream in; every batch scores the newest bar of each symbol with a fitted model, from its last 1000 bars."""
     path = L.workspace(spark, "bars")
     bars = L.run_append(L.stream_bars(event_stream(spark, sf)), "score-bars")
-    bars.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(path)
+    L.land_in_order(bars, path, "ts", 3)
+    model = score_model(bars)
     source = L.stream_table(spark, path, "*.parquet", bars.schema, files_per_trigger=1)
-    columns = ["return_5d", "rsi_14", "price_position"]
-
-    def score(features: DataFrame) -> DataFrame:
-        lean = F.coalesce(F.col("rsi_14"), F.lit(50.0)) / 100 * 0.6 + F.coalesce(F.col("price_position"), F.lit(0.5)) * 0.4
-        return features.select("symbol", "ts", lean.alias("prediction"))
-
-    scorer = L.StreamScorer(L.workspace(spark, "scorer"), score, columns)
+    scorer = L.StreamScorer(L.workspace(spark, "scorer"), lambda rows: E.up_probability(model, E.model_input(rows, SCORE_COLUMNS), "prediction"), SCORE_COLUMNS)
     L.run_batches(source, "score", scorer)
-    return scorer.signals(spark).select("v", "symbol", minute("ts"), "prediction", "confidence", "signal")
+    return scorer.signals(spark).select("v", "symbol", minute("ts"), grid("prediction", 9).alias("prediction"), grid("confidence", 9).alias("confidence"), "signal")

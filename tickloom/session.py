@@ -23,11 +23,14 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a private one only where the session names none."""
+    """The shared checkpoint folder. Without one a local session gets a private folder; a cluster has
+    no folder that all executors see, so there the setting is required."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = named or tempfile.mkdtemp(prefix="tickloom-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

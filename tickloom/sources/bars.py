@@ -50,7 +50,7 @@ def read_bars(
     reader = spark.read.format(fmt)
     if fmt != "parquet":
         reader = reader.schema(schema or BAR_SCHEMA).option("header", True)
-    return clean_bars(reader.load(path), start, end, symbols)
+    return unique_bars(clean_bars(reader.load(path), start, end, symbols))
 
 
 def clean_bars(
@@ -66,6 +66,13 @@ def clean_bars(
     return df.na.drop()
 
 
+def unique_bars(df: DataFrame) -> DataFrame:
+    """One row per symbol and time: of several the smallest, column by column in their order."""
+    rest = [n for n in df.columns if n not in ("symbol", "ts")]
+    one = df.groupBy("symbol", "ts").agg(F.min(F.struct(*rest)).alias("_r"))
+    return one.select("symbol", "ts", *[F.col("_r")[n].alias(n) for n in rest])
+
+
 def bars_from_trades(
     trades: DataFrame, bucket: Column, order: Column, keys: Sequence[str] = ("symbol",)
 ) -> DataFrame:

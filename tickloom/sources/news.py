@@ -27,12 +27,14 @@ def news_union(*providers: DataFrame) -> DataFrame:
 
 
 def page_headlines(
-    pages: DataFrame, tag: str = "h3", css_class: str | None = "article__headline", per_page: int = 10
+    pages: DataFrame, tag: str = "h3", css_class: str | None = "article__headline", per_page: int | None = None
 ) -> DataFrame:
-    """Texts of the first ``per_page`` headline elements of each page, empty ones skipped."""
+    """Texts of the headline elements of each page (of the first ``per_page`` if given), empty ones skipped."""
     attrs = rf"[^>]*class=[\"'][^\"']*\b{css_class}\b[^\"']*[\"'][^>]*" if css_class else r"(?:\s[^>]*)?"
     pattern = rf"(?s)<{tag}{attrs}>(.*?)</{tag}>"
-    found = F.slice(F.regexp_extract_all("html", F.lit(pattern), 1), 1, per_page)
+    found = F.regexp_extract_all("html", F.lit(pattern), 1)
+    if per_page is not None:
+        found = F.slice(found, 1, per_page)
     text = F.trim(F.regexp_replace(F.regexp_replace("raw", "<[^>]+>", ""), r"\s+", " "))
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))

@@ -19,13 +19,15 @@ RECORD = T.StructType(
 
 
 def write_prediction_json(records: DataFrame, path: str, mode: str = "append") -> None:
-    """Prediction records as JSON under ``symbol=/dt=`` folders.
+    """Prediction records as JSON under ``dt=`` folders."""
+    _by_day(records).write.mode(mode).partitionBy("dt").json(path)
 
-    Rows are spread by folder, so each folder gets one file and the days of a hot symbol are
-    written by many tasks.
-    """
+
+def _by_day(records: DataFrame) -> DataFrame:
+    """Records in ranges of day and symbol: a task writes few days, and a day or symbol with a large
+    share of the records is dealt to several tasks."""
     out = records.withColumn("dt", F.to_date("ts"))
-    out.repartition("symbol", "dt").write.mode(mode).partitionBy("symbol", "dt").json(path)
+    return out.repartitionByRange("dt", "symbol", "ts")
 
 
 def read_prediction_json(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +37,7 @@ def read_prediction_json(spark: SparkSession, path: str) -> DataFrame:
 
 def write_prediction_table(records: DataFrame, path: str, mode: str = "append") -> None:
     """History table in parquet, partitioned by day for time-range reads."""
-    records.withColumn("dt", F.to_date("ts")).write.mode(mode).partitionBy("dt").parquet(path)
+    _by_day(records).write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def read_prediction_table(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
@@ -58,3 +60,36 @@ def save_model(model: PipelineModel, root: str, name: str) -> None:
 
 def load_model(root: str, name: str) -> PipelineModel:
     return PipelineModel.load(f"{root}/{name}")
+
+
+def save_ensemble(model, root: str, spark: SparkSession) -> None:
+    """An ensemble: every member under its name, and one row with features, weights and settings."""
+    for name, member in model.models.items():
+        save_model(member, root, name)
+    row = (list(model.features), list(model.sequence_features or model.features), model.sequence_length, dict(model.weights))
+    spark.createDataFrame([row], SETTINGS).coalesce(1).write.mode("overwrite").parquet(f"{root}/settings")
+
+
+SETTINGS = "features array<string>, sequence_features array<string>, sequence_length int, weights map<string, double>"
+
+
+def load_ensemble(root: str, spark: SparkSession):
+    from ..operators.ensemble import Ensemble
+
+    row = spark.read.schema(SETTINGS).parquet(f"{root}/settings").first()
+    out = Ensemble(row["features"], sequence_length=row["sequence_length"], sequence_features=row["sequence_features"])
+    out.weights = dict(row["weights"])
+    out.models = {name: load_model(root, name) for name in out.weights}
+    return out
+
+
+def save_weights(weights: DataFrame, root: str, features: list[str], version: str = "1.0") -> None:
+    """Weights of the models per symbol, with the feature names they belong to."""
+    named = weights.withColumn("features", F.array(*[F.lit(n) for n in features])).withColumn("version", F.lit(version))
+    named.write.mode("overwrite").parquet(f"{root}/weights")
+
+
+def load_weights(root: str, spark: SparkSession) -> tuple[DataFrame, list[str]]:
+    table = spark.read.parquet(f"{root}/weights")
+    first = table.select("features").first()
+    return table.select("symbol", "w"), list(first["features"]) if first else []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..functions.scalars import truth
 from ..operators.catalogue import build_features
 from ..operators.monitor import signal_record
 from ..session import shared_dir
-from ..sources.bars import last_n_per_symbol, latest_rows
+from ..sources.bars import last_n_per_symbol, unique_bars
 
 LATE = "10 minutes"
 
@@ -29,6 +30,21 @@ def stream_table(spark: SparkSession, folder: str, name: str, schema, files_per_
     return reader.parquet(folder)
 
 
+def land_in_order(rows: DataFrame, folder: str, order: str, files: int) -> None:
+    """Rows as several files, one written after the other in event-time order, as a collector lands them.
+
+    A file stream takes files by the time they were written, and a watermark drops what comes too
+    late behind it. A backlog that is read in several triggers must therefore have been landed in
+    order; files written in parallel have no order.
+    """
+    at = F.col(order).cast("timestamp").cast("double")
+    borders = rows.select(F.percentile_approx(at, [k / files for k in range(1, files)], 10_000)).first()[0] if files > 1 else []
+    for low, high in zip([None, *borders], [*borders, None], strict=True):
+        part = rows if low is None else rows.where(at > low)
+        part = part if high is None else part.where(at <= high)
+        part.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(folder)
+
+
 def stream_bars(ticks: DataFrame, interval: str = "1 hour", late: str = LATE) -> DataFrame:
     """Ticks ``(symbol, ts, price, qty, seq)`` to bars per window; rows later than ``late`` are dropped."""
     return (
@@ -77,9 +93,16 @@ def run_append(df: DataFrame, label: str) -> DataFrame:
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if lost := dropped_late(query):
+        warnings.warn(f"{label}: {lost} rows came later than the watermark allows and were dropped", stacklevel=2)
     return spark.read.schema(df.schema).parquet(out)
 
 
+def dropped_late(query) -> int:
+    """Rows that a finished query dropped as late, as its progress reports count them."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+
+
 def run_batches(df: DataFrame, label: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Run a stream through a batch handler over what is there now."""
     checkpoint = workspace(df.sparkSession, f"{label}-checkpoint")
@@ -100,12 +123,17 @@ def run_complete(df: DataFrame, label: str) -> DataFrame:
     return versions.join(newest, "v", "left_semi").select(*df.columns)
 
 
+BUCKETS = 32
+
+
 class StreamScorer:
-    """Scores the newest bar of every symbol that got bars in a micro-batch.
+    """Scores the newest bar that a micro-batch brings for each symbol.
 
-    The last ``buffer`` bars of each symbol live in a table with one version per batch, so
-    a batch reads a bounded history and a retried batch writes the same version again. The
-    features come from the batch builder.
+    The last ``buffer`` bars of each symbol are kept in buckets of symbols; a batch writes a new
+    version of the buckets it touches, from the version before it, and removes older ones. A batch
+    that runs again reads and writes the same versions. Of repeated bars the batch's own one holds.
+    The features come from the batch builder, the score from a function over feature rows, such as
+    that of a fitted model.
     """
 
     def __init__(self, path: str, score: Callable[[DataFrame], DataFrame], columns: Sequence[str], buffer: int = 1000, minimum: int = 50):
@@ -114,19 +142,46 @@ class StreamScorer:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        bars = batch.select("symbol", "ts", "open", "high", "low", "close", "volume")
-        if batch_id > 0:
-            old = spark.read.schema(bars.schema).parquet(f"{self.path}/state/v={batch_id - 1}")
-            bars = old.unionByName(bars)
-        state = last_n_per_symbol(bars, self.buffer)
-        state.write.mode("overwrite").parquet(f"{self.path}/state/v={batch_id}")
-        kept = spark.read.schema(bars.schema).parquet(f"{self.path}/state/v={batch_id}")
-        ready = kept.groupBy("symbol").count().where(F.col("count") >= self.minimum)
-        touched = batch.select("symbol").distinct()
-        history = kept.join(ready, "symbol", "left_semi").join(touched, "symbol", "left_semi")
-        features = build_features(history, columns=self.columns, group_rows=self.buffer)
-        newest = latest_rows(features)
-        signal_record(self.score(newest)).write.mode("overwrite").parquet(f"{self.path}/signals/v={batch_id}")
+        bucket = F.expr(f"pmod(xxhash64(symbol), {BUCKETS})").cast("int").alias("bucket")
+        new = unique_bars(batch.select("symbol", "ts", "open", "high", "low", "close", "volume")).select("*", bucket)
+        new.persist()
+        try:
+            touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most BUCKETS numbers
+            before = {b: self._newest(spark, b, batch_id) for b in touched}
+            rows = new
+            if old := [self._folder(v, b) for b, v in before.items() if v is not None]:
+                kept = spark.read.schema(new.drop("bucket").schema).parquet(*old).select("*", bucket)
+                rows = new.unionByName(kept.join(new.select("symbol", "ts"), ["symbol", "ts"], "left_anti"))
+            last_n_per_symbol(rows, self.buffer).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/state/v={batch_id}")
+            state = spark.read.schema(new.schema).parquet(f"{self.path}/state/v={batch_id}").drop("bucket")
+            newest = new.groupBy("symbol").agg(F.max("ts").alias("ts"))
+            ready = state.groupBy("symbol").count().where(F.col("count") >= self.minimum).select("symbol")
+            history = state.join(newest.join(ready, "symbol").select("symbol"), "symbol", "left_semi")
+            features = build_features(history, columns=self.columns, group_rows=self.buffer)
+            scored = self.score(features.join(newest, ["symbol", "ts"], "left_semi"))
+            signal_record(scored).write.mode("overwrite").parquet(f"{self.path}/signals/v={batch_id}")
+        finally:
+            new.unpersist()
+        for b, v in before.items():
+            self._remove_before(spark, b, v)
+
+    def _folder(self, version: int, bucket: int) -> str:
+        return f"{self.path}/state/v={version}/bucket={bucket}"
+
+    def _versions(self, spark: SparkSession, bucket: int) -> list[int]:
+        root = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/v=*/bucket={bucket}")
+        found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root)
+        return sorted(int(f.getPath().getParent().getName()[2:]) for f in found or [])
+
+    def _newest(self, spark: SparkSession, bucket: int, batch_id: int) -> int | None:
+        return max((v for v in self._versions(spark, bucket) if v < batch_id), default=None)
+
+    def _remove_before(self, spark: SparkSession, bucket: int, version: int | None) -> None:
+        """The version that a batch was made from stays, in case the batch runs again."""
+        for v in self._versions(spark, bucket):
+            if version is not None and v < version:
+                path = spark._jvm.org.apache.hadoop.fs.Path(self._folder(v, bucket))
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def signals(self, spark: SparkSession) -> DataFrame:
         schema = "symbol string, ts timestamp, prediction double, confidence double, signal string, v long"

@@ -21,10 +21,10 @@ PREDICTION = T.StructType(
 
 
 def kafka_source(
-    spark: SparkSession, servers: str, topics: Sequence[str], starting: str = "latest", max_offsets: int | None = 10_000
+    spark: SparkSession, servers: str, topics: Sequence[str], starting: str = "latest", max_offsets: int | None = None
 ) -> DataFrame:
-    """Raw messages of several topics. ``max_offsets`` bounds a micro-batch; what does not fit
-    waits in the broker, nothing is dropped. Offsets live in the query's checkpoint."""
+    """Raw messages of several topics. ``max_offsets``, if given, bounds a micro-batch; what does
+    not fit waits in the broker, nothing is dropped. Offsets live in the query's checkpoint."""
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
