@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import ratio
 from ..functions.series import BARS, Series, as_series
+from ..session import cut
 
 
 def universe(table: DataFrame, sector: str | None = None, limit: int | None = None) -> DataFrame:
@@ -30,23 +31,37 @@ def universe_filter(
     return symbols.join(wanted.select("symbol"), "symbol", "left_semi")
 
 
+def index_calendar(bars: DataFrame, index: str, era_seconds: int = 365 * 86_400) -> DataFrame:
+    """Every date of the panel with ``_open`` (1 if the index has a bar), ``_upto``, how many index
+    dates there are up to it, and ``_last``, how many in all.
+
+    Counted per era, plus the counts of earlier eras from a table of one row per era.
+    """
+    on_index = bars.where(F.col("symbol") == index).select("ts").distinct().withColumn("_open", F.lit(1))
+    era = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / era_seconds)
+    dates = bars.select("ts").distinct().join(on_index, "ts", "left").withColumn("_era", era)
+    before = Window.orderBy("_era").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dates.groupBy("_era").agg(F.count("_open").alias("_n"))
+    sizes = sizes.select("_era", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("_last"))
+    within = Window.partitionBy("_era").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    dates = dates.withColumn("_in", F.count("_open").over(within)).join(sizes, "_era")
+    return dates.select("ts", "_open", (F.col("_in") + F.col("_off")).alias("_upto"), "_last")
+
+
 def market_calendar_align(bars: DataFrame, index: str, **layout) -> DataFrame:
     """Every symbol on the dates of the index symbol, last bar carried forward.
 
     A bar covers the index dates from its own date up to the next bar of its symbol. Index
     dates are numbered once (a table no longer than the calendar); each bar then covers a
-    sequence of numbers, which is exploded and turned back into dates by an equi-join.
+    sequence of numbers, which is exploded and turned back into dates by an equi-join. The bars are
+    read several times, so a frame that is costly to make should be written before (as
+    ``market_features`` does).
     """
-    on_index = bars.where(F.col("symbol") == index).select("ts").withColumn("_open", F.lit(1))
-    dates = bars.select("ts").distinct().join(on_index, "ts", "left")
-    so_far = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    dates = dates.select("ts", "_open", F.count("_open").over(so_far).alias("_upto"))
-    total = dates.agg(F.max("_upto").alias("_last"))
+    dates = cut(index_calendar(bars, index))
     # first index date at or after a bar date
-    place = dates.select("ts", F.when(F.col("_open") == 1, F.col("_upto")).otherwise(F.col("_upto") + 1).alias("_from"))
+    place = dates.select("ts", F.when(F.col("_open") == 1, F.col("_upto")).otherwise(F.col("_upto") + 1).alias("_from"), "_last")
     s = as_series(bars.join(place, "ts"), lookback=1, ahead=1, **layout)
-    last = total.first()["_last"]
-    s = s.add({"_next": F.coalesce(F.lead("_from").over(s.axis.spec), F.lit(last + 1)), "_before": F.lag("_from").over(s.axis.spec)})
+    s = s.add({"_next": F.coalesce(F.lead("_from").over(s.axis.spec), F.col("_last") + 1), "_before": F.lag("_from").over(s.axis.spec)})
     covers = F.when(F.col("_next") > F.col("_from"), F.sequence("_from", F.col("_next") - 1))
     head = F.when(F.col("_before").isNull() & (F.col("_from") > 1), F.sequence(F.lit(1).cast("bigint"), F.col("_from") - 1))
     none = F.array().cast("array<bigint>")
@@ -68,7 +83,12 @@ def shared_days(bars: DataFrame, index: str) -> DataFrame:
 
 
 def market_features(bars: DataFrame, index: str, **layout) -> DataFrame:
-    """Return and volatility of the index and the return relative to it, on index dates."""
+    """Return and volatility of the index and the return relative to it, on index dates.
+
+    The bars are written once and everything is made from that; without the index symbol they
+    come back as they are.
+    """
+    bars = cut(bars)
     if bars.where(F.col("symbol") == index).isEmpty():
         return bars
     m = Series(bars.where(F.col("symbol") == index).select("symbol", "ts", "close"))

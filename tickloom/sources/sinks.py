@@ -19,14 +19,14 @@ RECORD = T.StructType(
 
 
 def write_prediction_json(records: DataFrame, path: str, mode: str = "append") -> None:
-    """Prediction records as JSON under ``dt=`` folders."""
-    _by_day(records).write.mode(mode).partitionBy("dt").json(path)
+    """Prediction records as JSON under ``dt=`` folders, one a month."""
+    _by_month(records).write.mode(mode).partitionBy("dt").json(path)
 
 
-def _by_day(records: DataFrame) -> DataFrame:
-    """Records in ranges of day and symbol: a task writes few days, and a day or symbol with a large
-    share of the records is dealt to several tasks."""
-    out = records.withColumn("dt", F.to_date("ts"))
+def _by_month(records: DataFrame) -> DataFrame:
+    """Records in ranges of month and symbol: a task writes few months, and a month or symbol with a
+    large share of the records is dealt to several tasks."""
+    out = records.withColumn("dt", F.trunc("ts", "month"))
     return out.repartitionByRange("dt", "symbol", "ts")
 
 
@@ -36,15 +36,15 @@ def read_prediction_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_prediction_table(records: DataFrame, path: str, mode: str = "append") -> None:
-    """History table in parquet, partitioned by day for time-range reads."""
-    _by_day(records).write.mode(mode).partitionBy("dt").parquet(path)
+    """History table in parquet, partitioned by month for time-range reads."""
+    _by_month(records).write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def read_prediction_table(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """``since`` prunes whole day folders before the row filter."""
+    """``since`` prunes whole month folders before the row filter."""
     df = spark.read.parquet(path)
     if since:
-        df = df.where((F.col("dt") >= F.lit(since).cast("date")) & (F.col("ts") >= F.lit(since).cast("timestamp")))
+        df = df.where((F.col("dt") >= F.trunc(F.lit(since).cast("date"), "month")) & (F.col("ts") >= F.lit(since).cast("timestamp")))
     return df.drop("dt")
 
 
