@@ -69,18 +69,20 @@ def classification_metrics(rows: DataFrame, models: Sequence[str], by: Sequence[
     return sums.select(*by, "model", "accuracy", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
-def asset_rankings(performance: DataFrame, metric: str = "accuracy", top: int | None = 10) -> DataFrame:
-    """Symbols by one metric, best first, ties by name. A limited order becomes a per-task top-k."""
+def asset_rankings(performance: DataFrame, metric: str = "accuracy", top: int | None = 10, by: Sequence[str] = ()) -> DataFrame:
+    """Symbols by one metric, best first, ties by name; ``by`` ranks within groups such as models.
+
+    ``top`` is how many places are reported (None: all). The limit on the rank prunes inside each
+    task before the shuffle.
+    """
     cols = [c for c in ("sharpe_ratio", "precision", "recall") if c in performance.columns]
-    ordered = performance.select("symbol", F.col(metric).alias("metric"), *cols).orderBy(F.col("metric").desc(), "symbol")
-    if top is None:
-        return ordered
-    best = ordered.limit(top)
-    return best.withColumn("place", F.rank().over(Window.orderBy(F.col("metric").desc(), "symbol")))
+    order = Window.partitionBy(*by).orderBy(F.col("metric").desc(), "symbol")
+    ranked = performance.select("symbol", *by, F.col(metric).alias("metric"), *cols).withColumn("place", F.rank().over(order))
+    return ranked if top is None else ranked.where(F.col("place") <= top)
 
 
-def panel_summary(performance: DataFrame) -> DataFrame:
-    return performance.agg(F.count("accuracy").alias("successful_models"), F.avg("accuracy").alias("mean_accuracy"))
+def panel_summary(performance: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return performance.groupBy(*by).agg(F.count("accuracy").alias("successful_models"), F.avg("accuracy").alias("mean_accuracy"))
 
 
 def message_stats(messages: DataFrame) -> DataFrame:

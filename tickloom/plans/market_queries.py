@@ -712,14 +712,14 @@ PRESENT = "CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) > 60 TH
 @query(
     "ensemble_predict",
     f"""{B0}, {TARGETED}, q AS (SELECT *, {PRESENT} AS d FROM tg) SELECT symbol, {DAY},
-    {rnd('0.4 * model_a + 0.3 * model_b + 0.2 * model_c + 0.1 * coalesce(d, 0) + 0.000000123', 6)} AS prediction,
-    {rnd('(0.4 * model_a + 0.3 * model_b + 0.2 * model_c + 0.1 * coalesce(d, 0)) / (0.9 + CASE WHEN d IS NULL THEN 0 ELSE 0.1 END) + 0.000000123', 6)} AS renormalised FROM q""",
+    {rnd('0.4 * model_a + 0.3 * model_b + 0.2 * model_c + 0.1 * coalesce(d, 0)', 6)} AS prediction,
+    {rnd('(0.4 * model_a + 0.3 * model_b + 0.2 * model_c + 0.1 * coalesce(d, 0)) / (0.9 + CASE WHEN d IS NULL THEN 0 ELSE 0.1 END)', 6)} AS renormalised FROM q""",
 )
 def weighted_sum(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed weights; the last model is missing for the first 60 rows of each symbol."""
     s = as_series(model_rows(spark, sf), **bound(spark, sf))
     s = s.add({"model_d": F.when(F.row_number().over(s.axis.spec) > 60, F.col("model_d"))})
-    s = s.add({"prediction": ensemble_predict(FIXED) + 1.23e-7, "renormalised": ensemble_predict(FIXED, True) + 1.23e-7})
+    s = s.add({"prediction": ensemble_predict(FIXED), "renormalised": ensemble_predict(FIXED, True)})
     return rounded(s.tidy(), {"prediction": 6, "renormalised": 6}, ["symbol", day()])
 
 
@@ -746,21 +746,22 @@ def sequences(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-PERF = f"{B0}, {TARGETED}, {LONG}, cm AS ({CLASS_SQL.replace('KEYS', 'symbol,')}), pf AS (SELECT * FROM cm WHERE model = 'model_a')"
+PERF = f"{B0}, {TARGETED}, {LONG}, cm AS ({CLASS_SQL.replace('KEYS', 'symbol,')}), pf AS (SELECT * FROM cm)"
 
 
 def performance(spark: SparkSession, sf: str) -> DataFrame:
-    return classification_metrics(spark, sf).where(F.col("model") == "model_a")
+    """All four models on all symbols."""
+    return classification_metrics(spark, sf)
 
 
-@query("asset_rankings", f'{PERF} SELECT symbol, accuracy AS metric, "precision", recall, row_number() OVER (ORDER BY accuracy DESC, symbol) AS place FROM pf ORDER BY accuracy DESC, symbol LIMIT 10')
+@query("asset_rankings", f'{PERF} SELECT symbol, model, accuracy AS metric, "precision", recall, row_number() OVER (PARTITION BY model ORDER BY accuracy DESC, symbol) AS place FROM pf QUALIFY place <= 10')
 def asset_rankings(spark: SparkSession, sf: str) -> DataFrame:
-    return M.asset_rankings(performance(spark, sf), "accuracy", 10).withColumn("place", F.col("place").cast("bigint"))
+    return M.asset_rankings(performance(spark, sf), "accuracy", 10, ["model"]).withColumn("place", F.col("place").cast("bigint"))
 
 
-@query("panel_summary", f"{PERF} SELECT count(accuracy) AS successful_models, {rnd('avg(accuracy)', 5)} AS mean_accuracy FROM pf")
+@query("panel_summary", f"{PERF} SELECT model, count(accuracy) AS successful_models, {rnd('avg(accuracy)', 5)} AS mean_accuracy FROM pf GROUP BY model")
 def panel_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(M.panel_summary(performance(spark, sf)), {"mean_accuracy": 5}, ["successful_models"])
+    return rounded(M.panel_summary(performance(spark, sf), ["model"]), {"mean_accuracy": 5}, ["model", "successful_models"])
 
 
 @query(

@@ -18,6 +18,7 @@ from ..streaming.live import workspace
 from . import datasets as D
 from .market_queries import bound
 from .news_queries import combined
+from .oracles.base import DAY, bars_cte
 from .registry import day, query
 
 FEATURES = ("return_1d", "return_5d", "volume_ratio_5", "price_position", "spread_proxy", "roc_10")
@@ -42,7 +43,7 @@ def validated(spark: SparkSession, sf: str, estimator, both: bool = False) -> Da
 
 @query("ml_forest")
 def ml_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return validated(spark, sf, E.forest(trees=20))
+    return validated(spark, sf, E.forest())
 
 
 @query("ml_boost_a")
@@ -59,7 +60,7 @@ def ml_boost_b(spark: SparkSession, sf: str) -> DataFrame:
 def ml_voting(spark: SparkSession, sf: str) -> DataFrame:
     rows = E.model_input(panel(spark, sf).df, FEATURES)
     train, val = rows.where("part = 'train'"), rows.where("part = 'val'")
-    for name, est in (("forest", E.forest(trees=10, depth=6)), ("logistic", E.logistic())):
+    for name, est in (("forest", E.forest()), ("logistic", E.logistic())):
         val = E.up_probability(E.fit(train, FEATURES, est), val, name)
     return val.select("symbol", day(), "target", E.vote(["forest", "logistic"]).alias("probability_up"))
 
@@ -89,7 +90,7 @@ def ensemble_panel(spark: SparkSession, sf: str) -> DataFrame:
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     rows = E.model_input(panel(spark, sf).df, FEATURES).where("part = 'train'")
-    models = [E.fit(rows, FEATURES, E.forest(trees=10, depth=6)), E.fit(rows, FEATURES, E.boosted(rounds=5, depth=4))]
+    models = [E.fit(rows, FEATURES, E.forest()), E.fit(rows, FEATURES, E.boosted(rounds=5, depth=4))]
     return E.feature_importance(models, FEATURES, spark)
 
 
@@ -145,7 +146,11 @@ def ensemble_backtest(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", *[F.col(n) if n in counts else F.round(n, 6).alias(n) for n in out.columns if n != "symbol"])
 
 
-@query("model_store")
+VAL_SQL = f"""WITH {bars_cte()} SELECT symbol, {DAY}, true AS same FROM bars
+QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 >= floor(count(*) OVER (PARTITION BY symbol) * 0.8)"""
+
+
+@query("model_store", VAL_SQL)
 def model_store(spark: SparkSession, sf: str) -> DataFrame:
     """Save, load, score: the loaded model must agree with the fitted one."""
     rows = E.model_input(panel(spark, sf).df, FEATURES)
@@ -154,7 +159,18 @@ def model_store(spark: SparkSession, sf: str) -> DataFrame:
     save_model(model, root, "pooled")
     val = rows.where("part = 'val'")
     both = E.up_probability(load_model(root, "pooled"), E.up_probability(model, val, "before"), "after")
-    return both.select("symbol", day(), "before", "after", (F.abs(F.col("before") - F.col("after")) < 1e-12).alias("same"))
+    return both.select("symbol", day(), (F.abs(F.col("before") - F.col("after")) < 1e-12).alias("same"))
+
+
+@query("fit_per_symbol", f"WITH {bars_cte()} SELECT symbol, true AS optimal FROM bars GROUP BY symbol HAVING floor(count(*) * 0.8) >= 50")
+def fit_per_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    """At the fitted weights of every symbol the gradient of its ridge logistic loss vanishes."""
+    rows = panel(spark, sf).df.where("part = 'train'")
+    weights = E.fit_per_symbol(rows, FEATURES, rounds=12)
+    scored = E.score_per_symbol(E.model_input(rows, FEATURES), weights, FEATURES).join(weights, "symbol")
+    miss = F.col("target") - F.col("prediction")
+    slopes = [F.sum(miss * x) - F.any_value(F.col("w")[i]) for i, x in enumerate([*[F.col(n) for n in FEATURES], F.lit(1.0)])]
+    return scored.groupBy("symbol").agg((F.greatest(*[F.abs(x) for x in slopes]) < 1e-6).alias("optimal"))
 
 
 @query("walk_forward_run")

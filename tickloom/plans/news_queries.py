@@ -152,7 +152,7 @@ def asof_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, ASOF_DIGITS, ["symbol", day(), "news_count", "sentiment_regime"])
 
 
-NUDGE = 1.2345e-06
+DIGITS = 7
 
 
 def feature_sql() -> str:
@@ -165,9 +165,9 @@ def feature_sql() -> str:
     cols["sentiment_momentum_5d"] = mean("combined_sentiment", 5)
     cols |= {f"sentiment_{n}": n for n in N.ACTIVITY}
     inner = ", ".join(f"{e} AS {n}" for n, e in cols.items())
-    outer = ", ".join(rnd(f"coalesce({n}, 0) + {NUDGE!r}", 4) + f" AS {n}" for n in cols)
+    outer = ", ".join(rnd(f"coalesce({n}, 0)", DIGITS) + f" AS {n}" for n in cols)
     return f"""{ASOF}, ft AS (SELECT symbol, ts, combined_sentiment AS mood, {inner} FROM al), f2 AS (SELECT *, sentiment_momentum_5d - {lag('sentiment_momentum_5d')} AS acc FROM ft)
-    SELECT symbol, {DAY_SQL}, {outer}, {rnd(f'coalesce(acc, 0) + {NUDGE!r}', 4)} AS sentiment_acceleration,
+    SELECT symbol, {DAY_SQL}, {outer}, {rnd('coalesce(acc, 0)', DIGITS)} AS sentiment_acceleration,
     CAST(coalesce(mood > 0.1, false) AS INTEGER) AS sentiment_regime_positive, CAST(coalesce(mood < -0.1, false) AS INTEGER) AS sentiment_regime_negative FROM f2"""
 
 
@@ -181,7 +181,7 @@ FLAGS = ("sentiment_regime_positive", "sentiment_regime_negative")
 @query("sentiment_features", feature_sql())
 def sentiment_features(spark: SparkSession, sf: str) -> DataFrame:
     out = features(spark, sf)
-    return rounded(out, {n: 4 for n in N.SENTIMENT_FEATURES if n not in FLAGS}, ["symbol", day(), *FLAGS], nudge=NUDGE)
+    return rounded(out, {n: DIGITS for n in N.SENTIMENT_FEATURES if n not in FLAGS}, ["symbol", day(), *FLAGS])
 
 
 @query("attach_sentiment", f"{ASOF} SELECT symbol, {DAY_SQL}, close, {rnd('coalesce(combined_sentiment, 0)', 5)} AS sentiment_combined_sentiment FROM al JOIN bars USING (symbol, ts)")
