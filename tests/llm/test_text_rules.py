@@ -45,7 +45,7 @@ def test_lines_that_go(spark):
     text = "\n".join(["Home | News | Sport | About | Contact", "A full sentence that says something and ends.", "", "Read more", "All rights reserved.", "word### word### word###", "He said “yes.”"])
     r = line_rules.clean(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert r["clean_text"] == "A full sentence that says something and ends.\n\nHe said “yes.”"
-    assert r["n_removed"] == 4 and r["keeps"] is True
+    assert r["n_removed"] == 4 and r["n_lines"] == 7
 
 
 def test_quality_labels(spark, documents):
@@ -57,7 +57,7 @@ def test_quality_labels(spark, documents):
 
 
 def test_site_lines(spark):
-    rows = [(i, "a", f"Own line {i}.\nOn every page.\n\nNow and then {i % 9}.") for i in range(40)]
+    rows = [(i, "a", f"Own line {i}.\nOn every page.\n\nNow and then {i % 20}.") for i in range(40)]
     rows += [(100 + i, "b", "On every page.\nCopies of one page.") for i in range(30)] + [(200, None, None), (201, None, "")]
     out = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert len(out) == len(rows)

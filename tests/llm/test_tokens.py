@@ -118,10 +118,10 @@ def test_packing_of_odd_rows(odd, words):
 
 def test_neighbours_are_the_best_by_bm25():
     rng = np.random.default_rng(5)
-    docs = [rng.integers(0, 400, rng.integers(5, 120)).astype("<u4") for _ in range(60)]
+    docs = [rng.integers(0, 90, rng.integers(5, packing.QUERY_TERMS)).astype("<u4") for _ in range(60)]
     index = packing.Index(docs)
     n, mean = len(docs), np.mean([len(d) for d in docs])
-    df = {t: sum(t in d for d in docs) for t in range(400)}
+    df = {t: sum(t in d for d in docs) for t in range(90)}
 
     def weight(t, d):
         tf = int((d == t).sum())
