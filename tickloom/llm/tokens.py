@@ -16,8 +16,8 @@ import regex
 from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-CACHE_CHUNKS = 500_000
-CACHE_PIECES = 300_000
+CACHE_CHUNKS = 800_000
+CACHE_PIECES = 600_000
 #: Marks that the pattern cuts off after a run of letters.
 MARKS = frozenset(".,;:!?")
 #: Characters that the vocabulary's normalizer only lower-cases, one by one.
