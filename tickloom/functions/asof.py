@@ -6,13 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .series import MAX_GROUP_ROWS
+
+
+#: Calendar eras that long symbols are split into.
+ERA = 365 * 86_400
+
+
+def era_for(group_rows: int | None, limit: int = MAX_GROUP_ROWS) -> int | None:
+    """No eras where the largest symbol is known to fit one window group, as for series."""
+    return None if group_rows is not None and group_rows <= limit else ERA
+
 
 def asof_join(
     left: DataFrame,
     right: DataFrame,
     by: str = "symbol",
     on: str = "ts",
-    era_seconds: int | None = None,
+    era_seconds: int | None = ERA,
 ) -> DataFrame:
     """For every left row the last right row with the same ``by`` and ``on`` at or before it.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.asof import asof_join
+from ..functions.asof import asof_join, era_for
 from ..functions.scalars import flag, grid, ratio, truth
 from ..functions.series import Axis, Series, as_series
 from ..session import cut
@@ -115,6 +115,7 @@ def run_backtest(
     bars: DataFrame, predictions: DataFrame, strategy: str = "long_short", threshold: float = 0.6,
     costs: Costs = Costs(), missing_prediction: str = "zero", era_seconds: int | None = None, **layout,
 ) -> Series:
+    era_seconds = era_seconds or era_for(layout.get("group_rows"))
     joined = asof_join(bars, predictions.select("symbol", "ts", "prediction"), era_seconds=era_seconds)
     return backtest(as_series(joined, lookback=51, **layout), strategy, threshold, costs, missing_prediction)
 

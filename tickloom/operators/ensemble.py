@@ -151,7 +151,7 @@ class Ensemble:
     features: Sequence[str]
     trees: int = 100
     boost_rounds: int = 100
-    long_rounds: int = 200
+    long_rounds: int = 1000
     sequence_length: int = 60
     sequence_features: Sequence[str] | None = None
     seed: int = 42

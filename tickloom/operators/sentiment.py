@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.asof import asof_join
+from ..functions.asof import ERA, asof_join, era_for
 from ..functions.scalars import flag, ratio
 from ..functions.series import Axis, as_series
 
@@ -143,7 +143,7 @@ SENTIMENT_FEATURES = (
 )
 
 
-def asof_sentiment(bars: DataFrame, combined: DataFrame, era_seconds: int | None = None) -> DataFrame:
+def asof_sentiment(bars: DataFrame, combined: DataFrame, era_seconds: int | None = ERA) -> DataFrame:
     """The last sentiment day at or before each bar, as a whole row."""
     right = combined.withColumn("ts", F.col("date").cast("timestamp")).drop("date")
     return asof_join(bars, right, era_seconds=era_seconds)
@@ -154,7 +154,7 @@ def sentiment_features(
 ) -> DataFrame:
     """71 sentiment columns per bar; nothing stays NULL."""
     right = combined.select("symbol", "date", *ALIGNED, *ACTIVITY)
-    joined = asof_sentiment(bars.select("symbol", "ts"), right, era_seconds)
+    joined = asof_sentiment(bars.select("symbol", "ts"), right, era_seconds or era_for(group_rows))
     s = as_series(joined, lookback=21, group_rows=group_rows)
     a, cols = s.axis, {}
     for n in ALIGNED:

@@ -45,6 +45,18 @@ def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", minute("ts"), "open", "high", "low", "close", "volume")
 
 
+def parted(spark: SparkSession, sf: str, files: int) -> str:
+    """The ticks as several files in event-time order, as a collector would land them."""
+    path = L.workspace(spark, "ticks")
+    L.land_in_order(D.ticks(spark, sf), path, "ts", files)
+    return path
+
+
+def file_by_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The ticks as a backlog of files, one per trigger."""
+    return L.stream_table(spark, parted(spark, sf, 4), "*.parquet", D.ticks(spark, sf).schema, files_per_trigger=1)
+
+
 FEED = f"""{TICKS}, fd AS (SELECT symbol, ts, (CAST(price AS BIGINT) % 1000) / 1000.0 AS prediction, CAST(price AS BIGINT) % 7 - 3 AS actual_return FROM tk)"""
 
 
@@ -66,6 +78,20 @@ def stream_latest_prediction(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(latest, {"confidence": 6}, ["symbol", minute("ts"), "prediction", "signal"])
 
 
+@query(
+    "stream_latest_expiring",
+    f"""WITH {FEED}, la AS (SELECT symbol, max(ts) AS ts, arg_max(prediction, ts) AS prediction FROM fd GROUP BY symbol)
+    SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, prediction, {rnd('abs(prediction - 0.5) * 2', 6)} AS confidence,
+    CASE WHEN prediction > 0.6 THEN 'BUY' WHEN prediction < 0.4 THEN 'SELL' ELSE 'HOLD' END AS signal,
+    epoch_ms(ts) + 600000 > (SELECT max(epoch_ms(ts)) FROM fd) AS live FROM la""",
+)
+def stream_latest_expiring(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest records of all symbols, those that have expired marked by the state's own timeout."""
+    records = signal_record(prediction_feed(file_by_file(spark, sf)))
+    latest = L.run_updates(L.latest_expiring(records, 600), "latest-expiring")
+    return rounded(latest, {"confidence": 6}, ["symbol", minute("ts"), "prediction", "signal", "live"])
+
+
 @query(
     "stream_accuracy",
     f"""WITH {FEED}, ex AS (SELECT symbol, prediction, actual_return, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR,
@@ -129,18 +155,6 @@ def foreach_processor(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("processor", "symbol").agg(F.sum("value").alias("value"))
 
 
-def parted(spark: SparkSession, sf: str, files: int) -> str:
-    """The ticks as several files in event-time order, as a collector would land them."""
-    path = L.workspace(spark, "ticks")
-    L.land_in_order(D.ticks(spark, sf), path, "ts", files)
-    return path
-
-
-def file_by_file(spark: SparkSession, sf: str) -> DataFrame:
-    """The ticks as a backlog of files, one per trigger."""
-    return L.stream_table(spark, parted(spark, sf, 4), "*.parquet", D.ticks(spark, sf).schema, files_per_trigger=1)
-
-
 @query("stream_bars_files", ORACLES["stream_bars"])
 def stream_bars_files(spark: SparkSession, sf: str) -> DataFrame:
     out = L.run_append(L.stream_bars(file_by_file(spark, sf)), "stream-bars-files")

@@ -6,8 +6,10 @@ import uuid
 import warnings
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.scalars import truth
 from ..operators.catalogue import build_features
@@ -73,6 +75,51 @@ def live(latest: DataFrame, as_of, ttl_seconds: int = 300) -> DataFrame:
     return latest.where(F.col("ts") >= F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_seconds)))
 
 
+LATEST = "symbol string, ts timestamp, prediction double, confidence double, signal string"
+
+
+def latest_expiring(predictions: DataFrame, ttl_seconds: int = 300) -> DataFrame:
+    """Latest record per symbol with its expiry in the state: an update when it changes, and one
+    with ``live`` false when event time has passed it by ``ttl_seconds``, after which the symbol
+    holds no state."""
+
+    def follow(key, frames, state):
+        names = ["ts", "prediction", "confidence", "signal"]
+        if state.hasTimedOut:
+            ts, *rest = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], pd.Timestamp(ts, unit="us"), *rest, False)], columns=["symbol", *names, "live"])
+            return
+        newest = state.get if state.exists else None
+        for frame in frames:
+            row = frame.loc[frame["ts"].idxmax(), names]
+            at = row["ts"].value // 1000
+            if newest is None or at >= newest[0]:
+                newest = (at, float(row["prediction"]), float(row["confidence"]), str(row["signal"]))
+        ends = newest[0] // 1000 + ttl_seconds * 1000
+        live = ends > state.getCurrentWatermarkMs()
+        if live:
+            state.update(newest)
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], pd.Timestamp(newest[0], unit="us"), *newest[1:], live)], columns=["symbol", *names, "live"])
+
+    rows = predictions.select("symbol", "ts", "prediction", "confidence", "signal").withWatermark("ts", "0 seconds")
+    state = "ts long, prediction double, confidence double, signal string"
+    return rows.groupBy("symbol").applyInPandasWithState(follow, f"{LATEST}, live boolean", state, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_updates(df: DataFrame, label: str, key: str = "symbol") -> DataFrame:
+    """Run an update-mode stream over what is there now; the last row of each key."""
+    out = workspace(df.sparkSession, label)
+    run_batches(df, label, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/v={i}"), mode="update")
+    rest = [n for n in df.columns if n != key]
+    rows = df.sparkSession.read.schema(df.schema.add("v", "long")).parquet(out)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "v").alias("_r"))
+    return last.select(key, *[F.col("_r")[n].alias(n) for n in rest])
+
+
 def stream_accuracy(history: DataFrame, size: str = "1 day", slide: str = "1 hour", late: str = LATE) -> DataFrame:
     """Share of right directions per symbol in sliding windows of event time."""
     right = truth(F.col("prediction") > 0.5) == truth(F.col("actual_return") > 0)
