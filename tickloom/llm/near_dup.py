@@ -5,8 +5,8 @@
    scatters the shingles, the second one, shifted by k places on the circle, gives coordinate k.
    The shifted values of a shingle lie side by side in one table, so a signature is the minimum of
    table rows.
-3. Classes that agree on a band meet in a bucket. Every member is compared with the bucket's first
-   class, on the full sets. The links give components.
+3. Classes that agree on a band meet in a bucket. In two rounds, the first over a few bands, every
+   class is compared with one bucket leader, on the full sets. The links give components.
 4. Buckets that still hold several components are worked through in blocks: pairs of different
    components whose signatures agree well enough are compared on the full sets as well. So no pair
    that meets in a bucket is left open, and a large group of copies costs one comparison a member.
@@ -30,6 +30,8 @@ from .common import or_empty, text_rows, written
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 UNIVERSE_BITS = 20
+#: Bands of the first round.
+FIRST_BANDS = 4
 #: Pairs in a block are looked at further if so many coordinates agree: six standard deviations
 #: below what a pair at the threshold has.
 AGREE = 97
@@ -268,16 +270,22 @@ def _contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def _nearest(shared: DataFrame) -> DataFrame:
     """For each class the leader ``a`` of most of its buckets (``cls`` as ``b``)."""
-    counted = shared.where("a != cls").groupBy("a", "cls").agg(F.count("*").alias("n"))
+    counted = shared.groupBy("a", "cls").agg(F.count("*").alias("n"))
     return counted.groupBy("cls").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("cls").alias("b"))
 
 
-def _with_roots(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """``band``, ``cls``, ``a`` and the components of the two so far."""
-    own = roots.select(F.col("u").alias("cls"), "root")
-    lead = roots.select(F.col("u").alias("a"), F.col("root").alias("a_root"))
-    out = shared.join(own, "cls", "left").join(lead, "a", "left")
-    return written(out.select("band", "cls", "a", F.coalesce("root", "cls").alias("root"), F.coalesce("a_root", "a").alias("a_root")), "named")
+def _banded(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band``, ``cls``, ``low``, ``root``: every class in each of its buckets, with its component so far."""
+    named = classes.select("cls", "low", "bands").join(roots, F.col("cls") == F.col("u"), "left")
+    named = written(named.select("cls", "low", "bands", F.coalesce("root", "cls").alias("root")), "named")
+    return named.select(F.explode("bands").alias("band"), "cls", "low", "root")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Buckets with classes of several components: ``band``, the leader ``a`` and its component ``a_root``."""
+    lead = F.min(F.struct("low", "cls", "root"))
+    found = rows.groupBy("band").agg(lead.alias("lead"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
+    return found.select("band", F.col("lead.cls").alias("a"), F.col("lead.root").alias("a_root"))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -358,22 +366,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         sketch.where("n > 0").groupBy("cls").agg(F.min(low).alias("low"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("id", F.expr("nullif(low, -9223372036854775808L)")),
         "classes",
     )
-    rows = classes.select(F.explode("bands").alias("band"), "cls", "low")
+    # A first round over a few bands: every class with the bucket leader it shares most of them with.
+    rows = classes.select(F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"), "cls", "low")
     buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("low", "cls"))["cls"].alias("a")).where("n > 1")
-    buckets = written(buckets.select("band", "a"), "buckets")
-    shared = written(rows.select("band", "cls").join(buckets, "band"), "shared")
-    # Two rounds of one comparison a class: with the bucket leader it shares most bands with.
-    first = written(_nearest(shared), "stars")
+    shared = rows.select("band", "cls").join(written(buckets.select("band", "a"), "buckets"), "band")
+    first = written(_nearest(shared.where("a != cls")), "stars")
     roots = components(verified(first, docs, classes, key, text, words, percent))
-    named = _with_roots(shared, roots)
-    second = written(_nearest(named.where("root != a_root")).join(first, ["a", "b"], "left_anti"), "stars")
-    if not second.isEmpty():
-        roots = _contracted(roots, written(verified(second, docs, classes, key, text, words, percent), "links"))
-        named = _with_roots(shared, roots)
-    # Buckets whose members have come into one component are done.
-    mixed = written(named.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("band"), "mixed")
+    # Then over all bands, for buckets whose members are not in one component yet: the classes that
+    # are not in their leader's component, again with the leader they share most buckets with.
+    rows = _banded(classes, roots)
+    mixed = written(_mixed(rows), "mixed")
     if not mixed.isEmpty():
-        still = named.join(mixed, "band").join(classes.select("cls", "sig"), "cls").select("band", "cls", "sig", "root")
+        apart = rows.alias("r").join(mixed.alias("m"), (F.col("r.band") == F.col("m.band")) & (F.col("r.root") != F.col("m.a_root"))).select("a", "cls")
+        second = written(_nearest(apart).join(first, ["a", "b"], "left_anti"), "stars")
+        if not second.isEmpty():
+            roots = _contracted(roots, written(verified(second, docs, classes, key, text, words, percent), "links"))
+            rows = _banded(classes, roots)
+            mixed = written(_mixed(rows), "mixed")
+        # What is left is compared in blocks.
+        still = rows.join(mixed.select("band"), "band").select("band", "cls", "root").join(classes.select("cls", "sig"), "cls").select("band", "cls", "sig", "root")
         tried = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = written(open_pairs(written(still, "still")).join(tried, ["a", "b"], "left_anti"), "open")
         if not more.isEmpty():
