@@ -41,8 +41,10 @@ def test_regime_edges(spark):
 def test_headlines(spark):
     body = "".join(f'<h3 class="big article__headline">T{i} <b>x</b>\n &amp; y</h3>' for i in range(12))
     html = f'<h3 class="other">no</h3><h3 class="article__headline"> </h3>{body}'
-    got = W.page_headlines(spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")).collect()
-    assert len(got) == 9 and got[0]["title"] == "T0 x & y"  # ten elements, the first one is empty
+    pages = spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")
+    got = W.page_headlines(pages).collect()
+    assert len(got) == 12 and got[0]["title"] == "T0 x & y"  # the first element is empty
+    assert W.page_headlines(pages, per_page=10).count() == 9
 
 
 def test_quality_and_skipped(bars, frame):
