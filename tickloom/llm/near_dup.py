@@ -288,27 +288,46 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return found.select("band", F.col("lead.cls").alias("a"), F.col("lead.root").alias("a_root"))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows of mixed buckets (``band``, ``cls``, ``sig``, ``root``) dealt into blocks of bounded size.
+def _largest(rows: DataFrame) -> DataFrame:
+    """For each bucket with several components: ``band`` and the component with most rows there (``most``)."""
+    sizes = rows.groupBy("band", "root").agg(F.count("*").alias("k"))
+    found = sizes.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count("*").alias("n")).where("n > 1")
+    return written(found.select("band", "most"), "largest")
 
-    The largest component of a bucket is not compared within itself: its rows stay in one block each,
-    and the rows of the others visit all blocks. Adds ``block`` and ``side``: 0 stays, 1 visits; a row
-    of a smaller component does both in different blocks, so every mixed pair meets once or more.
-    """
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n"))
-    dealt = rows.join(written(sizes, "bucket-sizes"), "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+
+def _dealt(stays: DataFrame, visits: DataFrame) -> DataFrame:
+    """Rows to compare (``of``, ``cls``, ``root``) in blocks of bounded size: ``stays`` are dealt out by
+    group ``of``, and every row of ``visits`` goes to all blocks of its group. Adds ``block`` and ``side``."""
+    blocks = written(stays.groupBy("of").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     home = F.expr("pmod(xxhash64(cls), blocks)").cast("int")
-    stays = dealt.select("band", home.alias("block"), F.lit(0).alias("side"), "cls", "sig", "root")
-    biggest = rows.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("biggest"))
-    others = dealt.join(written(biggest, "biggest"), "band").where(F.col("root") != F.col("biggest"))
-    visits = others.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "block", F.lit(1).alias("side"), "cls", "sig", "root")
-    return stays.unionByName(visits)
+    stay = stays.join(blocks, "of").select("of", home.alias("block"), F.lit(0).alias("side"), "cls", "root", "sig")
+    visit = visits.join(blocks, "of").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return stay.unionByName(visit.select("of", "block", F.lit(1).alias("side"), "cls", "root", "sig"))
 
 
-def open_pairs(rows: DataFrame) -> DataFrame:
+def _to_compare(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """What is left open in buckets with several components.
+
+    Members of a bucket outside its largest component meet one another in the bucket. They meet the
+    largest component once, all of it, wherever they share a bucket with it; its own members need
+    not be compared with one another, and do not go to their buckets again.
+    """
+    largest = _largest(rows)
+    others = rows.alias("r").join(largest.alias("m"), (F.col("r.band") == F.col("m.band")) & (F.col("r.root") != F.col("m.most")))
+    others = written(others.select(F.col("r.band").cast("string").cast("binary").alias("of"), "cls", "root", "most"), "others")
+    several = others.groupBy("of").count().where("count > 1").select("of")
+    inside = others.join(several, "of", "left_semi").select("of", "cls", "root")
+    callers = others.select(F.col("most").alias("of"), "cls", "root").distinct()
+    members = rows.select(F.col("root").alias("of"), "cls", "root").distinct().join(callers.select("of").distinct(), "of", "left_semi")
+    sigs = classes.select("cls", "sig")
+    inside, callers, members = (x.join(sigs, "cls") for x in (inside, callers, members))
+    return _dealt(inside, inside).unionByName(_dealt(members, callers))
+
+
+def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes that share a bucket, lie in different components and have similar signatures."""
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-    dealt = _blocks(rows).repartition("band", "block").sortWithinPartitions("band", "block", "side")
+    dealt = _to_compare(rows, classes).repartition("of", "block").sortWithinPartitions("of", "block", "side")
 
     def compare(stay: list[tuple], visit: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
         if not stay or not visit:
@@ -331,10 +350,10 @@ def open_pairs(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                band, block, side, cls, sig, root = row
-                if (band, block) != at:
+                of, block, side, cls, sig, root = row
+                if (of, block) != at:
                     found.update(compare(stay, visit))
-                    at, stay, visit = (band, block), [], []
+                    at, stay, visit = (of, block), [], []
                     if len(found) > 10_000:
                         yield out()
                 if side == 0:
@@ -347,7 +366,7 @@ def open_pairs(rows: DataFrame) -> DataFrame:
         found.update(compare(stay, visit))
         yield out()
 
-    return dealt.select("band", "block", "side", "cls", "sig", "root").mapInArrow(run, schema).distinct()
+    return dealt.select("of", "block", "side", "cls", "sig", "root").mapInArrow(run, schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -382,11 +401,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         if not second.isEmpty():
             roots = _contracted(roots, written(verified(second, docs, classes, key, text, words, percent), "links"))
             rows = _banded(classes, roots)
-            mixed = written(_mixed(rows), "mixed")
         # What is left is compared in blocks.
-        still = rows.join(mixed.select("band"), "band").select("band", "cls", "root").join(classes.select("cls", "sig"), "cls").select("band", "cls", "sig", "root")
         tried = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = written(open_pairs(written(still, "still")).join(tried, ["a", "b"], "left_anti"), "open")
+        more = written(open_pairs(rows, classes).join(tried, ["a", "b"], "left_anti"), "open")
         if not more.isEmpty():
             roots = _contracted(roots, written(verified(more, docs, classes, key, text, words, percent), "links"))
     grouped = classes.select("cls", "low").join(roots, F.col("cls") == F.col("u"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
