@@ -103,3 +103,10 @@ def test_wrappers_have_optional_and_repeated_groups():
     units = wrappers.packed(wrapper).split("\n")
     assert "(<p>\t#article\t</p>)+" in units and "(<li>\t#article/ul\t</li>)+?" in units and "#article" in units
     assert wrappers.unpacked(wrappers.packed(wrapper)) == wrapper
+
+
+def test_slots_that_only_begin_alike_are_kept(spark):
+    lead = "The same lead-in on every page of the site. " * 8
+    rows = [(i, "http://lead.example/1", f"<html><body><div>{lead}Article number {i} goes on here.</div></body></html>") for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in wrappers.digest(frame(spark, rows)).collect()}
+    assert got == {i: f"{lead}Article number {i} goes on here." for i in range(4)}

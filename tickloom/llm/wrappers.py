@@ -17,6 +17,7 @@ import html as html_module
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -211,8 +212,8 @@ def host_of(column: str = "url"):
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """``host``, ``stream`` (folded), and ``slots``: for each path of the page its length, length in links, and text hash."""
-    slot = T.StructType([T.StructField("path", T.StringType()), T.StructField("chars", T.LongType()), T.StructField("linked", T.LongType()), T.StructField("text", T.StringType())])
+    """``host``, ``stream`` (folded), and ``slots``: for each path of the page its length, length in links, and a hash of its whole text."""
+    slot = T.StructType([T.StructField("path", T.StringType()), T.StructField("chars", T.LongType()), T.StructField("linked", T.LongType()), T.StructField("text", T.BinaryType())])
     schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("stream", T.StringType()), T.StructField("slots", T.ArrayType(slot))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,12 +225,12 @@ def page_facts(pages: DataFrame) -> DataFrame:
                 streams.append("\n".join(fold_repeats(page.tokens)))
                 facts: dict[str, list] = {}
                 for path, text, linked in page.slots:
-                    f = facts.setdefault(path, [0, 0, ""])
+                    f = facts.setdefault(path, [0, 0, blake2b(digest_size=16)])
                     f[0] += len(text)
                     f[1] += linked
-                    f[2] = f[2] + "\n" + text if len(f[2]) < 200 else f[2]
-                slots.append([{"path": p, "chars": c, "linked": k, "text": t[:200]} for p, (c, k, t) in facts.items()])
-            kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("linked", pa.int64()), ("text", pa.string())]))
+                    f[2].update(text.encode("utf-8", "surrogatepass") + b"\n")
+                slots.append([{"path": p, "chars": c, "linked": k, "text": t.digest()} for p, (c, k, t) in facts.items()])
+            kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("linked", pa.int64()), ("text", pa.binary())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(streams, pa.string()), pa.array(slots, kind)], schema.names)
 
     return pages.select(host_of().alias("host"), "html").mapInArrow(run, schema)
