@@ -110,3 +110,13 @@ def test_slots_that_only_begin_alike_are_kept(spark):
     rows = [(i, "http://lead.example/1", f"<html><body><div>{lead}Article number {i} goes on here.</div></body></html>") for i in range(4)]
     got = {r["page_id"]: r["text"] for r in wrappers.digest(frame(spark, rows)).collect()}
     assert got == {i: f"{lead}Article number {i} goes on here." for i in range(4)}
+
+
+def test_hosts_of_several_templates(spark):
+    rows, texts = [], {}
+    for url, base in (("http://mixed.example/1", 0), (None, 100), ("not a url", 200)):
+        for i in range(4):
+            rows += [(base + i, url, f"<html><body><nav>Menu</nav><main><p>Main {base + i}</p></main></body></html>"), (base + 50 + i, url, f"<html><body><nav>Menu</nav><div><p>Plain {base + i}</p></div></body></html>")]
+            texts |= {base + i: f"Main {base + i}", base + 50 + i: f"Plain {base + i}"}
+    got = {r["page_id"]: r["text"] for r in wrappers.digest(frame(spark, rows)).collect()}
+    assert got == texts

@@ -264,11 +264,11 @@ def infer(facts: DataFrame) -> DataFrame:
 
 
 def content_slots(facts: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """``host``, ``paths``: the paths of the wrapper's slots that hold the article.
+    """``host``, ``inner``, ``outer``: the paths of the wrapper's slots that hold the article.
 
-    Slots below an article or main element do, unless a part of that is marked as something else.
-    A host without such slots: unmarked slots that are not mostly links and do not read the same on
-    all of three or more pages.
+    Inner slots are below an article or main element, unless a part of that is marked as something
+    else. Outer slots are for pages without text in inner slots: unmarked slots that are not mostly
+    links and do not read the same on all of three or more pages.
     """
     slots = wrappers.select("host", F.explode(F.array_distinct(F.regexp_extract_all("wrapper", F.lit(r"#([^\n\t?)]*)"), F.lit(1)))).alias("path"))
     seen = (
@@ -278,8 +278,7 @@ def content_slots(facts: DataFrame, wrappers: DataFrame) -> DataFrame:
     judged = seen.join(slots, ["host", "path"], "left_semi").where(~F.col("path").contains("!"))
     inside = F.col("path").rlike("(^|/)(article|main)(/|$)")
     free = (F.col("linked") * 2 <= F.col("chars")) & ((F.col("pages") < 3) | (F.col("first") != F.col("last")))
-    judged = judged.groupBy("host").agg(F.collect_set(F.when(inside, F.col("path"))).alias("inner"), F.collect_set(F.when(free, F.col("path"))).alias("outer"))
-    return judged.select("host", F.when(F.size("inner") > 0, F.col("inner")).otherwise(F.col("outer")).alias("paths"))
+    return judged.groupBy("host").agg(F.collect_set(F.when(inside, F.col("path"))).alias("inner"), F.collect_set(F.when(~inside & free, F.col("path"))).alias("outer"))
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -291,16 +290,17 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), or_empty(page).alias("html"))
     facts = written(page_facts(rows), "page-facts")
     slots = written(content_slots(facts, infer(facts)), "content-slots")  # its size decides on a broadcast
-    joined = rows.withColumn("host", host_of()).join(slots, "host", "left").select("key", "url", "html", "paths")
+    joined = rows.withColumn("host", host_of()).join(slots, "host", "left").select("key", "url", "html", "inner", "outer")
     schema = T.StructType([rows.schema["key"], rows.schema["url"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         for batch in batches:
             texts = []
-            for raw, paths in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
-                wanted = set(paths or ())
-                texts.append(" ".join(t for p, t, _ in Page(raw.as_py()).slots if p in wanted))
+            for raw, inner, outer in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                slots, inner, outer = Page(raw.as_py()).slots, set(inner or ()), set(outer or ())
+                wanted = inner if any(p in inner for p, _, _ in slots) else outer
+                texts.append(" ".join(t for p, t, _ in slots if p in wanted))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["key", "url", "text"])
 
     return joined.mapInArrow(run, schema).withColumnRenamed("key", key)
