@@ -120,3 +120,35 @@ def test_hosts_of_several_templates(spark):
             texts |= {base + i: f"Main {base + i}", base + 50 + i: f"Plain {base + i}"}
     got = {r["page_id"]: r["text"] for r in wrappers.digest(frame(spark, rows)).collect()}
     assert got == texts
+
+
+def test_slots_are_judged_by_their_place_in_the_wrapper(spark):
+    notice = "<h3>Notice of the site</h3>"
+    rows = [(i, "http://place.example/1", f"<html><body><div><p>Always the same.</p><h2>Title {i}</h2>{notice if i % 2 else ''}<p>Text {i}</p></div></body></html>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrappers.digest(frame(spark, rows)).collect()}
+    assert got == {i: f"Title {i} Text {i}" for i in range(6)}
+
+
+def test_another_wrapper_gives_another_text(spark, monkeypatch):
+    rows = [(i, "http://group.example/1", f"<html><body><div><p>Always the same.</p><p>Text {i}</p></div></body></html>") for i in range(4)]
+    texts = lambda: {r["page_id"]: r["text"] for r in wrappers.digest(frame(spark, rows)).collect()}
+    assert texts() == {i: f"Always the same. Text {i}" for i in range(4)}  # one repeated group
+    apart = "\n".join(wrappers.Page(rows[0][2]).tokens)
+    monkeypatch.setattr(wrappers, "infer", lambda facts: facts.select("host").distinct().selectExpr("host", f"'{apart}' AS wrapper"))
+    assert texts() == {i: f"Text {i}" for i in range(4)}
+
+
+def test_wrappers_take_their_pages():
+    rng = random.Random(3)
+    for _ in range(300):
+        pages = []
+        for _ in range(rng.randrange(1, 7)):
+            parts = "".join(rng.choice(("<p>x</p>", "<p>x</p>", "<div>y</div>", "<div><p>x</p><p>z</p></div>", "<ul><li>a</li><li>b</li></ul>", "t")) for _ in range(rng.randrange(9)))
+            pages.append(wrappers.Page(f"<body>{parts}</body>").tokens)
+        wrapper = [(t, False) for t in wrappers.fold_repeats(pages[0])]
+        for p in pages[1:]:
+            wrapper = wrappers.align(wrapper, [(t, False) for t in wrappers.fold_repeats(p)])
+        matcher = wrappers.Matcher(wrappers.unpacked(wrappers.packed(wrapper)))
+        leaves = [c[0] for c in matcher.code if c[0] is not None]
+        for p in pages:
+            assert [leaves[k] for k in matcher.places(p)] == p

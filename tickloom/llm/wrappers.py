@@ -6,8 +6,9 @@
    streams differ, a part that occurs in one only becomes optional, and a part that is a group's
    body becomes that repeated group. The result is a regular expression without unions. Streams are
    folded in runs of bounded number, and the wrappers of runs are folded again until one is left.
-3. The text slots of a host's wrapper are judged by where they stand and by what all pages of the
-   host have there. A page's text is what it has in its host's content slots.
+3. Each page is matched with its host's wrapper, so that each of its texts has a place there. The
+   places are judged by where they stand and by what all pages of the host have there. A page's
+   text is what it has in its host's content slots.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import or_empty, written
 FOLD = 64
 #: Longest body of a repeated group, in tokens.
 BODY = 12
+#: Wrappers, and answers for their pages, that a task keeps in memory; more are worked out again.
+MATCHERS, ANSWERS = 256, 20_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Elements whose content is not markup or not shown.
@@ -207,35 +210,114 @@ def unpacked(s: str) -> Wrapper:
     return [(t[:-1], True) if t.endswith("?") else (t, False) for t in s.split("\n") if t]
 
 
+class Matcher:
+    """Finds the places of a page's tokens in a wrapper: a place is a token's number in the wrapper, bodies of groups spread out."""
+
+    def __init__(self, wrapper: Wrapper):
+        self.code: list[tuple] = []  # (token, place), or (None, first choice, second choice)
+        place = 0
+        for unit, optional in wrapper:
+            skip = len(self.code)
+            if optional:
+                self.code.append((None, skip + 1, -1))
+            opened: list[int] = []
+            for piece in unit.split("\t") if unit.startswith("(") else [unit]:
+                token = piece.lstrip("(")
+                opened += [len(self.code)] * (len(piece) - len(token))
+                closed = 0
+                while opened and token.endswith(")+"):
+                    token, closed = token[:-2], closed + 1
+                self.code.append((token, place))
+                place += 1
+                for _ in range(closed):
+                    self.code.append((None, opened.pop(), len(self.code) + 1))
+            if optional:
+                self.code[skip] = (None, skip + 1, len(self.code))
+
+    def places(self, tokens: list[str]) -> list[int] | None:
+        """The place of each token, optional parts taken and groups repeated as early as that is possible; None if the wrapper does not take the page."""
+        code, n, end = self.code, len(tokens), len(self.code)
+        tried: set[int] = set()
+        left: list[tuple[int, int, tuple | None]] = [(0, 0, None)]
+        while left:
+            pc, at, taken = left.pop()
+            while True:
+                if pc == end:
+                    if at < n:
+                        break
+                    out = []
+                    while taken:
+                        taken, place = taken
+                        out.append(place)
+                    return out[::-1]
+                step = code[pc]
+                if step[0] is None:
+                    state = pc * (n + 1) + at
+                    if state in tried:
+                        break
+                    tried.add(state)
+                    left.append((step[2], at, taken))
+                    pc = step[1]
+                elif at < n and tokens[at] == step[0]:
+                    pc, at, taken = pc + 1, at + 1, (taken, step[1])
+                else:
+                    break
+        return None
+
+
+class Places:
+    """The places of the text slots of pages in their hosts' wrappers; the latest answers are kept."""
+
+    def __init__(self) -> None:
+        self.matchers: dict[str, Matcher] = {}
+        self.known: dict[tuple[str, str], list[int]] = {}
+
+    def __call__(self, wrapper: str, tokens: str) -> list[int]:
+        found = self.known.get((wrapper, tokens))
+        if found is None:
+            if wrapper not in self.matchers:
+                if len(self.matchers) >= MATCHERS:
+                    self.matchers.clear()
+                    self.known.clear()
+                self.matchers[wrapper] = Matcher(unpacked(wrapper))
+            split = [t for t in tokens.split("\n") if t]
+            places = self.matchers[wrapper].places(split)
+            if places is None:
+                raise ValueError("a wrapper does not take a page that it was inferred from")
+            if len(self.known) >= ANSWERS:
+                self.known.clear()
+            found = self.known[wrapper, tokens] = [k for t, k in zip(split, places, strict=True) if t.startswith("#")]
+        return found
+
+
 def host_of(column: str = "url"):
     return F.lower(F.coalesce(F.regexp_extract(or_empty(column), r"^\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """``host``, ``stream`` (folded), and ``slots``: for each path of the page its length, length in links, and a hash of its whole text."""
-    slot = T.StructType([T.StructField("path", T.StringType()), T.StructField("chars", T.LongType()), T.StructField("linked", T.LongType()), T.StructField("text", T.BinaryType())])
-    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("stream", T.StringType()), T.StructField("slots", T.ArrayType(slot))])
+    """``host``, ``stream`` (folded), ``tokens`` (not folded), and ``slots``: for each text slot of the page its path, length, length in links, and a hash of its whole text."""
+    slot = T.StructType([T.StructField("path", T.StringType()), T.StructField("chars", T.LongType()), T.StructField("linked", T.LongType()), T.StructField("text", T.LongType())])
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("stream", T.StringType()), T.StructField("tokens", T.StringType()), T.StructField("slots", T.ArrayType(slot))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         for batch in batches:
-            streams, slots = [], []
+            streams, tokens, slots = [], [], []
             for raw in batch.column(1):
                 page = Page(raw.as_py() or "")
                 streams.append("\n".join(fold_repeats(page.tokens)))
-                facts: dict[str, list] = {}
-                for path, text, linked in page.slots:
-                    f = facts.setdefault(path, [0, 0, blake2b(digest_size=16)])
-                    f[0] += len(text)
-                    f[1] += linked
-                    f[2].update(text.encode("utf-8", "surrogatepass") + b"\n")
-                slots.append([{"path": p, "chars": c, "linked": k, "text": t.digest()} for p, (c, k, t) in facts.items()])
-            kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("linked", pa.int64()), ("text", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(streams, pa.string()), pa.array(slots, kind)], schema.names)
+                tokens.append("\n".join(page.tokens))
+                slots.append([{"path": p, "chars": len(t), "linked": k, "text": hashed(t)} for p, t, k in page.slots])
+            kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("linked", pa.int64()), ("text", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(streams, pa.string()), pa.array(tokens, pa.string()), pa.array(slots, kind)], schema.names)
 
     return pages.select(host_of().alias("host"), "html").mapInArrow(run, schema)
 
 
+def hashed(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def infer(facts: DataFrame) -> DataFrame:
     """One row per host: ``host``, ``wrapper`` (a token a line; ``?``: optional, ``( )+``: repeated, ``#``: text slot)."""
     now = written(facts.select("host", F.col("stream").alias("wrapper")).distinct(), "streams")
@@ -263,22 +345,47 @@ def infer(facts: DataFrame) -> DataFrame:
         now = written(ordered.mapInArrow(fold, "host string, wrapper string"), "wrappers")
 
 
+def placed(facts: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """One row per page and place of its host's wrapper: ``host``, ``place``, ``path``, ``chars``, ``linked``, ``text`` (a hash of all texts that the page has there, in order)."""
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("place", T.IntegerType()), T.StructField("path", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("chars", "linked", "text")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        places = Places()
+        for batch in batches:
+            rows = []
+            for host, tokens, slots, wrapper in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                own: dict[int, list] = {}
+                for k, slot in zip(places(wrapper, tokens), slots, strict=True):
+                    if k in own:
+                        row = own[k]
+                        row[3] += slot["chars"]
+                        row[4] += slot["linked"]
+                        row[5] = hashed(f"{row[5]} {slot['text']}")
+                    else:
+                        own[k] = [host, k, slot["path"], slot["chars"], slot["linked"], slot["text"]]
+                rows += own.values()
+            if rows:
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], schema.names)
+
+    return facts.join(wrappers, "host").select("host", "tokens", "slots", "wrapper").mapInArrow(run, schema)
+
+
 def content_slots(facts: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """``host``, ``inner``, ``outer``: the paths of the wrapper's slots that hold the article.
+    """``host``, ``wrapper``, ``inner``, ``outer``: the places of the wrapper that hold the article.
 
     Inner slots are below an article or main element, unless a part of that is marked as something
     else. Outer slots are for pages without text in inner slots: unmarked slots that are not mostly
-    links and do not read the same on all of three or more pages.
+    links and do not read the same on all of three or more pages that have the place. A repeated
+    group's slot is one place, and reads the same if all its repeats do.
     """
-    slots = wrappers.select("host", F.explode(F.array_distinct(F.regexp_extract_all("wrapper", F.lit(r"#([^\n\t?)]*)"), F.lit(1)))).alias("path"))
-    seen = (
-        facts.select("host", F.explode("slots").alias("s")).select("host", "s.*").groupBy("host", "path")
-        .agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("text").alias("first"), F.max("text").alias("last"))
-    )
-    judged = seen.join(slots, ["host", "path"], "left_semi").where(~F.col("path").contains("!"))
+    seen = placed(facts, wrappers).groupBy("host", "place", "path").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("text").alias("first"), F.max("text").alias("last"))
+    judged = seen.where(~F.col("path").contains("!"))
     inside = F.col("path").rlike("(^|/)(article|main)(/|$)")
     free = (F.col("linked") * 2 <= F.col("chars")) & ((F.col("pages") < 3) | (F.col("first") != F.col("last")))
-    return judged.groupBy("host").agg(F.collect_set(F.when(inside, F.col("path"))).alias("inner"), F.collect_set(F.when(~inside & free, F.col("path"))).alias("outer"))
+    judged = judged.groupBy("host").agg(F.collect_set(F.when(inside, F.col("place"))).alias("inner"), F.collect_set(F.when(~inside & free, F.col("place"))).alias("outer"))
+    return wrappers.join(judged, "host").select("host", "wrapper", "inner", "outer")
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -290,17 +397,20 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), or_empty(page).alias("html"))
     facts = written(page_facts(rows), "page-facts")
     slots = written(content_slots(facts, infer(facts)), "content-slots")  # its size decides on a broadcast
-    joined = rows.withColumn("host", host_of()).join(slots, "host", "left").select("key", "url", "html", "inner", "outer")
+    joined = rows.withColumn("host", host_of()).join(slots, "host", "left").select("key", "url", "html", "wrapper", "inner", "outer")
     schema = T.StructType([rows.schema["key"], rows.schema["url"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
+        places = Places()
         for batch in batches:
             texts = []
-            for raw, inner, outer in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                slots, inner, outer = Page(raw.as_py()).slots, set(inner or ()), set(outer or ())
-                wanted = inner if any(p in inner for p, _, _ in slots) else outer
-                texts.append(" ".join(t for p, t, _ in slots if p in wanted))
+            for raw, wrapper, inner, outer in zip(batch.column(2), *[batch.column(k).to_pylist() for k in (3, 4, 5)], strict=True):
+                page = Page(raw.as_py())
+                slots = list(zip(places(wrapper, "\n".join(page.tokens)), [t for _, t, _ in page.slots], strict=True)) if wrapper is not None else []
+                inner, outer = set(inner or ()), set(outer or ())
+                wanted = inner if any(k in inner for k, _ in slots) else outer
+                texts.append(" ".join(t for k, t in slots if k in wanted))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["key", "url", "text"])
 
     return joined.mapInArrow(run, schema).withColumnRenamed("key", key)
