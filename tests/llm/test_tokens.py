@@ -133,3 +133,19 @@ def test_neighbours_are_the_best_by_bm25():
         found = index.neighbours(seed, np.arange(n) != seed)
         order = [k for k in np.argsort(-scores, kind="stable") if scores[k] > 0 and k != seed]
         assert np.allclose(scores[found], scores[order])
+
+
+def test_all_terms_of_a_seed_are_looked_up():
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 400, rng.integers(40, 120)).astype("<u4") for _ in range(80)]
+    index = packing.Index(docs)
+    n, mean = len(docs), np.mean([len(d) for d in docs])
+    df = [sum(t in d for d in docs) for t in range(400)]
+    for seed in range(10):
+        scores = np.zeros(n)
+        for t in set(docs[seed].tolist()):
+            tf = np.array([(d == t).sum() for d in docs])
+            scores += np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * np.array([len(d) for d in docs]) / mean)) * (df[t] > 1)
+        found = index.neighbours(seed, np.arange(n) != seed)
+        order = [k for k in np.argsort(-scores, kind="stable") if scores[k] > 0 and k != seed]
+        assert len(found) == len(order) and np.allclose(scores[found], scores[order])

@@ -26,7 +26,7 @@ WINDOW = 2048
 #: A shard is closed at this many documents or ids, whichever comes first.
 SHARD_DOCS = 2048
 SHARD_IDS = 4_000_000
-#: A seed is looked up by its terms of largest BM25 weight.
+#: Terms of largest BM25 weight that a document was once looked up by; tests size their documents by it.
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 #: Sequence ids are the partition's number times this, plus a counter.
@@ -55,12 +55,9 @@ class Index:
         self.posting_at = np.concatenate([[0], df.cumsum()])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first; ties by place."""
+        """Unused documents that share a term with the seed, best first; ties by place."""
         a, b = self.starts[seed], self.starts[seed + 1]
-        own = self.weight[a:b]
-        k = min(QUERY_TERMS, b - a)
-        best = np.argpartition(-own, k - 1)[:k]
-        terms = self.term[a:b][best[own[best] > 0]]
+        terms = self.term[a:b][self.weight[a:b] > 0]
         if not len(terms):
             return np.empty(0, np.int64)
         spans = [slice(self.posting_at[t], self.posting_at[t + 1]) for t in terms.tolist()]
