@@ -149,3 +149,19 @@ def test_all_terms_of_a_seed_are_looked_up():
         found = index.neighbours(seed, np.arange(n) != seed)
         order = [k for k in np.argsort(-scores, kind="stable") if scores[k] > 0 and k != seed]
         assert len(found) == len(order) and np.allclose(scores[found], scores[order])
+
+
+def test_like_documents_meet_in_a_shard(spark, monkeypatch):
+    """Ten topics, dealt in turn: shards in the order of rows would mix them all."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 20)
+    rng = np.random.default_rng(11)
+    words = [f"{a}{b}" for a in ("river", "stone", "cloud", "bread", "horse", "paper", "glass", "music", "north", "wheel") for b in ("s", "ing", "ed", "er", "like", "less", "ful", "man", "land", "way")]
+    rows = [(i, " ".join(words[10 * (i % 10) + k] for k in rng.integers(0, 10, 60))) for i in range(200)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), window=512).select("doc_id", "length", "doc_tokens", "sequence_id").collect()
+    topics, sizes = {}, {}
+    for p in pieces:
+        topics.setdefault(p["sequence_id"], set()).add(p["doc_id"] % 10)
+        sizes[p["sequence_id"]] = sizes.get(p["sequence_id"], 0) + p["length"]
+    assert sum(sizes.values()) == sum({p["doc_id"]: p["doc_tokens"] for p in pieces}.values())
+    mixed = [len(t) for k, t in topics.items() if sizes[k] == 512]
+    assert mixed and np.mean(mixed) < 2.5, np.mean(mixed)

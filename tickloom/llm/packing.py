@@ -1,9 +1,10 @@
 """Lexical retrieval packing: windows of token ids filled with documents that read alike.
 
-Documents are taken in shards of a bounded number of documents and ids, as they come in their
-partitions, so nothing is shuffled. A shard has its own BM25 inverted index over token ids. A seed
-document fills its window with its best unused neighbours; the one that does not fit is cut, and
-its rest is the next seed. What is left at the end of a shard is cut into powers of two, which
+Documents are sorted by their heaviest terms, with weights by counts over the whole corpus, so that
+like ones come together, and are taken in that order in shards of a bounded number of documents and
+ids. A shard has a BM25 inverted index over token ids, with the corpus's document counts and mean
+length. A seed document fills its window with its best unused neighbours; the one that does not fit
+is cut, and its rest is the next seed. What is left at the end of a shard is cut into powers of two, which
 need no padding.
 """
 
@@ -19,24 +20,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_rows
+from .common import text_rows, written
 from .tokens import DEFAULT_VOCABULARY, word_bpe
 
 WINDOW = 2048
 #: A shard is closed at this many documents or ids, whichever comes first.
 SHARD_DOCS = 2048
 SHARD_IDS = 4_000_000
-#: Terms of largest BM25 weight that a document was once looked up by; tests size their documents by it.
+#: A document is dealt to a shard by its terms of largest BM25 weight, the commonest of them first.
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 #: Sequence ids are the partition's number times this, plus a counter.
 PER_PARTITION = 1 << 36
 
 
+class Corpus:
+    """How many documents there are, their mean length, and how many have each term."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean, self.df = n, mean, df
+        self.idf = np.where(df > 1, np.log1p((n - df + 0.5) / (df + 0.5)), 0)  # one: nobody else has it
+        self.rank = np.empty(len(df), ">u4")
+        self.rank[np.argsort(-df, kind="stable")] = np.arange(len(df))
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Corpus:
+        return cls(len(docs), float(np.mean([len(d) for d in docs])), np.bincount(np.concatenate([np.unique(d) for d in docs])))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | float) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+
+    def place(self, ids: np.ndarray) -> bytes:
+        """Where a document stands in the order of all: the ranks of its heaviest terms, the commonest first."""
+        term, tf = np.unique(ids, return_counts=True)
+        weight = self.weights(term, tf, float(len(ids)))
+        best = np.argsort(-weight, kind="stable")[:QUERY_TERMS]
+        return np.sort(self.rank[term[best[weight[best] > 0]]]).tobytes()
+
+
 class Index:
-    """BM25 over the documents of a shard; terms are token ids."""
+    """BM25 over the documents of a shard; terms are token ids. Without a corpus the shard is one."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         n = len(docs)
         uniques = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.array([len(u) for u, _ in uniques], np.int64)
@@ -45,9 +70,7 @@ class Index:
         doc = np.repeat(np.arange(n), sizes)
         length = np.array([len(d) for d in docs], np.float64)
         df = np.bincount(term)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / length.mean()))
-        weight[df[term] < 2] = 0  # nobody else has it
+        weight = (corpus or Corpus.of(docs)).weights(term, tf, length[doc])
         self.n, self.starts = n, np.concatenate([[0], sizes.cumsum()])
         self.term, self.weight = term, weight
         order = np.argsort(term, kind="stable")
@@ -66,9 +89,9 @@ class Index:
         return found[np.argsort(-scores[found], kind="stable")]
 
 
-def plan(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def plan(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces of a shard: (document, start, length, sequence, offset). Every id is in one piece."""
-    index = Index(docs)
+    index = Index(docs, corpus)
     unused = np.ones(len(docs), bool)
     pieces: list[list[int]] = []
     fill, sequence, next_free = 0, 0, 0
@@ -119,6 +142,56 @@ def plan(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
     return [tuple(p) for p in pieces]
 
 
+def as_ids(docs: DataFrame, key: str, text: str, end_id: int, vocabulary: str) -> DataFrame:
+    """``key``, ``ids`` (unsigned 32-bit, little-endian, closed by the end id), ``row`` (a number of its own)."""
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, end = word_bpe(vocabulary), np.array([end_id], "<u4").tobytes()
+        gc.disable()
+        row = TaskContext.get().partitionId() * PER_PARTITION
+        for batch in batches:
+            for rows, texts in text_rows(batch, ["key"], "__text", 1_000_000):
+                ids = pa.array([bpe.encode(t) + end for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), ids, pa.array(range(row, row + len(texts)), pa.int64())], schema.names)
+                row += len(texts)
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
+def corpus_of(rows: DataFrame) -> tuple[Corpus, int]:
+    """The corpus of all documents, and how many ids it has. Its size is the vocabulary's."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1, np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                term = np.unique(np.frombuffer(raw.as_py(), "<u4"))
+                if term[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(term[-1]) + 1 - len(df), np.int64)])
+                df[term] += 1
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(df[term], pa.int64())], ["term", "df"])
+
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    counts = rows.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(max([0, *counts["term"].to_pylist()]) + 1, np.int64)
+    df[counts["term"].to_numpy()] = counts["df"].to_numpy()
+    return Corpus(n, total / 4 / max(1, n), df), total // 4
+
+
+def in_order(rows: DataFrame, corpus, shards: int) -> DataFrame:
+    """The rows in ranges of their places. Equal places are parted by the row's number, so none is too large for a range."""
+    schema = T.StructType([*rows.schema, T.StructField("place", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [corpus.value.place(np.frombuffer(raw.as_py(), "<u4")) for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.binary())], schema.names)
+
+    return rows.mapInArrow(run, schema).repartitionByRange(shards, "place", "row").sortWithinPartitions("place", "row")
+
+
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int = 1, window: int = WINDOW, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """One row per piece: the key, ``start``, ``length``, ``ids`` (unsigned 32-bit, little-endian),
     ``doc_tokens``, ``sequence_id``, ``offset``.
@@ -127,13 +200,15 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int =
     Sequences are full windows but for the powers of two at the end of a shard. An empty table
     gives no rows. Repeated rows are documents of their own.
     """
-    names = [key]
     schema = T.StructType(
         [docs.schema[key]] + [T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))]
     )
+    rows = written(as_ids(docs, key, text, end_id, vocabulary), "ids")
+    found, total = corpus_of(rows)
+    corpus = docs.sparkSession.sparkContext.broadcast(found)
+    shards = max(1, -(-found.n // SHARD_DOCS), -(-total // SHARD_IDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = word_bpe(vocabulary), np.array([end_id], "<u4").tobytes()
         gc.disable()
         first = TaskContext.get().partitionId() * PER_PARTITION
         kept: list[pa.RecordBatch] = []
@@ -143,32 +218,31 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int =
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal first
             keys = pa.Table.from_batches(kept).column(0).combine_chunks()
-            pieces = np.array(plan(ids, window), np.int64)
+            pieces = np.array(plan(ids, window, corpus.value), np.int64)
             for a in range(0, len(pieces), 2000):
                 doc, start, length, sequence, offset = pieces[a : a + 2000].T
                 raw = [ids[d][s : s + n].tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-                total = np.array([len(ids[d]) for d in doc.tolist()], np.int64)
-                columns = [keys.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(raw, pa.binary()), pa.array(total), pa.array(sequence + first), pa.array(offset)]
+                sizes = np.array([len(ids[d]) for d in doc.tolist()], np.int64)
+                columns = [keys.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(raw, pa.binary()), pa.array(sizes), pa.array(sequence + first), pa.array(offset)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
             first += int(pieces[-1][3]) + 1
 
         for batch in batches:
-            for rows, texts in text_rows(batch, names, "__text"):
-                at = 0
-                for k, t in enumerate(texts):
-                    ids.append(np.frombuffer(bpe.encode(t) + end, "<u4"))
-                    size += len(ids[-1])
-                    if len(ids) == SHARD_DOCS or size >= SHARD_IDS:
-                        kept.append(rows.slice(at, k + 1 - at))
-                        at = k + 1
-                        yield from close()
-                        kept, ids, size = [], [], 0
-                if at < len(texts):
-                    kept.append(rows.slice(at))
+            at = 0
+            for k, raw in enumerate(batch.column(1)):
+                ids.append(np.frombuffer(raw.as_py(), "<u4"))
+                size += len(ids[-1])
+                if len(ids) == SHARD_DOCS or size >= SHARD_IDS:
+                    kept.append(batch.select([0]).slice(at, k + 1 - at))
+                    at = k + 1
+                    yield from close()
+                    kept, ids, size = [], [], 0
+            if at < batch.num_rows:
+                kept.append(batch.select([0]).slice(at))
         if ids:
             yield from close()
 
-    return docs.select(key, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return in_order(rows, corpus, shards).select("key", "ids").mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
