@@ -97,3 +97,12 @@ def test_pipeline_of_odd_rows(spark, odd):
     rows = docs.collect()
     assert all(r["kept"] == "k" and r["clean_text"] == "c" for r in rows)
     assert all(stage(spark, odd.limit(0), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_scores_do_not_depend_on_what_is_held(documents, monkeypatch):
+    few = documents.orderBy("doc_id").limit(60)
+    scores = lambda: {r["doc_id"]: r["score"] for r in lm_score.scored(few).collect()}
+    all_held = scores()
+    monkeypatch.setattr(lm_score, "HELD_TOKENS", 20)
+    some_held = scores()
+    assert all(abs(some_held[k] - s) <= 1e-6 * abs(s) for k, s in all_held.items())
