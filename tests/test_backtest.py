@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ordered
+from helpers import ordered
 from tickloom.functions.series import Series, as_series, slice_series
 from tickloom.operators import backtest as B
 from tickloom.operators import targets as T

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ordered, walk
+from helpers import ordered, walk
 from tickloom.operators.catalogue import build_features, families, feature_names, helper_clashes
 from tickloom.operators.psar import psar_into
 from tickloom.functions.series import Series, slice_series

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import ordered, walk
+from helpers import ordered, walk
 
 from tickloom.operators.catalogue import build_features
 from tickloom.operators.sentiment import is_complete, sentiment_cached

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import connect, differences
-from conftest import SF
+from helpers import SF
 
 SAMPLE = (
     "bars_from_trades", "price_returns", "candles", "calendar", "moving_averages", "macd_grid", "psar_grid", "ta_kama", "ta_stc",

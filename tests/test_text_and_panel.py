@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ordered, walk
+from helpers import ordered, walk
 from tickloom.operators import ensemble as E
 from tickloom.operators import monitor as M
 from tickloom.operators import panel as P

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ordered
+from helpers import ordered
 from tickloom.functions.asof import asof_join
 from tickloom.functions.scalars import grid
 from tickloom.functions.series import Axis, Ewm, Roll, Series, as_series, slice_series, span, wilder
