@@ -5,17 +5,11 @@ import pytest
 from pyspark.sql import types as T
 
 ROOT = Path(__file__).resolve().parents[2]
-for folder in (ROOT, ROOT / "tests"):
+for folder in (ROOT, ROOT / "tests", ROOT / "tests" / "llm"):
     if str(folder) not in sys.path:
         sys.path.insert(0, str(folder))
 
-SF = "/root/testdata/sf0.001"
-
-LONG = " ".join(f"word{i % 977}." for i in range(30_000))
-ODD_TEXTS = [
-    (1, None), (2, ""), (3, " \n\t "), (4, "One line of words that ends as it should, and is long enough to be kept."), (5, LONG), (6, "same words here again and again. " * 20),
-    (7, "same words here again and again. " * 20), (7, "same words here again and again. " * 20), (None, "no key at all but a text that is here."), (9, "x" * 5000), (10, "日本 é ǅ ß <|endoftext|> a\x00b"),
-]
+from odd_rows import ODD_TEXTS, SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

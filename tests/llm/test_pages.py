@@ -5,7 +5,7 @@ import html as html_module
 import random
 import re
 
-from conftest import SF
+from odd_rows import SF
 
 from tickloom.llm import warc, wrappers
 

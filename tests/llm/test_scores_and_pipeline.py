@@ -5,7 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from conftest import ODD_TEXTS, SF
+from odd_rows import ODD_TEXTS, SF
 from test_near_dup import brute
 
 import corpus_pipeline

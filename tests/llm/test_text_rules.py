@@ -6,7 +6,7 @@ import re
 import pytest
 import xxhash
 from check_queries import connect, differences
-from conftest import SF
+from odd_rows import SF
 from pyspark.sql import functions as F
 
 from tickloom.llm import line_dedup, line_rules, multiset_hash, queries
