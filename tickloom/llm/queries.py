@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flat_ids, line_dedup, line_rules, lm_score, multiset_hash, near_dup, packing, warc, wrappers
+from . import bpe, flat_ids, line_dedup, line_rules, lm_score, merkle, multiset_hash, near_dup, packing, warc, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_retrieval_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.digest(table(spark, sf, "documents"))
 
 
+def op13_merkle_versions(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.audited(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_context_mixing": op1_context_mixing,
     "op2_wrappers": op2_wrappers,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_rules": op8_line_rules,
     "op9_site_lines": op9_site_lines,
     "op10_retrieval_packing": op10_retrieval_packing,
+    "op13_merkle_versions": op13_merkle_versions,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
@@ -70,4 +75,5 @@ ORACLES: dict[str, str] = {
     "op5_warc_index": warc.DIGEST_SQL,
     "op8_line_rules": line_rules.judged_sql("documents"),
     "op9_site_lines": line_dedup.DIGEST_SQL,
+    "op13_merkle_versions": merkle.audit_sql("documents"),
 }
