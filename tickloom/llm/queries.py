@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flat_ids, line_dedup, line_rules, lm_score, merkle, multiset_hash, near_dup, packing, warc, wrappers
+from . import bpe, flat_ids, language_id, line_dedup, line_rules, lm_score, merkle, multiset_hash, near_dup, packing, spelling, warc, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def op10_retrieval_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.digest(table(spark, sf, "documents"))
 
 
+def op11_variable_grams(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf, "documents"))
+
+
+def op12_output_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.digest(table(spark, sf, "documents"))
+
+
 def op13_merkle_versions(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.audited(table(spark, sf, "documents"))
 
@@ -67,6 +75,8 @@ QUERIES: dict[str, Query] = {
     "op8_line_rules": op8_line_rules,
     "op9_site_lines": op9_site_lines,
     "op10_retrieval_packing": op10_retrieval_packing,
+    "op11_variable_grams": op11_variable_grams,
+    "op12_output_codes": op12_output_codes,
     "op13_merkle_versions": op13_merkle_versions,
 }
 
@@ -75,5 +85,6 @@ ORACLES: dict[str, str] = {
     "op5_warc_index": warc.DIGEST_SQL,
     "op8_line_rules": line_rules.judged_sql("documents"),
     "op9_site_lines": line_dedup.DIGEST_SQL,
+    "op11_variable_grams": spelling.grouped_sql("documents"),
     "op13_merkle_versions": merkle.audit_sql("documents"),
 }
