@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.series import Axis, Series
+from ..session import written
 from .backtest import Costs, backtest, metrics
+from .ensemble import vote
+from .matrix import matrix_of
+from .symbol_models import VOTERS, Spec, fit_one, score_one
 
 
 def numbered(s: Series) -> Series:
@@ -91,49 +97,64 @@ def time_series_split(s: Series, n_splits: int = 5) -> DataFrame:
     return rows.select(*keep, F.col("_m.fold").cast("int").alias("fold"), F.col("_m.part").alias("part"))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(len(w))
-    penalty[-1, -1] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = x.T @ (x * (p * (1 - p))[:, None]) + penalty
-        step = np.linalg.solve(hess, x.T @ (y - p) - penalty @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
-
-
-def _fit_and_score(features: Sequence[str]):
-    features = list(features)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        train, test = pdf[pdf["part"] != "test"], pdf[pdf["part"] == "test"].copy()
-        x, y = train[features].fillna(0.0).to_numpy(float), train["target"].to_numpy(float)
-        if len(train) == 0 or y.min() == y.max():
-            test["prediction"] = float(y.mean()) if len(train) else 0.5
-        else:
-            mean, dev = x.mean(0), x.std(0)
-            dev[dev == 0] = 1.0
-            w = fit_logistic((x - mean) / dev, y)
-            z = (test[features].fillna(0.0).to_numpy(float) - mean) / dev @ w[:-1] + w[-1]
-            test["prediction"] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        return test.drop(columns=["part", "target", *features])
+def fold_runs(s: Series, train: int = 252, test: int = 63, step: int = 21, per_run: int = 16) -> DataFrame:
+    """Every row once per run of ``per_run`` successive folds that it belongs to, with its number ``_rn`` and
+    the number of its symbol's folds ``_folds``.
 
+    The folds of a run overlap, so a run has far fewer rows than its folds together, and at most
+    ``per_run * step + train + test``.
+    """
+    s = numbered(s)
+    r, folds = F.col("_rn"), fold_count(train, test, step)
+    low = F.floor(F.greatest(F.ceil((r - train - test + 1) / step), F.lit(0)) / per_run)
+    high = F.floor(F.least(F.floor(r / step), folds - 1) / per_run)
+    spans = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    keep = [n for n in s.df.columns if not n.startswith("_")]
+    return s.df.select(*keep, "_rn", folds.cast("int").alias("_folds"), F.explode(spans).cast("int").alias("_run"))
+
+
+def _voted(specs: Mapping[str, Spec], keys: Sequence[str], out: T.StructType, train: int, test: int, step: int, per_run: int):
+    """Fits and scores the folds of one run of a symbol."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_rn")
+        x, y = matrix_of(table.column("x")), table.column("target").to_numpy().astype(float)
+        rn, ids = table.column("_rn").to_numpy(), table.column("ts").cast(pa.timestamp("us")).cast(pa.int64()).to_numpy()
+        first, folds = table.column("_run")[0].as_py() * per_run, table.column("_folds")[0].as_py()
+        parts = []
+        for fold in range(first, min(first + per_run, folds)):
+            lo, mid, hi = np.searchsorted(rn, [fold * step, fold * step + train, fold * step + train + test])
+            columns = {k: table.column(k).slice(mid, hi - mid) for k in (*keys, "ts", "close")}
+            columns["fold"] = pa.array(np.full(hi - mid, fold, np.int32))
+            for name, spec in specs.items():
+                model = fit_one(name, spec, x[lo:mid], y[lo:mid], ids[lo:mid], np.zeros(mid - lo, bool))
+                columns[name] = pa.array(score_one(model, spec, x[mid:hi]))
+                right = ((score_one(model, spec, x[lo:mid]) > 0.5) == (y[lo:mid] == 1)).mean()
+                columns[f"{name}_fit"] = pa.array(np.full(hi - mid, right))
+            columns["base"] = pa.array(np.full(hi - mid, max(y[lo:mid].mean(), 1 - y[lo:mid].mean())))
+            parts.append(pa.table([columns[n].cast(schema.field(n).type) for n in schema.names], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    schema = to_arrow_schema(out)
     return run
 
 
-def fold_predictions(rows: DataFrame, features: Sequence[str], keys: Sequence[str] = ("symbol", "fold")) -> DataFrame:
-    """A logistic model per fold. Groups hold one train and one test interval, so their size
-    is fixed by the fold geometry; all folds of all symbols run as one job."""
-    keep = [f for f in rows.schema if f.name not in (*features, "part", "target")]
-    from pyspark.sql import types as T
+def fold_votes(s: Series, specs: Mapping[str, Spec] = VOTERS, train: int = 252, test: int = 63, step: int = 21, per_run: int = 16) -> DataFrame:
+    """The test rows of every fold (``symbol, fold, ts, close``) with the probability of each model that was
+    fitted on the fold's train rows, and ``prediction``, their mean (soft vote).
 
-    schema = T.StructType([*keep, T.StructField("prediction", T.DoubleType())])
-    return rows.groupBy(*keys).applyInPandas(_fit_and_score(features), schema)
+    ``<model>_fit`` is the model's accuracy on its train rows, ``base`` that of always saying the commoner
+    class. Series rows carry ``ts, close, target, x``. All folds of all symbols are one job, whose groups
+    are runs of successive folds, so their size is fixed by the fold geometry.
+    """
+    rows = fold_runs(s, train, test, step, per_run)
+    keys = ["symbol"]
+    fields = [rows.schema["symbol"], T.StructField("fold", T.IntegerType()), rows.schema["ts"], rows.schema["close"]]
+    fields += [T.StructField(n, T.DoubleType()) for m in specs for n in (m, f"{m}_fit")] + [T.StructField("base", T.DoubleType())]
+    out = T.StructType(fields)
+    used = rows.select(*keys, "_run", "_rn", "_folds", "ts", "close", "target", "x")
+    votes = used.groupBy(*keys, "_run").applyInArrow(_voted(specs, keys, out, train, test, step, per_run), out)
+    return votes.withColumn("prediction", vote(list(specs)))
 
 
 def walk_forward_metrics(test_rows: DataFrame, costs: Costs = Costs(), **kw) -> DataFrame:
@@ -142,10 +163,13 @@ def walk_forward_metrics(test_rows: DataFrame, costs: Costs = Costs(), **kw) ->
     return metrics(s, costs)
 
 
-def walk_forward_run(s: Series, features: Sequence[str], train: int = 252, test: int = 63, step: int = 21) -> DataFrame:
-    """Fit, score and backtest each fold; the series carries ``target`` and the features."""
-    rows = fold_rows(s, train, test, step).select("symbol", "fold", "part", "ts", "close", "target", *features)
-    return walk_forward_metrics(fold_predictions(rows, features))
+def walk_forward_run(s: Series, specs: Mapping[str, Spec] = VOTERS, train: int = 252, test: int = 63, step: int = 21) -> tuple[DataFrame, DataFrame]:
+    """Fit, score and backtest each fold: the votes, written once, and the metrics of every fold from them.
+
+    The models are a forest and a logistic model by default, as a soft vote.
+    """
+    votes = written(fold_votes(s, specs, train, test, step), "votes")
+    return votes, walk_forward_metrics(votes.select("symbol", "fold", "ts", "close", "prediction"))
 
 
 def walk_forward_summary(per_fold: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows once to the shared folder and go on from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def run_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name below the shared folder; nothing is created yet."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a parquet table in the shared folder: what follows reads them as often as it needs."""
+    folder = run_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
