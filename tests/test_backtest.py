@@ -8,6 +8,8 @@ from tickloom.functions.series import Series, as_series, slice_series
 from tickloom.operators import backtest as B
 from tickloom.operators import targets as T
 from tickloom.operators import walkforward as WF
+from tickloom.operators.symbol_models import Forest, Logistic, fit_one, score_one
+from tickloom.operators.trees import Shape
 
 
 @pytest.fixture(scope="module")
@@ -110,9 +112,24 @@ def test_time_series_split(bars, frame):
             assert (part["part"] == "train").sum() == start and (part["part"] == "test").sum() == size
 
 
+SMALL_VOTERS = {"forest": Forest(trees=5, shape=Shape(depth=4, ridge=0.0, bins=8)), "logistic": Logistic()}
+
+
 def test_walk_forward_uses_only_its_fold(spark, bars):
-    s = T.add_target(as_series(bars, group_rows=1000)).add({"x": F.col("close") - F.col("open"), "y": F.col("volume")})
-    out = WF.walk_forward_run(s, ["x", "y"], 120, 40, 60).toPandas()
+    s = T.add_target(as_series(bars, group_rows=1000)).add({"x": F.array(F.col("close") - F.col("open"), F.col("volume"))})
+    votes, out = WF.walk_forward_run(s, SMALL_VOTERS, 120, 40, 60)
+    votes, out = votes.toPandas(), out.toPandas()
+    rows = s.tidy().toPandas().sort_values(["symbol", "ts"])
+    for (symbol, fold), v in votes.groupby(["symbol", "fold"]):
+        g = rows[rows["symbol"] == symbol].reset_index(drop=True)
+        part, after = g[fold * 60 : fold * 60 + 120], g[fold * 60 + 120 : fold * 60 + 160]
+        assert sorted(v["ts"]) == after["ts"].tolist()
+        ids = part["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        for name, spec in SMALL_VOTERS.items():
+            x = np.array(part["x"].tolist())
+            model = fit_one(name, spec, x, part["target"].to_numpy(float), ids, np.zeros(120, bool))
+            p = score_one(model, spec, np.array(after["x"].tolist()))
+            np.testing.assert_allclose(v.sort_values("ts")[name], p, atol=1e-12)
     assert len(out) and set(B.METRICS) <= set(out.columns)
     assert (out["total_trades"] == 39).all()
     whole = WF.walk_forward_summary(spark.createDataFrame(out)).first()

@@ -104,7 +104,7 @@ def test_weights_with_a_missing_model(spark):
 
 
 def test_logistic_per_symbol_matches_direct_fit(spark):
-    from tickloom.operators.walkforward import fit_logistic
+    from tickloom.operators.trees import ridge_logistic
 
     rng = np.random.default_rng(0)
     parts = []
@@ -119,6 +119,6 @@ def test_logistic_per_symbol_matches_direct_fit(spark):
     assert set(got) == {"A", "B"}
     for sym, g in pdf.groupby("symbol"):
         x = g[["x1", "x2"]].to_numpy()
-        np.testing.assert_allclose(got[sym][:2], fit_logistic(x, g["target"].to_numpy(float))[:2], atol=0.02)
+        np.testing.assert_allclose(got[sym][:2], ridge_logistic(x, g["target"].to_numpy(float))[:2], atol=0.02)
     scored = E.score_per_symbol(df, spark.createDataFrame([(k, v) for k, v in got.items()], "symbol string, w array<double>"), ["x1", "x2"])
     assert scored.where("symbol = 'C'").first()["prediction"] == 0.5

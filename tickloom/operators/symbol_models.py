@@ -200,6 +200,14 @@ def _as_table(fitted: Sequence[Fitted], keys: Mapping[str, object], key_fields:
     return pa.table({n: pa.array(columns[n], schema.field(n).type) for n in schema.names}, schema=schema)
 
 
+def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups dealt to several times as many tasks as there are cores: fits are long and groups few, and
+    adaptive coalescing, which looks at bytes only, would put many into one task."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, *keys)
+
+
 def _fit_group(specs: Mapping[str, Spec], keys: Sequence[str], key_fields: Sequence[T.StructField]) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         table = _ordered(table)
@@ -219,7 +227,7 @@ def fit_groups(rows: DataFrame, specs: Mapping[str, Spec] = MEMBERS, keys: Seque
         raise ValueError(f"a group of {largest} rows is fitted by boosting.fit_boosted and linear.fit_logistic, not in one task")
     fields = [rows.schema[k] for k in keys]
     used = rows.select(*keys, "ts", "target", "x", (F.lit(False) if held is None else F.coalesce(held, F.lit(False))).alias("_held"))
-    return used.groupBy(*keys).applyInArrow(_fit_group(specs, keys, fields), T.StructType([*fields, *MODEL.fields]))
+    return dealt(used, keys).groupBy(*keys).applyInArrow(_fit_group(specs, keys, fields), T.StructType([*fields, *MODEL.fields]))
 
 
 def models_of(table: pa.Table) -> dict[str, Fitted]:

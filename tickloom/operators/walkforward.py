@@ -16,7 +16,7 @@ from ..session import written
 from .backtest import Costs, backtest, metrics
 from .ensemble import vote
 from .matrix import matrix_of
-from .symbol_models import VOTERS, Spec, fit_one, score_one
+from .symbol_models import VOTERS, Spec, dealt, fit_one, score_one
 
 
 def numbered(s: Series) -> Series:
@@ -110,7 +110,7 @@ def fold_runs(s: Series, train: int = 252, test: int = 63, step: int = 21, per_r
     high = F.floor(F.least(F.floor(r / step), folds - 1) / per_run)
     spans = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
     keep = [n for n in s.df.columns if not n.startswith("_")]
-    return s.df.select(*keep, "_rn", folds.cast("int").alias("_folds"), F.explode(spans).cast("int").alias("_run"))
+    return s.df.select(*keep, "_rn", folds.cast("int").alias("_folds"), F.explode(spans.cast("array<int>")).alias("_run"))
 
 
 def _voted(specs: Mapping[str, Spec], keys: Sequence[str], out: T.StructType, train: int, test: int, step: int, per_run: int):
@@ -153,7 +153,7 @@ def fold_votes(s: Series, specs: Mapping[str, Spec] = VOTERS, train: int = 252,
     fields += [T.StructField(n, T.DoubleType()) for m in specs for n in (m, f"{m}_fit")] + [T.StructField("base", T.DoubleType())]
     out = T.StructType(fields)
     used = rows.select(*keys, "_run", "_rn", "_folds", "ts", "close", "target", "x")
-    votes = used.groupBy(*keys, "_run").applyInArrow(_voted(specs, keys, out, train, test, step, per_run), out)
+    votes = dealt(used, [*keys, "_run"]).groupBy(*keys, "_run").applyInArrow(_voted(specs, keys, out, train, test, step, per_run), out)
     return votes.withColumn("prediction", vote(list(specs)))
 
 

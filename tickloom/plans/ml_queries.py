@@ -303,14 +303,19 @@ def weights_store(spark: SparkSession, sf: str) -> DataFrame:
     return loaded.select("symbol", F.col("w").alias("v")).join(fitted, "symbol").select("symbol", (F.col("w") == F.col("v")).alias("same"))
 
 
-@query("ensemble_backtest")
+BACKTESTED = {n: SM.MEMBERS[n] for n in ("forest", "boost_a", "sequence")}
+
+
+@query(
+    "ensemble_backtest",
+    f"""{NUMBERED_CALM} SELECT symbol, count(*) - 1 AS total_trades, {rnd('arg_max(close, ts) / arg_min(close, ts) - 1', 6)} AS benchmark_return, true AS in_range
+    FROM nb WHERE rn >= floor(n * 0.8) GROUP BY symbol""",
+)
 def ensemble_backtest(spark: SparkSession, sf: str) -> DataFrame:
-    """From bars to risk metrics: features with sentiment, labels, chronological split, ensemble, its own backtest."""
-    bars = D.calm_bars(spark, sf)
-    model = E.Ensemble((*FEATURES, "sentiment_combined_sentiment"), trees=10, boost_rounds=5, long_rounds=5, sequence_features=("return_1d", "price_position"))
-    out = train_and_backtest(bars, model, sentiment=combined(spark, sf), columns=list(FEATURES), folder=workspace(spark, "trained"), **bound(spark, sf))
-    counts = [n for n in out.columns if n in ("total_trades", "profitable_trades", "losing_trades")]
-    return out.select("symbol", *[F.col(n) if n in counts else F.round(n, 6).alias(n) for n in out.columns if n != "symbol"])
+    """From bars to risk metrics: all features with sentiment, labels, chronological split, models per symbol, their own backtest."""
+    out = train_and_backtest(D.calm_bars(spark, sf), workspace(spark, "trained"), BACKTESTED, sentiment=combined(spark, sf), **bound(spark, sf))
+    fine = F.col("directional_accuracy").between(0.0, 1.0) & (F.col("max_drawdown") <= 0) & (F.col("var_95") <= F.col("avg_win"))
+    return rounded(out.withColumn("in_range", fine), {"benchmark_return": 6}, ["symbol", "total_trades", "in_range"])
 
 
 VAL_SQL = f"""WITH {bars_cte()} SELECT symbol, {DAY}, true AS same FROM bars
