@@ -82,7 +82,8 @@ def _curvature(w: np.ndarray, mean: np.ndarray, dev: np.ndarray):
             wide = np.column_stack([(x - mean) / dev, np.ones(len(x))])
             z = wide @ w
             p = sigmoid(z)
-            hess += wide.T @ (wide * np.maximum(p * (1 - p), 1e-10)[:, None])
+            bent = wide * np.sqrt(np.maximum(p * (1 - p), 1e-10))[:, None]
+            hess += bent.T @ bent
             grad += wide.T @ (y - p)
             loss += float((np.logaddexp(0, z) - y * z).sum())
         if seen:
@@ -157,7 +158,9 @@ def slope_of_loss(rows: DataFrame, model: Linear, ridge: float) -> DataFrame:
     miss = F.col("target").cast("double") - probability(model)
     mean, dev = F.array(*[F.lit(float(v)) for v in model.mean]), F.array(*[F.lit(float(v)) for v in model.dev])
     scaled = F.zip_with(F.zip_with("x", mean, lambda a, b: a - b), dev, lambda a, b: a / b)
-    wide = rows.select(miss.alias("_miss"), F.posexplode(F.concat(scaled, F.array(F.lit(1.0)))).alias("column", "_v"))
+    # in two steps, or the probability would be computed once per column
+    each = rows.select(miss.alias("_miss"), F.concat(scaled, F.array(F.lit(1.0))).alias("_all"))
+    wide = each.select("_miss", F.posexplode("_all").alias("column", "_v"))
     weight = F.element_at(F.array(*[F.lit(float(v)) for v in model.w]), F.col("column") + 1)
     shrunk = F.when(F.col("column") < k, F.lit(ridge) * weight).otherwise(0.0)
     return wide.groupBy("column").agg(F.sum(F.col("_miss") * F.col("_v")).alias("_s")).select("column", (F.col("_s") - shrunk).alias("slope"))
