@@ -1,6 +1,7 @@
 """Line rules, site line frequency and fingerprints against plain Python and SQL."""
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -122,6 +123,45 @@ def test_fingerprints_of_documents(documents):
     assert all(0 <= r[c] <= 1 for r in rows for c in ("near_edited", "near_next"))
 
 
+def plain_likeness(a, b):
+    """Cosine of the sums of the pieces' bits as -1 and 1, over all lanes."""
+
+    def vector(text):
+        pieces = ["\n" + x for x in text.split("\n")] + [x for x in re.split(r"(?<=[.!?])[ \t]+|\n", text) if x]
+        out = {}
+        for p in pieces:
+            first = xxhash.xxh64_intdigest(p.encode(), seed=42)
+            for j in range(multiset_hash.HASHES):
+                h = xxhash_int(j, first)
+                for s in range(multiset_hash.SHIFTS):
+                    for k in range(multiset_hash.SIDE_BY_SIDE):
+                        out[j, s, k] = out.get((j, s, k), 0) + 2 * (h >> (s + k * multiset_hash.SHIFTS) & 1) - 1
+        return [out[x] for x in sorted(out)]
+
+    x, y = vector(a), vector(b)
+    if x == y:
+        return 1.0
+    size = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+    return min(1.0, max(0.0, sum(v * w for v, w in zip(x, y)) / size)) if size else 0.0
+
+
+def test_likeness_against_plain_vectors(spark, documents):
+    texts = sorted(((r["doc_id"], r["text"]) for r in documents.limit(25).collect()), reverse=True)
+    rows = {r["doc_id"]: r for r in multiset_hash.digest(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, (key, text) in enumerate(texts):
+        after = texts[(i + 1) % len(texts)][1]
+        half = len(text) // 2
+        assert math.isclose(rows[key]["near_next"], plain_likeness(text, after), abs_tol=1e-9)
+        assert math.isclose(rows[key]["near_edited"], plain_likeness(text, text[: len(text) - half] + after[:half]), abs_tol=1e-9)
+
+
+def test_likeness_of_a_line_that_stands_very_often(spark):
+    many = "The same line.\n" * 20_000 + "\n".join(f"Own line {i}." for i in range(5))
+    rows = spark.createDataFrame([(2, many), (1, many[::-1][:40])], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in multiset_hash.digest(rows).collect()}
+    assert out[2]["near_edited"] > 0.99
+
+
 def test_fingerprints_of_odd_rows(odd):
     rows = multiset_hash.digest(odd).collect()
     lone = [(r["doc_id"], r["text"]) for r in odd.collect()]

@@ -1,13 +1,14 @@
 """Homomorphic multiset hash of paragraphs: wide vectors added lane by lane modulo a power of two.
 
-Each paragraph (a line) and each of its sentences is hashed to 240 bits, one for each lane of a
-wide vector, and the vectors of a text are added modulo 2^14. So the fingerprint of a text does not
+Each paragraph (a line) and each of its sentences is hashed to 186 bits, one for each lane of a
+wide vector, and the vectors of a text are added modulo 2^30. So the fingerprint of a text does not
 depend on the order of its paragraphs, and paragraphs are added to it or taken out of it without
 reading the rest. Texts with many paragraphs or sentences in common have vectors in like
 directions, and their cosine is the likeness. Built-in functions only.
 
-A fingerprint is an array of 61 longs: how many pieces there are, then 60 longs of four lanes each.
-Lanes have 14 bits and a free bit above them that takes the carry before it is cleared.
+A fingerprint is an array of 94 longs: how many pieces there are, then 93 longs of two lanes each.
+Lanes have 30 bits, more than the pieces that a text can have, and a free bit above them that takes
+the carry before it is cleared.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import or_empty
 
-HASHES, SHIFTS = 4, 15
-ONES = sum(1 << k for k in (0, 15, 30, 45))
-LANES = 0x3FFF * ONES
-LANE = 1 << 14
+HASHES, SHIFTS, SIDE_BY_SIDE = 3, 31, 2
+ONES = sum(1 << (SHIFTS * k) for k in range(SIDE_BY_SIDE))
+LANE = 1 << (SHIFTS - 1)
+LANES = (LANE - 1) * ONES
 SENTENCE_GAP = r"(?<=[.!?])[ \t]+|\n"
 
 
@@ -35,7 +36,7 @@ def _hashes(j: int) -> Column:
 
 
 def _lanes(hashes: str) -> Column:
-    """Four lanes are added at once, for each shift of the hashes."""
+    """Two lanes are added at once, for each shift of the hashes."""
     return F.transform(F.sequence(F.lit(0), F.lit(SHIFTS - 1)), lambda s: F.aggregate(F.col(hashes), F.lit(0).cast("long"), lambda a, h: _step(a, h, s)))
 
 
@@ -64,17 +65,17 @@ def delete(a: Column, b: Column) -> Column:
 
 
 def directions(fp: Column) -> Column:
-    """The lanes as numbers around zero: ones less zeros, exact while they differ by less than 2^14."""
+    """The lanes as numbers around zero: ones less zeros, exact while they differ by less than 2^30."""
 
     def centred(x: Column, k: int) -> Column:
-        ones = F.shiftright(x, 15 * k).bitwiseAND(F.lit(LANE - 1))
+        ones = F.shiftright(x, SHIFTS * k).bitwiseAND(F.lit(LANE - 1))
         return F.pmod(ones * 2 - F.element_at(fp, 1) + LANE, F.lit(2 * LANE)) - LANE
 
-    return F.flatten(F.transform(F.slice(fp, 2, HASHES * SHIFTS), lambda x: F.array(*[centred(x, k) for k in range(4)])))
+    return F.flatten(F.transform(F.slice(fp, 2, HASHES * SHIFTS), lambda x: F.array(*[centred(x, k) for k in range(SIDE_BY_SIDE)])))
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x).cast("double")
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def likeness(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -86,8 +87,8 @@ def likeness(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
 
 
 def as_text(fp: Column) -> Column:
-    """Hexadecimal: the number of pieces, a dash, and 15 digits for every four lanes."""
-    return F.concat(F.hex(F.element_at(fp, 1)), F.lit("-"), F.array_join(F.transform(F.slice(fp, 2, HASHES * SHIFTS), lambda x: F.lpad(F.hex(x), 15, "0")), ""))
+    """Hexadecimal: the number of pieces, a dash, and 16 digits for every two lanes."""
+    return F.concat(F.hex(F.element_at(fp, 1)), F.lit("-"), F.array_join(F.transform(F.slice(fp, 2, HASHES * SHIFTS), lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def in_order(docs: DataFrame, key: str, text: str, per_partition: int = 4) -> tuple[DataFrame, Window]:
