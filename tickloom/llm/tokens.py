@@ -16,8 +16,8 @@ import regex
 from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-CACHE_CHUNKS = 500_000
-CACHE_PIECES = 300_000
+#: Bytes that a worker holds of known chunks and pieces, each counted with what Python adds to it.
+CHUNK_BYTES, PIECE_BYTES, ENTRY_BYTES = 60 << 20, 24 << 20, 180
 #: Marks that the pattern cuts off after a run of letters.
 MARKS = frozenset(".,;:!?")
 #: Characters that the vocabulary's normalizer only lower-cases, one by one.
@@ -40,6 +40,7 @@ class WordBpe:
         self.letters = _byte_letters()
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.chunk_bytes = self.piece_bytes = 0
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -48,10 +49,12 @@ class WordBpe:
         try:
             return b"".join(map(known.__getitem__, chunks))
         except KeyError:
-            if len(known) > CACHE_CHUNKS:
+            if self.chunk_bytes > CHUNK_BYTES:
                 known.clear()
+                self.chunk_bytes = 0
             for c in set(chunks).difference(known):
-                known[c] = self._chunk(c.decode())
+                ids = known[c] = self._chunk(c.decode())
+                self.chunk_bytes += len(c) + len(ids) + ENTRY_BYTES
             return b"".join(map(known.__getitem__, chunks))
 
     def _chunk(self, chunk: str) -> bytes:
@@ -68,10 +71,12 @@ class WordBpe:
     def _piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
-            if len(self.pieces) > CACHE_PIECES:
+            if self.piece_bytes > PIECE_BYTES:
                 self.pieces.clear()
+                self.piece_bytes = 0
             mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             known = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            self.piece_bytes += len(piece) + len(known) + ENTRY_BYTES
         return known
 
 
