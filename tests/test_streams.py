@@ -1,11 +1,15 @@
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import walk
 from tickloom.operators.catalogue import build_features
 from tickloom.sources.bars import bars_from_trades
 from tickloom.streaming import live as L
+from tickloom.streaming.keyed import Position, Return, Rsi, keyed_scores
 from tickloom.streaming.messages import TICK, parse_messages, to_messages
 
 SCHEMA = "symbol string, ts timestamp, price double, qty double, seq bigint"
@@ -88,3 +92,41 @@ def test_latest_prediction(spark, tmp_path, mode):
     stream = L.stream_table(spark, path, "*.parquet", df.schema)
     got = L.run_complete(L.latest_prediction(stream), "latest").collect()
     assert len(got) == 1 and got[0]["prediction"] == 0.7
+
+
+def test_keyed_indicators_equal_the_batch(spark, tmp_path):
+    names = ["return_5d", "rsi_14", "price_position"]
+    rows = pd.concat([walk(230, 4, "A"), walk(120, 5, "B")])
+    rows.loc[rows.index[20:60], "close"] = rows["close"].iloc[20]  # a flat run, across files
+    rows["high"], rows["low"] = rows[["high", "close"]].max(axis=1), rows[["low", "close"]].min(axis=1)
+    bars = spark.createDataFrame(rows)
+    path = str(tmp_path / "bars")
+    L.land_in_order(bars, path, "ts", 4)
+    extra = bars.where("ts < '2020-03-01'").coalesce(1)  # bars that come again
+    extra.write.mode("append").parquet(path)
+    stream = L.stream_table(spark, path, "*.parquet", bars.schema, files_per_trigger=1)
+    live = keyed_scores(stream, {"return_5d": Return(5), "rsi_14": Rsi(14), "price_position": Position()}, lambda x: x.sum(axis=1), minimum=3, late="900 days")
+    got = L.run_append(live, "keyed").toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    want = build_features(bars, columns=names).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    want = want[want.groupby("symbol").cumcount() >= 2].reset_index(drop=True)
+    assert len(got) == len(want) == 230 + 120 - 4
+    for n in names:
+        np.testing.assert_allclose(got[n].to_numpy(float), want[n].to_numpy(float), atol=1e-9)
+    np.testing.assert_allclose(got["prediction"], got[names].fillna(0).sum(axis=1))
+
+
+def test_accuracy_from_panes_equals_plain_windows(spark, tmp_path):
+    rows = [("AB"[i % 2], datetime(2024, 1, 1) + timedelta(minutes=11 * i), (i * 37 % 100) / 100, float(i % 5 - 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, prediction double, actual_return double")
+    path = str(tmp_path / "p")
+    L.land_in_order(df, path, "ts", 3)
+    stream = L.stream_table(spark, path, "*.parquet", df.schema, files_per_trigger=1)
+    got = {(r["symbol"], r["window_end"]): (round(r["accuracy"], 9), r["total_predictions"]) for r in L.run_append(L.stream_accuracy(stream), "panes").collect()}
+    closed = rows[-1][1] - timedelta(minutes=10)
+    want = {}
+    for symbol, ts, p, r in rows:
+        end = ts.replace(minute=0) + timedelta(hours=1)
+        for k in range(24):
+            if end + timedelta(hours=k) <= closed:
+                want.setdefault((symbol, end + timedelta(hours=k)), []).append((p > 0.5) == (r > 0))
+    assert got == {k: (round(sum(v) / len(v), 9), len(v)) for k, v in want.items()}

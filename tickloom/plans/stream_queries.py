@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..operators.catalogue import build_features
 from ..operators.monitor import signal_record
 from ..operators.targets import add_target
 from ..streaming import live as L
+from ..streaming.keyed import Position, Return, Rsi, keyed_scores
 from ..streaming.messages import PREDICTION, TICK, parse_messages, processors, to_messages
 from . import datasets as D
 from .oracles.base import rnd
@@ -187,8 +189,35 @@ def score_model(bars: DataFrame):
     return E.fit(E.model_input(s.tidy(), SCORE_COLUMNS), SCORE_COLUMNS, E.logistic())
 
 
-@query("stream_score")
+HOURLY = f"""{TICKS}, hb AS (SELECT symbol, time_bucket(INTERVAL 1 HOUR, ts) AS hour FROM tk GROUP BY 1, 2),
+nb AS (SELECT symbol, hour, row_number() OVER (PARTITION BY symbol ORDER BY hour) AS n FROM hb WHERE hour + INTERVAL 1 HOUR <= {CLOSED})"""
+
+
+@query("stream_score", f"WITH {HOURLY} SELECT symbol, strftime(hour, '%Y-%m-%d %H:%M:%S') AS ts, n, true AS same_features, true AS same_score FROM nb WHERE n >= 50")
 def stream_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly bars stream in, file by file; every bar is scored from its symbol's state. The indicators and
+    the score of each bar must be those of the batch builder and the fitted model."""
+    path = L.workspace(spark, "bars")
+    bars = L.run_append(L.stream_bars(event_stream(spark, sf)), "score-bars")
+    L.land_in_order(bars, path, "ts", 3)
+    model = score_model(bars)
+    fitted = model.stages[-1]
+    weights, base = fitted.coefficients.toArray(), float(fitted.intercept)
+    source = L.stream_table(spark, path, "*.parquet", bars.schema, files_per_trigger=1)
+    live = keyed_scores(source, {"return_5d": Return(5), "rsi_14": Rsi(14), "price_position": Position()}, lambda x: 1 / (1 + np.exp(-(x @ weights + base))))
+    scored = L.run_append(live, "score")
+    features = build_features(bars, columns=list(SCORE_COLUMNS), group_rows=L.BUCKETS * 1000)
+    batch = E.up_probability(model, E.model_input(features, SCORE_COLUMNS), "batch")
+    near = lambda a, b: F.abs(F.coalesce(a, F.lit(0.0)) - b) < 1e-9
+    same = F.lit(True)
+    for n in SCORE_COLUMNS:
+        same = same & near(F.nanvl(F.col(f"l.{n}"), F.lit(0.0)), F.col(f"b.{n}"))
+    both = scored.alias("l").join(batch.alias("b"), ["symbol", "ts"])
+    return both.select("symbol", minute("ts"), "n", same.alias("same_features"), near(F.col("prediction"), F.col("batch")).alias("same_score"))
+
+
+@query("stream_score_batches")
+def stream_score_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly bars stream in; every batch scores the newest bar of each symbol with a fitted model, from its last 1000 bars."""
     path = L.workspace(spark, "bars")
     bars = L.run_append(L.stream_bars(event_stream(spark, sf)), "score-bars")

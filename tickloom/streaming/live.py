@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.scalars import truth
+from ..functions.scalars import flag, truth
 from ..operators.catalogue import build_features
 from ..operators.monitor import signal_record
 from ..session import shared_dir
@@ -121,13 +121,21 @@ def run_updates(df: DataFrame, label: str, key: str = "symbol") -> DataFrame:
 
 
 def stream_accuracy(history: DataFrame, size: str = "1 day", slide: str = "1 hour", late: str = LATE) -> DataFrame:
-    """Share of right directions per symbol in sliding windows of event time."""
+    """Share of right directions per symbol in sliding windows of event time.
+
+    Rows are counted once, in panes as long as the slide; a window merges its panes. So a row is not
+    copied into every window it lies in, only a pane is. ``size`` is a multiple of ``slide``.
+    """
     right = truth(F.col("prediction") > 0.5) == truth(F.col("actual_return") > 0)
-    return (
+    panes = (
         history.withWatermark("ts", late)
-        .groupBy("symbol", F.window("ts", size, slide).alias("w"))
-        .agg(F.avg(right.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("total_predictions"))
-        .select("symbol", F.col("w.end").alias("window_end"), "accuracy", "total_predictions")
+        .groupBy("symbol", F.window("ts", slide).alias("pane"))
+        .agg(F.sum(flag(right)).alias("rights"), F.count(F.lit(1)).alias("n"))
+    )
+    return (
+        panes.groupBy("symbol", F.window(F.window_time("pane"), size, slide).alias("w"))
+        .agg(F.sum("rights").alias("rights"), F.sum("n").alias("total_predictions"))
+        .select("symbol", F.col("w.end").alias("window_end"), (F.col("rights") / F.col("total_predictions")).alias("accuracy"), "total_predictions")
     )
 
 
