@@ -65,9 +65,21 @@ def test_exact_percentile_with_ties_and_tiny_groups(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"g": rng.choice(list("abc"), 3000, p=[0.6, 0.39, 0.01]), "x": np.round(rng.standard_t(2, 3000), 1)})
     pdf = pd.concat([pdf, pd.DataFrame({"g": ["one", "same", "same"], "x": [3.0, 5.0, 5.0]})])
-    got = B.exact_percentile(spark.createDataFrame(pdf), ["g"], "x", 0.05, bins=16).toPandas().set_index("g")["value"]
-    for g, rows in pdf.groupby("g"):
-        assert got[g] == pytest.approx(np.percentile(rows["x"], 5), abs=1e-12)
+    for q, limit, pivots in ((0.05, 20, 4), (0.5, 3, 8), (0.0, 1, 2), (1.0, 100, 16)):
+        got = B.exact_percentile(spark.createDataFrame(pdf), ["g"], "x", q, limit, pivots).toPandas().set_index("g")["value"]
+        assert len(got) == 5
+        for g, rows in pdf.groupby("g"):
+            assert got[g] == pytest.approx(np.percentile(rows["x"], 100 * q), abs=1e-12)
+
+
+def test_exact_percentile_of_equal_values_and_an_outlier(spark):
+    same = spark.range(200_000).select(F.lit("s").alias("g"), F.lit(0.25).alias("x"))
+    rest = spark.createDataFrame([("s", 1e300), ("s", -1e300), ("s", 0.5)], "g string, x double")
+    low = spark.range(50_000).select(F.lit("t").alias("g"), F.pow(F.lit(10.0), F.col("id") / 200 - 200).alias("x"))  # over 250 orders of magnitude
+    df = same.unionByName(rest).unionByName(low)
+    got = {r["g"]: r["value"] for r in B.exact_percentile(df, ["g"], "x", 0.05, limit=100).collect()}
+    assert got["s"] == 0.25
+    assert got["t"] == pytest.approx(np.percentile(10.0 ** (np.arange(50_000) / 200 - 200), 5), rel=1e-12)
 
 
 def test_targets(spark, frame, bars):

@@ -213,37 +213,60 @@ def _with_var(s: Series, by: list[str], q: float = 0.05) -> DataFrame:
     return rows.join(exact_percentile(rows, by, "strategy_returns", q).withColumnRenamed("value", "_var"), by, "left")
 
 
-def exact_percentile(df: DataFrame, by: Sequence[str], x: str, q: float, bins: int = 4096) -> DataFrame:
-    """Linear-interpolated percentile per group for groups too large for one task.
-
-    Values are counted in equal-width bins first (map-side), which tells the bins that hold
-    the two ranks around the percentile; only their rows are sorted, by (group, bin).
+def exact_percentile(df: DataFrame, by: Sequence[str], x: str, q: float, limit: int = 100_000, pivots: int = 64) -> DataFrame:
+    """Linear-interpolated percentile per group for groups too large for one task, for any values.
+
+    The value at the lower of the two ranks is selected by narrowing: a mergeable sketch gives pivots
+    among the values that are still in question, one aggregation counts the values at and between the
+    pivots, and the rank either lies at a pivot, however often that value occurs, or between two of them.
+    Every round leaves about one in ``pivots`` values; when at most ``limit`` are left, they are sorted.
+    The upper value is the next larger one, from one more aggregation.
     """
     by = list(by)
-    data = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x"))
-    span = data.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("_x").alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    bin_of = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(0)
-    placed = data.join(span, by).withColumn("_bin", bin_of)
-    counts = placed.groupBy(*by, "_bin").agg(F.count("_x").alias("_c"), F.max("_n").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    data = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"))
     rank = (F.col("_n") - 1) * F.lit(q)
-    low, high = F.floor(rank), F.ceil(rank)
-    hit = (
-        counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-        .where((F.col("_before") <= high) & (F.col("_before") + F.col("_c") > low))
-        .select(*by, "_bin", "_before", low.alias("_low"), high.alias("_high"), (rank - low).alias("_part"))
-    )
-    inside = Window.partitionBy(*by, "_bin").orderBy("_x")
-    ranked = placed.select(*by, "_bin", "_x").join(hit, [*by, "_bin"]).withColumn(
-        "_rank", F.row_number().over(inside) - 1 + F.col("_before")
-    )
-    ends = ranked.groupBy(*by).agg(
-        F.max(F.when(F.col("_rank") == F.col("_low"), F.col("_x"))).alias("_a"),
-        F.max(F.when(F.col("_rank") == F.col("_high"), F.col("_x"))).alias("_b"),
-        F.max("_part").alias("_part"),
+    none = F.lit(None).cast("double")
+    asked = data.groupBy(*by).agg(F.count("_x").alias("_n")).select(*by, F.floor(rank).alias("_low"), F.ceil(rank).alias("_high"), (rank - F.floor(rank)).alias("_part"), "_n")
+    state = cut(asked.select(*by, "_low", none.alias("_lo"), none.alias("_hi"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_left")))
+    found = []
+    while True:
+        small = state.where(F.col("_left") <= limit)
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("_x")) - 1 + F.col("_below")
+        found.append(_between(data, small, by).withColumn("_at", place).where(F.col("_at") == F.col("_low")).select(*by, "_x"))
+        open_ = state.where(F.col("_left") > limit)
+        if open_.isEmpty():
+            break
+        rows = _between(data, open_, by)
+        shares = F.array(*[F.lit(k / pivots) for k in range(1, pivots)])
+        marks = rows.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile_approx("_x", shares, F.lit(64 * pivots)))).alias("_p"))
+        marks = cut(open_.join(marks, by))
+        smaller = F.size(F.filter("_p", lambda p: p < F.col("_x")))
+        at_mark = F.coalesce(F.get("_p", F.col("_slot")) == F.col("_x"), F.lit(False)).cast("int")
+        slots = _between(data, marks, by).withColumn("_slot", smaller).withColumn("_on", at_mark)
+        # between two pivots come the values below a pivot (0), then those equal to it (1)
+        counts = slots.groupBy(*by, "_slot", "_on").agg(F.count(F.lit(1)).alias("_c"))
+        before = Window.partitionBy(*by).orderBy("_slot", "_on").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.join(marks, by).withColumn("_upto", F.col("_below") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
+        hit = cut(placed.where((F.col("_upto") <= F.col("_low")) & (F.col("_low") < F.col("_upto") + F.col("_c"))))
+        found.append(hit.where("_on = 1").select(*by, F.get("_p", F.col("_slot")).alias("_x")))
+        lower, upper = F.coalesce(F.get("_p", F.col("_slot") - 1), F.col("_lo")), F.coalesce(F.get("_p", F.col("_slot")), F.col("_hi"))
+        state = cut(hit.where("_on = 0").select(*by, "_low", lower.alias("_lo"), upper.alias("_hi"), F.col("_upto").alias("_below"), F.col("_c").alias("_left")))
+    values = found[0]
+    for f in found[1:]:
+        values = values.unionByName(f)
+    values = asked.join(cut(values.withColumnRenamed("_x", "_a")), by)
+    above = data.join(values, by).groupBy(*by).agg(
+        F.max("_a").alias("_a"), F.max("_part").alias("_part"), F.max("_high").alias("_high"),
+        F.count(F.when(F.col("_x") <= F.col("_a"), 1)).alias("_upto"), F.min(F.when(F.col("_x") > F.col("_a"), F.col("_x"))).alias("_next"),
     )
-    return ends.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("value"))
+    upper = F.when(F.col("_high") < F.col("_upto"), F.col("_a")).otherwise(F.col("_next"))
+    return above.select(*by, (F.col("_a") + (upper - F.col("_a")) * F.col("_part")).alias("value"))
+
+
+def _between(data: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """The values of the state's groups that lie strictly between its bounds."""
+    inside = (F.col("_lo").isNull() | (F.col("_x") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_x") < F.col("_hi")))
+    return data.join(state, by).where(inside)
 
 
 def returns_histogram(result: DataFrame, bins: int = 50, by: Sequence[str] = ("symbol",)) -> DataFrame:
