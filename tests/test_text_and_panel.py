@@ -27,6 +27,29 @@ def test_negation_and_empty_text(spark):
     assert got[5]["vader_compound"] < 0 and len(got) == 5
 
 
+def test_surroundings_of_words(spark):
+    texts = {
+        "plain": "the gain", "very": "a very good day", "far": "very big and good", "slight": "slightly good", "loud": "what a GOOD day", "all": "GOOD GAIN", "turned": "it is not a good day",
+        "isnt": "This isn't good", "but": "good start but bad end", "marks": "good day!!!!!!", "asks": "good? day??",
+    }
+    items = spark.createDataFrame(list(texts.items()), "id string, text string")
+    got = {r["id"]: r for r in N.text_sentiment(items, F.col("text"), N.lexicon_table(spark), ["id"]).collect()}
+    want = {
+        "plain": 2.5, "very": 2 + N.STEP, "far": 2 + N.STEP * 0.9, "slight": 2 - N.STEP, "loud": 2 + N.EMPHASIS, "all": 4.5, "turned": 2 * N.NEGATED, "isnt": 2 * N.NEGATED,
+        "but": 2 * 0.5 - 2.5 * 1.5, "marks": 2 + 4 * N.EXCLAMATION, "asks": 2 + 3 * N.QUESTION,
+    }
+    for k, total in want.items():
+        assert got[k]["vader_compound"] == pytest.approx(total / math.sqrt(total**2 + N.NORMALISE)), k
+    assert got["very"]["textblob_polarity"] == pytest.approx(min(1.0, 0.75 * 1.3)) and got["but"]["vader_neutral"] == pytest.approx(3 / (3 + 2 + 4.75))
+
+
+def test_lexicon_of_any_size(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "good start but bad end"), (2, "nothing here")], "id int, text string")
+    few = N.text_sentiment(items, F.col("text"), N.lexicon_table(spark), ["id"]).orderBy("id").collect()
+    monkeypatch.setattr(N, "FILTERED", 3)
+    assert N.text_sentiment(items, F.col("text"), N.lexicon_table(spark), ["id"]).orderBy("id").collect() == few
+
+
 def test_lexicon_join_is_broadcast_without_hint(spark):
     items = spark.createDataFrame([(1, "good")], "id int, text string")
     plan = N.text_sentiment(items, F.col("text"), N.lexicon_table(spark), ["id"])._jdf.queryExecution().executedPlan().toString()

@@ -11,19 +11,33 @@ from ..functions.asof import ERA, asof_join, era_for
 from ..functions.scalars import flag, ratio
 from ..functions.series import Axis, as_series
 
-# The sample lexicon (word, valence -4..4, polarity -1..1, subjectivity 0..1).
+# The default lexicon of market news (word, valence -4..4, polarity -1..1, subjectivity 0..1).
 LEXICON = (
-    ("good", 2.0, 0.75, 0.5), ("great", 3.0, 0.75, 0.75), ("gain", 2.5, 0.5, 0.25), ("strong", 2.25, 0.5, 0.75),
-    ("profit", 2.0, 0.5, 0.25), ("best", 3.25, 1.0, 0.25), ("win", 2.75, 0.75, 0.5),
-    ("bad", -2.5, -0.75, 0.75), ("loss", -1.25, -0.5, 0.25), ("weak", -2.0, -0.5, 0.75), ("fall", -1.5, -0.25, 0.25),
-    ("worst", -3.0, -1.0, 1.0), ("risk", -1.0, -0.25, 0.5),
-    ("worthless", -2.0, -0.75, 1.0), ("stupid", -2.5, -0.75, 1.0), ("idiot", -2.25, -0.75, 0.75), ("trash", -1.5, -0.5, 0.5),
-    ("ther", 0.5, 0.125, 0.25), ("tion", 0.25, 0.25, 0.125), ("ble", -0.5, -0.125, 0.25), ("ing", 0.75, 0.125, 0.5),
-    ("ly", -0.25, -0.25, 0.125), ("ed", -0.75, -0.125, 0.5), ("ment", 0.5, 0.25, 0.25), ("sch", -0.5, -0.25, 0.25),
+    ("beat", 1.5, 0.25, 0.25), ("beats", 1.5, 0.25, 0.25), ("best", 3.25, 1.0, 0.25), ("boost", 1.75, 0.5, 0.25), ("bullish", 2.5, 0.5, 0.75),
+    ("confident", 2.25, 0.5, 0.75), ("excellent", 2.75, 1.0, 1.0), ("gain", 2.5, 0.5, 0.25), ("gains", 1.5, 0.5, 0.25), ("good", 2.0, 0.75, 0.5),
+    ("great", 3.0, 0.75, 0.75), ("growth", 1.5, 0.25, 0.25), ("happy", 2.75, 0.75, 1.0), ("improve", 2.0, 0.5, 0.25), ("improved", 2.0, 0.5, 0.25),
+    ("opportunity", 1.75, 0.25, 0.25), ("optimistic", 1.25, 0.5, 0.75), ("outperform", 2.0, 0.5, 0.25), ("positive", 2.5, 0.25, 0.5), ("profit", 2.0, 0.5, 0.25),
+    ("profits", 2.0, 0.5, 0.25), ("rally", 1.5, 0.25, 0.25), ("record", 0.75, 0.125, 0.25), ("rise", 1.25, 0.25, 0.25), ("strong", 2.25, 0.5, 0.75),
+    ("success", 2.75, 0.5, 0.25), ("surge", 1.75, 0.25, 0.25), ("upgrade", 1.75, 0.25, 0.25), ("win", 2.75, 0.75, 0.5), ("wins", 2.75, 0.5, 0.5),
+    ("bad", -2.5, -0.75, 0.75), ("bankrupt", -2.5, -0.75, 0.25), ("bearish", -2.5, -0.5, 0.75), ("concern", -1.25, -0.25, 0.25), ("crash", -2.0, -0.5, 0.25),
+    ("crisis", -3.0, -0.5, 0.25), ("decline", -1.25, -0.25, 0.25), ("default", -1.5, -0.25, 0.25), ("disappointing", -2.25, -0.75, 0.75), ("downgrade", -1.75, -0.25, 0.25),
+    ("fail", -2.5, -0.5, 0.25), ("fall", -1.5, -0.25, 0.25), ("fear", -2.25, -0.5, 0.75), ("fraud", -2.75, -0.75, 0.5), ("idiot", -2.25, -0.75, 0.75),
+    ("lawsuit", -1.0, -0.25, 0.125), ("loss", -1.25, -0.5, 0.25), ("losses", -1.75, -0.5, 0.25), ("miss", -0.75, -0.25, 0.25), ("negative", -2.75, -0.25, 0.5),
+    ("plunge", -1.75, -0.5, 0.25), ("poor", -2.0, -0.5, 0.5), ("recession", -1.75, -0.5, 0.25), ("risk", -1.0, -0.25, 0.5), ("stupid", -2.5, -0.75, 1.0),
+    ("trash", -1.5, -0.5, 0.5), ("weak", -2.0, -0.5, 0.75), ("worry", -1.75, -0.25, 0.5), ("worst", -3.0, -1.0, 1.0), ("worthless", -2.0, -0.75, 1.0),
 )
-NEGATIONS = ("not", "no", "never", "none", "nor", "neither", "cannot", "without")
+NEGATIONS = ("not", "no", "never", "none", "nor", "neither", "cannot", "without", "hardly", "nothing")
+BOOSTERS = ("very", "extremely", "highly", "really", "hugely", "remarkably", "sharply", "strongly", "particularly", "especially")
+DAMPERS = ("slightly", "somewhat", "barely", "partly", "marginally", "scarcely", "almost", "kinda")
+CONTRAST = "but"
 # Published constants of the valence method.
 NEGATED, NORMALISE = -0.74, 15.0
+STEP, NEARNESS, EMPHASIS = 0.293, (1.0, 0.95, 0.9), 0.733
+BEFORE_CONTRAST, AFTER_CONTRAST = 0.5, 1.5
+EXCLAMATION, MOST_EXCLAMATIONS, QUESTION, MANY_QUESTIONS = 0.292, 4, 0.18, 0.96
+# Of the polarity method: a negation and an intensifier directly before a word.
+POLARITY_NEGATED, INTENSIFIED = -0.5, 1.3
+FILTERED = 20_000  #: lexicons up to this many words are looked up before words become rows
 SCORES = (
     "vader_compound", "vader_positive", "vader_negative", "vader_neutral",
     "textblob_polarity", "textblob_subjectivity", "sentiment_score",
@@ -37,31 +51,60 @@ def lexicon_table(spark: SparkSession, rows: Sequence[tuple] = LEXICON) -> DataF
 
 
 def text_sentiment(items: DataFrame, text, lexicon: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Scores of each text, one row per ``keys``; empty texts score 0 everywhere.
+    """Scores of each text, one row per ``keys`` (which are unique); empty texts score 0 everywhere.
 
-    Words are exploded next to a flag that a negation stands before them. The words of a
-    text stay in one task until they are summed, so the map side combines them to one row.
+    Each word of the lexicon (a table ``word, valence, polarity, subjectivity`` of any size) counts with
+    its valence, changed by its surroundings: a word in capitals in a text that is not all capitals is
+    stronger, boosters and dampers among the three words before it make it stronger or weaker, less so
+    the farther they are, a negation among them turns it round, and the first ``but`` of a text weighs
+    what follows above what comes before. Exclamation and question marks strengthen the sum.
+
+    The surroundings are array expressions over the words. Only words of the lexicon become rows, by a
+    look-up that needs no join while the lexicon is small.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda w: w != "")
-    before = F.concat(F.array(F.lit("")), F.col("_words"))
-    pairs = F.arrays_zip(F.col("_words").alias("word"), F.slice(before, 1, F.size("_words")).alias("before"))
-    tokens = (
-        items.select(*keys, words.alias("_words"))
-        .select(*keys, F.explode_outer(F.when(F.size("_words") > 0, pairs)).alias("t"))
-        .select(*keys, F.col("t.word").alias("word"), F.col("t.before").isin(list(NEGATIONS)).alias("negated"))
+    raw = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(raw, "[^A-Za-z']+"), lambda w: w.rlike("[A-Za-z]"))
+    shout = lambda w: (F.length(w) > 1) & (F.upper(w) == w)
+    step = items.select(*keys, raw.alias("_text"), words.alias("_words"))
+    step = step.select(
+        *keys, "_words", F.transform("_words", F.lower).alias("_low"), F.exists("_words", lambda w: ~shout(w)).alias("_mixed"),
+        F.least(F.length(F.regexp_replace("_text", "[^!]", "")), F.lit(MOST_EXCLAMATIONS)).alias("_loud"), F.length(F.regexp_replace("_text", "[^?]", "")).alias("_asks"),
+    )
+    step = step.withColumn("_but", F.array_position("_low", CONTRAST))
+    before = lambda i, d: F.coalesce(F.get("_low", i - d), F.lit(""))
+    token = lambda w, i: F.struct(
+        w.alias("word"), (F.col("_mixed") & shout(F.get("_words", i))).alias("loud"), *[before(i, d).alias(f"b{d}") for d in (1, 2, 3)],
+        F.when(F.col("_but") == 0, 1.0).when(i + 1 < F.col("_but"), BEFORE_CONTRAST).when(i + 1 > F.col("_but"), AFTER_CONTRAST).otherwise(1.0).alias("weight"),
     )
-    hit = tokens.join(lexicon, "word", "left")
-    valence = F.when(F.col("negated"), F.col("valence") * NEGATED).otherwise(F.col("valence"))
-    polarity = F.when(F.col("negated"), F.col("polarity") * -0.5).otherwise(F.col("polarity"))
+    known = [r["word"] for r in lexicon.select("word").limit(FILTERED + 1).collect()]
+    tokens = F.transform("_low", token)
+    if len(known) <= FILTERED:
+        tokens = F.filter(tokens, lambda t: t["word"].isin(known))
+    plain = [F.size("_low").alias("n"), "_loud", "_asks"]
+    rows = step.select(*keys, *plain, F.explode_outer(tokens).alias("t")).select(*keys, "n", "_loud", "_asks", "t.*")
+    hit = rows.join(lexicon, "word", "left")
+    sign = F.signum(F.col("valence"))
+    near = [F.col(f"b{d}") for d in (1, 2, 3)]
+    pushed = F.lit(0.0)
+    for b, share in zip(near, NEARNESS):
+        pushed = pushed + F.when(b.isin(*BOOSTERS), STEP * share).when(b.isin(*DAMPERS), -STEP * share).otherwise(0.0)
+    negates = lambda b: b.isin(*NEGATIONS) | b.endswith("n't")
+    turned = F.when(negates(near[0]) | negates(near[1]) | negates(near[2]), NEGATED).otherwise(1.0)
+    valence = (F.col("valence") + sign * (F.when(F.col("loud"), EMPHASIS).otherwise(0.0) + pushed)) * turned * F.col("weight")
     v = F.coalesce(valence, F.lit(0.0))
+    bent = F.when(negates(near[0]), POLARITY_NEGATED).when(near[0].isin(*BOOSTERS), INTENSIFIED).otherwise(1.0)
     sums = hit.groupBy(*keys).agg(
-        F.sum(v).alias("total"),
+        F.sum(v).alias("sum"),
         F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("pos"),
         F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("neg"),
-        F.sum(F.when((v == 0) & F.col("word").isNotNull(), 1.0).otherwise(0.0)).alias("neu"),
-        F.avg(polarity).alias("polarity"),
-        F.avg("subjectivity").alias("subjectivity"),
+        (F.max("n") - F.sum(flag(v != 0))).cast("double").alias("neu"),
+        F.avg(F.when(F.col("polarity").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("polarity") * bent)))).alias("polarity"),
+        F.avg("subjectivity").alias("subjectivity"), F.max("_loud").alias("loud"), F.max("_asks").alias("asks"),
     )
+    asked = F.when(F.col("asks") > 3, MANY_QUESTIONS).when(F.col("asks") > 1, F.col("asks") * QUESTION).otherwise(0.0)
+    extra = F.col("loud") * EXCLAMATION + asked
+    sums = sums.withColumn("total", F.col("sum") + F.signum("sum") * extra)
+    sums = sums.withColumns({"pos": F.col("pos") + F.when(F.col("pos") > F.col("neg"), extra).otherwise(0.0), "neg": F.col("neg") + F.when(F.col("neg") > F.col("pos"), extra).otherwise(0.0)})
     mass = F.col("pos") + F.col("neg") + F.col("neu")
     compound = F.col("total") / F.sqrt(F.col("total") * F.col("total") + NORMALISE)
     mood = F.coalesce(F.col("polarity"), F.lit(0.0))

@@ -22,21 +22,48 @@ def on_date():
     return F.col("date").cast("string").alias("day")
 
 
+#: The texts are invented prose, in which hardly any word of the lexicon stands; frequent words of it get
+#: valences too, so that every rule has something to work on.
+PROSE = (
+    ("ther", 0.5, 0.125, 0.25), ("tion", 0.25, 0.25, 0.125), ("ble", -0.5, -0.125, 0.25), ("ing", 0.75, 0.125, 0.5),
+    ("ly", -0.25, -0.25, 0.125), ("ed", -0.75, -0.125, 0.5), ("ment", 0.5, 0.25, 0.25), ("sch", -0.5, -0.25, 0.25),
+)
+WORDS = (*N.LEXICON, *PROSE)
+
+
 def lexicon_sql() -> str:
-    rows = ", ".join(f"('{w}', {v}::DOUBLE, {p}::DOUBLE, {s}::DOUBLE)" for w, v, p, s in N.LEXICON)
+    rows = ", ".join(f"('{w}', {v}::DOUBLE, {p}::DOUBLE, {s}::DOUBLE)" for w, v, p, s in WORDS)
     return f"lex(word, valence, polarity, subjectivity) AS (VALUES {rows})"
 
 
-NOT = ", ".join(f"'{w}'" for w in N.NEGATIONS)
+def listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def negates(b: str) -> str:
+    return f"({b} IN ({listed(N.NEGATIONS)}) OR {b} LIKE '%n''t')"
+
+
+PUSHED = " + ".join(f"CASE WHEN b{d} IN ({listed(N.BOOSTERS)}) THEN {N.STEP * share}::DOUBLE WHEN b{d} IN ({listed(N.DAMPERS)}) THEN {-N.STEP * share}::DOUBLE ELSE 0 END" for d, share in zip((1, 2, 3), N.NEARNESS))
+KEYS = "item_id, symbol, date, source"
 SCORED = f"""{NEWS}, {lexicon_sql()},
-wl AS (SELECT item_id, symbol, date, source, list_filter(regexp_split_to_array(lower(title || ' ' || summary), '[^a-z]+'), lambda w: w <> '') AS ws FROM news),
-tk AS (SELECT item_id, symbol, date, source, unnest(ws) AS word, unnest(list_concat([''], ws)[1:len(ws)]) AS before FROM wl),
-hv AS (SELECT t.*, coalesce(CASE WHEN before IN ({NOT}) THEN valence * -0.74 ELSE valence END, 0) AS v,
-  CASE WHEN before IN ({NOT}) THEN polarity * -0.5 ELSE polarity END AS pol, subjectivity AS sub FROM tk t LEFT JOIN lex USING (word)),
-sm AS (SELECT item_id, symbol, date, source, sum(v) AS total, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS pos, sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS neg,
-  sum(CASE WHEN v = 0 THEN 1.0::DOUBLE ELSE 0 END) AS neu, coalesce(avg(pol), 0) AS mood, coalesce(avg(sub), 0) AS sub FROM hv GROUP BY 1, 2, 3, 4),
-sc AS (SELECT item_id, symbol, date, source, total / sqrt(total * total + 15) AS vader_compound, pos / (pos + neg + neu) AS vader_positive, neg / (pos + neg + neu) AS vader_negative,
-  neu / (pos + neg + neu) AS vader_neutral, mood AS textblob_polarity, sub AS textblob_subjectivity, 0.6::DOUBLE * total / sqrt(total * total + 15) + 0.4::DOUBLE * mood AS sentiment_score FROM sm)"""
+wl AS (SELECT {KEYS}, title || ' ' || summary AS body, list_filter(regexp_split_to_array(title || ' ' || summary, '[^A-Za-z'']+'), lambda w: regexp_matches(w, '[A-Za-z]')) AS ws FROM news),
+wk AS (SELECT *, list_transform(ws, lambda w: lower(w)) AS low, len(list_filter(ws, lambda w: NOT (length(w) > 1 AND upper(w) = w))) > 0 AS mixed,
+  least(length(regexp_replace(body, '[^!]', '', 'g')), {N.MOST_EXCLAMATIONS}) AS loud_marks, length(regexp_replace(body, '[^?]', '', 'g')) AS asks FROM wl),
+wb AS (SELECT *, coalesce(list_position(low, '{N.CONTRAST}'), 0) AS but FROM wk),
+ti AS (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM wb),
+tk AS (SELECT {KEYS}, low[i] AS word, mixed AND length(ws[i]) > 1 AND upper(ws[i]) = ws[i] AS loud, {', '.join(f"CASE WHEN i > {d} THEN low[i - {d}] ELSE '' END AS b{d}" for d in (1, 2, 3))},
+  CASE WHEN but = 0 OR i = but THEN 1.0::DOUBLE WHEN i < but THEN {N.BEFORE_CONTRAST}::DOUBLE ELSE {N.AFTER_CONTRAST}::DOUBLE END AS weight FROM ti),
+hv AS (SELECT t.*, (valence + sign(valence) * (CASE WHEN loud THEN {N.EMPHASIS}::DOUBLE ELSE 0 END + {PUSHED}))
+  * CASE WHEN {' OR '.join(negates(f'b{d}') for d in (1, 2, 3))} THEN {N.NEGATED}::DOUBLE ELSE 1 END * weight AS v,
+  greatest(-1.0, least(1.0, polarity * CASE WHEN {negates('b1')} THEN {N.POLARITY_NEGATED}::DOUBLE WHEN b1 IN ({listed(N.BOOSTERS)}) THEN {N.INTENSIFIED}::DOUBLE ELSE 1 END)) AS pol,
+  subjectivity AS sub FROM tk t JOIN lex USING (word)),
+hs AS (SELECT {KEYS}, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS pos, sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS neg, count(*) FILTER (v <> 0) AS hits, avg(pol) AS mood, avg(sub) AS sub FROM hv GROUP BY ALL),
+sx AS (SELECT {', '.join(f'k.{x}' for x in KEYS.split(', '))}, coalesce(s, 0) AS s, coalesce(pos, 0) AS pos0, coalesce(neg, 0) AS neg0, len(ws) - coalesce(hits, 0) AS neu, coalesce(mood, 0) AS mood, coalesce(sub, 0) AS sub,
+  loud_marks * {N.EXCLAMATION}::DOUBLE + CASE WHEN asks > 3 THEN {N.MANY_QUESTIONS}::DOUBLE WHEN asks > 1 THEN asks * {N.QUESTION}::DOUBLE ELSE 0 END AS extra FROM wb k LEFT JOIN hs USING ({KEYS})),
+sm AS (SELECT *, s + sign(s) * extra AS total, pos0 + CASE WHEN pos0 > neg0 THEN extra ELSE 0 END AS pos, neg0 + CASE WHEN neg0 > pos0 THEN extra ELSE 0 END AS neg FROM sx),
+sc AS (SELECT {KEYS}, total / sqrt(total * total + 15) AS vader_compound, {', '.join(f'coalesce({x} / nullif(pos + neg + neu, 0), 0) AS vader_{y}' for x, y in (('pos', 'positive'), ('neg', 'negative'), ('neu', 'neutral')))},
+  mood AS textblob_polarity, sub AS textblob_subjectivity, 0.6::DOUBLE * total / sqrt(total * total + 15) + 0.4::DOUBLE * mood AS sentiment_score FROM sm)"""
 SCORE_DIGITS = {n: 6 for n in N.SCORES}
 
 
@@ -45,7 +72,7 @@ def cols_sql(cols: dict[str, int]) -> str:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return N.news_scores(D.news(spark, sf), N.lexicon_table(spark), ("item_id", "symbol", "date", "source"))
+    return N.news_scores(D.news(spark, sf), N.lexicon_table(spark, WORDS), ("item_id", "symbol", "date", "source"))
 
 
 @query("text_sentiment", f"WITH {SCORED} SELECT item_id, {cols_sql(SCORE_DIGITS)} FROM sc")
