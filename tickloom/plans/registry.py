@@ -45,13 +45,17 @@ def family_query(name: str) -> Query:
     return run
 
 
-def compared(out: DataFrame, names: Sequence[str]) -> DataFrame:
+def compared_columns(names: Sequence[str]) -> list[Column]:
     cols = []
     for f in families(names):
         for n in f.columns:
             d = digits_of(f.name, n)
             cols.append(F.col(n) if d is None else grid(F.col(n), d).alias(n))
-    return out.select("symbol", day(), *cols)
+    return cols
+
+
+def compared(out: DataFrame, names: Sequence[str]) -> DataFrame:
+    return out.select("symbol", day(), *compared_columns(names))
 
 
 def _register_families() -> None:
@@ -66,18 +70,22 @@ _register_families()
 SUITE = [f.name for f in families() if f.suite and f.name != "ta_nvi"]
 
 
-@query("ta_nvi", feature_sql("ta_nvi").replace("floor((volume_nvi) * 1e-300 + 0.5) / 1e-300 AS volume_nvi", "floor(ln(volume_nvi) * 1e6 + 0.5) / 1e6 AS ln_volume_nvi"))
+def as_logarithm(sql: str) -> str:
+    return sql.replace("floor((volume_nvi) * 1e-300 + 0.5) / 1e-300 AS volume_nvi", "floor(ln(volume_nvi) * 1e6 + 0.5) / 1e6 AS ln_volume_nvi")
+
+
+@query("ta_nvi", as_logarithm(feature_sql("ta_nvi")))
 def ta_nvi(spark: SparkSession, sf: str) -> DataFrame:
     """Compared as a logarithm: the index of these series spans many orders of magnitude."""
     out = build_features(D.bars(spark, sf), ["ta_nvi"], group_rows=D.bars_per_symbol(spark, sf))
     return out.select("symbol", day(), grid(F.ln("volume_nvi"), 6).alias("ln_volume_nvi"))
 
 
-@query("ta_suite", suite_sql(SUITE))
+@query("ta_suite", as_logarithm(suite_sql([*SUITE, "ta_nvi"])))
 def ta_suite(spark: SparkSession, sf: str) -> DataFrame:
-    """The suite in one plan (all of it but the index above)."""
-    out = build_features(D.bars(spark, sf), SUITE, group_rows=D.bars_per_symbol(spark, sf))
-    return compared(out, SUITE)
+    """The whole suite in one plan (the index above again as a logarithm)."""
+    out = build_features(D.bars(spark, sf), [*SUITE, "ta_nvi"], group_rows=D.bars_per_symbol(spark, sf))
+    return out.select("symbol", day(), *compared_columns(SUITE), grid(F.ln("volume_nvi"), 6).alias("ln_volume_nvi"))
 
 
 @query("ta_suite_filled")
