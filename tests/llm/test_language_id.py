@@ -62,7 +62,7 @@ def brute(train, texts):
     for text in texts:
         m = margins(text)
         losses = [sum(t / sum(trust[i]) * math.log1p(math.exp(-code[i][b] * m[b])) for b, t in enumerate(trust[i])) for i in range(len(langs))]
-        odds = [math.exp(-L.SCALE * (x - min(losses))) for x in losses]
+        odds = [math.exp(min(losses) - x) for x in losses]
         out.append((langs[losses.index(min(losses))], 1 / sum(odds)))
     return out
 

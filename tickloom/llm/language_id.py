@@ -38,7 +38,7 @@ SCALE = 10.0  #: of the mean weights, so that the losses of clear and unclear te
 EXHAUSTIVE = 7  #: languages up to which every split is a bit
 MOST_BITS = 128
 TRIED_CODES = 200
-CLOSE = 0.15  #: a text is ambiguous if the second least loss exceeds the least by less than this share
+CLOSE = 0.5  #: a text is ambiguous if the second least loss exceeds the least by less
 RUN_CHARS = 1_000_000  #: characters that a task turns into grams at a time
 HELD_LANGUAGES = 64  #: languages that a task counts side by side
 GAP = 32  #: a space stands for each run of anything but letters
@@ -253,11 +253,11 @@ def _predicted(model: Model, names: list[str]) -> Callable[[Iterable[pa.RecordBa
                 picked = np.arange(len(known))
                 least = losses[picked, order[:, 0]]
                 second = losses[picked, order[:, 1]] if len(model.langs) > 1 else np.full(len(known), np.inf)
-                odds = np.exp(least[:, None] * SCALE - losses * SCALE)
+                odds = np.exp(least[:, None] - losses)
                 lang[known] = np.array(model.langs, object)[order[:, 0]]
                 score[known] = 1 / odds.sum(1)
                 gap[known] = np.minimum(second - least, 1e9)
-                close[known] = second - least < CLOSE * least
+                close[known] = second - least < CLOSE
             kept = [rows.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(gap), pa.array(close)], [*names, "lang_pred", "score", "gap", "ambiguous"])
 
