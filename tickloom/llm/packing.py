@@ -142,12 +142,12 @@ def plan(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
     return [tuple(p) for p in pieces]
 
 
-def as_ids(docs: DataFrame, key: str, text: str, end_id: int, vocabulary: str) -> DataFrame:
+def as_ids(docs: DataFrame, key: str, text: str, end_id: int, vocabulary: str, cache_share: float) -> DataFrame:
     """``key``, ``ids`` (unsigned 32-bit, little-endian, closed by the end id), ``row`` (a number of its own)."""
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = word_bpe(vocabulary), np.array([end_id], "<u4").tobytes()
+        bpe, end = word_bpe(vocabulary, cache_share), np.array([end_id], "<u4").tobytes()
         gc.disable()
         row = TaskContext.get().partitionId() * PER_PARTITION
         for batch in batches:
@@ -192,23 +192,24 @@ def in_order(rows: DataFrame, corpus, shards: int) -> DataFrame:
     return rows.mapInArrow(run, schema).repartitionByRange(shards, "place", "row").sortWithinPartitions("place", "row")
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int = 1, window: int = WINDOW, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int = 1, window: int = WINDOW, vocabulary: str = DEFAULT_VOCABULARY, cache_share: float = 1.0) -> DataFrame:
     """One row per piece: the key, ``start``, ``length``, ``ids`` (unsigned 32-bit, little-endian),
     ``doc_tokens``, ``sequence_id``, ``offset``.
 
     Every row is a document: its ids, then the end id; NULL and empty texts are the end id alone.
     Sequences are full windows but for the powers of two at the end of a shard. An empty table
-    gives no rows. Repeated rows are documents of their own.
+    gives no rows. Repeated rows are documents of their own. ``cache_share`` scales the memory for known words.
     """
     schema = T.StructType(
         [docs.schema[key]] + [T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))]
     )
-    rows = written(as_ids(docs, key, text, end_id, vocabulary), "ids")
+    rows = written(as_ids(docs, key, text, end_id, vocabulary, cache_share), "ids")
     found, total = corpus_of(rows)
     corpus = docs.sparkSession.sparkContext.broadcast(found)
     shards = max(1, -(-found.n // SHARD_DOCS), -(-total // SHARD_IDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_bpe.cache_clear()  # a worker that has encoded texts no longer needs its caches
         gc.disable()
         first = TaskContext.get().partitionId() * PER_PARTITION
         kept: list[pa.RecordBatch] = []
@@ -245,5 +246,5 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int =
     return in_order(rows, corpus, shards).select("key", "ids").mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+def digest(docs: DataFrame, cache_share: float = 1.0) -> DataFrame:
+    return pack(docs, cache_share=cache_share).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

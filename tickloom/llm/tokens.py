@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Bytes that a worker holds of known chunks and pieces, each counted with what Python adds to it.
-CHUNK_BYTES, PIECE_BYTES, ENTRY_BYTES = 60 << 20, 24 << 20, 180
+CHUNK_BYTES, PIECE_BYTES, ENTRY_BYTES = 104 << 20, 56 << 20, 180
 #: Marks that the pattern cuts off after a run of letters.
 MARKS = frozenset(".,;:!?")
 #: Characters that the vocabulary's normalizer only lower-cases, one by one.
@@ -34,7 +34,10 @@ def _byte_letters() -> dict[int, int]:
 
 
 class WordBpe:
-    def __init__(self, path: str):
+    """``cache_share`` scales the bytes that are held of known chunks and pieces."""
+
+    def __init__(self, path: str, cache_share: float = 1.0):
+        self.most_chunk_bytes, self.most_piece_bytes = CHUNK_BYTES * cache_share, PIECE_BYTES * cache_share
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.letters = _byte_letters()
@@ -49,7 +52,7 @@ class WordBpe:
         try:
             return b"".join(map(known.__getitem__, chunks))
         except KeyError:
-            if self.chunk_bytes > CHUNK_BYTES:
+            if self.chunk_bytes > self.most_chunk_bytes:
                 known.clear()
                 self.chunk_bytes = 0
             for c in set(chunks).difference(known):
@@ -71,7 +74,7 @@ class WordBpe:
     def _piece(self, piece: str) -> bytes:
         known = self.pieces.get(piece)
         if known is None:
-            if self.piece_bytes > PIECE_BYTES:
+            if self.piece_bytes > self.most_piece_bytes:
                 self.pieces.clear()
                 self.piece_bytes = 0
             mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
@@ -81,7 +84,7 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+def word_bpe(path: str, cache_share: float = 1.0) -> WordBpe:
+    return WordBpe(path, cache_share)
 
 
