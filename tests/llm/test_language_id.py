@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 
 from tickloom.llm import language_id as L
-from odd_rows import SF
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 8, 30, 200])
