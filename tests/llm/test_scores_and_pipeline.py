@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 from odd_rows import ODD_TEXTS, SF
+from pyspark.sql import functions as F
 from test_near_dup import brute
 
 import corpus_pipeline
@@ -106,3 +107,48 @@ def test_scores_do_not_depend_on_what_is_held(documents, monkeypatch):
     monkeypatch.setattr(lm_score, "HELD_TOKENS", 20)
     some_held = scores()
     assert all(abs(some_held[k] - s) <= 1e-6 * abs(s) for k, s in all_held.items())
+
+
+def test_scores_depend_on_the_order_of_words(spark):
+    """Training texts always have "b" after "a"; a held-out text with that order is more likely than the same words in reverse."""
+    schema = "doc_id long, text string"
+    rows = [(k, " ".join(["red apple", "green leaf", "blue sky"][(k + i) % 3] for i in range(40))) for k in range(60)]
+    rows += [(100, "red apple green leaf blue sky"), (101, "sky blue leaf green apple red"), (102, None)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    out = {r["doc_id"]: r for r in lm_score.scored(docs, held=F.col("doc_id") >= 100).collect()}
+    assert out[100]["score"] > out[101]["score"] + 3
+    assert abs(out[100]["base_score"] - out[101]["base_score"]) < 1e-9
+
+
+def test_every_occurrence_counts(spark):
+    words = spark.createDataFrame([(bytearray(b"ab"), 5, 5), (bytearray(b"cd"), 1, 1), (bytearray(b"ef"), 0, 1)], "token binary, n long, times long")
+    once = spark.createDataFrame([(bytearray(b"ab"), 1, 1), (bytearray(b"cd"), 1, 1)], "token binary, n long, times long")
+    bits = sum(len(w) + 1 for w in (b"ab", b"cd")) * 8 * len(lm_score.ORDERS)
+    assert lm_score.count_bits(once).sum() == bits
+    assert lm_score.count_bits(words).sum() == bits + 4 * 3 * 8 * len(lm_score.ORDERS)
+
+
+def test_tree_decisions():
+    """Ways lead to their leaves, what a text had is counted in it alone, and runs of a long text hand it on."""
+    code = lm_score.Code([4, 9, 2, 1, 30])
+    ways = {tuple(zip(code.node[a : a + n].tolist(), code.value[a : a + n].tolist(), strict=True)) for a, n in zip(code.start, code.length, strict=True)}
+    assert len(ways) == 5 and min(code.length) == code.length[4] == 1 and abs(sum(2.0**-n for n in code.length.tolist()) - 1) < 1e-12
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 5, n) for n in (7, 0, 30, 2 * lm_score.RUN_TOKENS + 5, 4)]
+    for room in (1, 20, 10**9):
+        seen = [[] for _ in texts]
+        for d, text in lm_score.decided(code, texts, lambda room=room: room):
+            for t, *rest in zip(text.tolist(), d.node.tolist(), d.value.tolist(), *d.had.tolist(), *[e.tolist() for e in d.entries], strict=True):
+                seen[t].append(rest)
+        for ids, rows in zip(texts, seen, strict=True):
+            had = np.zeros((2, code.nodes))
+            assert len(rows) == code.length[ids].sum()
+            for node, value, zeros, ones, *_ in rows:
+                assert (zeros, ones) == (had[0, node], had[1, node])
+                had[value, node] += 1
+            whole = lm_score.Decisions(code, ids, np.zeros(len(ids), np.int64))
+            assert [r[4:] for r in rows] == np.transpose(whole.entries).tolist()
+    mixer = lm_score.TreeMixer(rng.normal(0.3, 0.1, (lm_score.TREE_GATES, lm_score.TREE_INPUTS)))
+    table = rng.integers(0, 9, (code.nodes + (lm_score.WAYS << lm_score.WAY_BITS), 2)).astype(np.float32)
+    after = [10 ** mixer.log10_of(table, d)[d.owner == 1].sum() for d in (lm_score.Decisions(code, np.array([4, k]), np.zeros(2, np.int64)) for k in range(5))]
+    assert abs(sum(after) - 1) < 1e-5
