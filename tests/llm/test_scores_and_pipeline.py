@@ -130,7 +130,7 @@ def test_every_occurrence_counts(spark):
 
 def test_tree_decisions():
     """Ways lead to their leaves, what a text had is counted in it alone, and runs of a long text hand it on."""
-    code = lm_score.Code([4, 9, 2, 1, 30])
+    code = lm_score.Code.of([4, 9, 2, 1, 30])
     ways = {tuple(zip(code.node[a : a + n].tolist(), code.value[a : a + n].tolist(), strict=True)) for a, n in zip(code.start, code.length, strict=True)}
     assert len(ways) == 5 and min(code.length) == code.length[4] == 1 and abs(sum(2.0**-n for n in code.length.tolist()) - 1) < 1e-12
     rng = np.random.default_rng(0)

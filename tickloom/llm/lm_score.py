@@ -24,6 +24,7 @@ import gc
 import heapq
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -317,10 +318,19 @@ def tokens_of(text: str) -> list[bytes]:
     return words
 
 
+@dataclass
 class Code:
-    """The Huffman tree of leaves with these counts: the way to each leaf, from the root, as nodes and values. Leaf 0 is the escape."""
+    """A Huffman tree: the way to each leaf (``start``, ``length``), from the root, as nodes and values. Leaf 0 is the escape."""
 
-    def __init__(self, counts: list[int]):
+    nodes: int
+    start: np.ndarray
+    length: np.ndarray
+    node: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, counts: list[int]) -> Code:
+        """The tree of leaves with these counts."""
         leaves = len(counts)
         heap = [(c, k) for k, c in enumerate(counts)]
         heapq.heapify(heap)
@@ -333,16 +343,16 @@ class Code:
         depth = np.zeros(2 * leaves - 1, np.int64)
         for node in range(2 * leaves - 3, -1, -1):
             depth[node] = depth[above[node]] + 1
-        self.nodes = leaves - 1
-        self.length = depth[:leaves]
-        self.start = self.length.cumsum() - self.length
-        self.node, self.value = np.zeros(self.length.sum(), np.int64), np.zeros(self.length.sum(), np.int64)
+        length = depth[:leaves]
+        start = length.cumsum() - length
+        way, value = np.zeros(length.sum(), np.int64), np.zeros(length.sum(), np.int64)
         leaf = at = np.arange(leaves)
-        for back in range(1, int(self.length.max()) + 1):
-            leaf, at = leaf[self.length[leaf] >= back], at[self.length[leaf] >= back]
-            place = self.start[leaf] + self.length[leaf] - back
-            self.node[place], self.value[place] = above[at] - leaves, side[at]
+        for back in range(1, int(length.max()) + 1):
+            leaf, at = leaf[length[leaf] >= back], at[length[leaf] >= back]
+            place = start[leaf] + length[leaf] - back
+            way[place], value[place] = above[at] - leaves, side[at]
             at = above[at]
+        return cls(leaves - 1, start, length, way, value)
 
 
 class Decisions:
@@ -489,10 +499,10 @@ def count_decisions(rows: DataFrame, tree) -> np.ndarray:
 
     A task adds up many input splits, so the number of arrays on their way goes with the cores, not with the corpus.
     """
-    entries = tree.value[1].nodes + (WAYS << WAY_BITS)
+    entries = tree.value[1]["nodes"] + (WAYS << WAY_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, code = tree.value
+        leaf, code = tree.value[0], Code(**tree.value[1])
         table = np.zeros((entries, 2), np.float32)
         for d in _training(batches, leaf, code, lambda: RUN_TOKENS):
             for place in (d.node, *d.entries):
@@ -513,7 +523,7 @@ def learn_tree(rows: DataFrame, tree, table) -> TreeMixer:
     """Each partition adapts weights online over its texts; the model takes their means, by how often each gate was used."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, code = tree.value
+        leaf, code = tree.value[0], Code(**tree.value[1])
         mixer, step = TreeMixer(), 0
         for d in _training(batches, leaf, code, lambda: min(RUN_TOKENS, FIRST_TOKENS + 20 * step)):
             mixer.learn(table.value, d, TREE_RATE / (1 + step / 100))
@@ -562,7 +572,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held: Colum
     coded = small & (F.col("n") >= F.lit(max(LEAST_CODED, _least_held(vocabulary.where(small), CODED_TOKENS))))
     leaves = sorted((-r["n"], bytes(r["token"])) for r in vocabulary.where(coded).select("token", "n").collect())
     escapes = max(1, total + sum(n for n, _ in leaves))
-    tree = spark.sparkContext.broadcast(({t: k for k, (_, t) in enumerate(leaves, 1)}, Code([escapes, *[-n for n, _ in leaves]])))
+    tree = spark.sparkContext.broadcast(({t: k for k, (_, t) in enumerate(leaves, 1)}, vars(Code.of([escapes, *[-n for n, _ in leaves]]))))
     counts = spark.sparkContext.broadcast(count_decisions(rows, tree))
     mixer = learn_tree(rows, tree, counts)
     weighed = vocabulary.withColumn("times", F.when(coded, F.lit(1)).otherwise(F.greatest(F.col("n"), F.lit(1))).cast("long"))
@@ -612,7 +622,7 @@ def _parts(rows: DataFrame, known, tree, counts, mixer: TreeMixer) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         held, base, spelling = known.value
-        leaf, code = tree.value
+        leaf, code = tree.value[0], Code(**tree.value[1])
         model, table = TreeMixer(weights), counts.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
