@@ -31,3 +31,24 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_large_tables_of_names_are_not_broadcast(spark, monkeypatch):
+    from tickloom.plans import datasets
+
+    sf = "/root/testdata/sf0.001"
+    joined = lambda: datasets.trades(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" not in joined()
+    rows = sorted(datasets.trades(spark, sf).select("symbol", "ts", "price").collect())
+    monkeypatch.setattr(datasets, "MOST_NAMES", 10)
+    assert "strategy=merge" in joined()
+    assert sorted(datasets.trades(spark, sf).select("symbol", "ts", "price").collect()) == rows
+
+
+def test_parts_of_the_matrix_are_not_broadcast(spark, bars):
+    from tickloom.operators.matrix import feature_matrix
+
+    rows, names = feature_matrix(bars, ["rsi", "atr", "obv"], per_step=1)
+    assert "strategy=broadcast" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("strategy=merge") == len({"rsi", "atr", "obv"})
+    assert rows.count() == bars.count() and all(len(r["x"]) == len(names) for r in rows.select("x").collect())

@@ -42,7 +42,7 @@ def feature_matrix(bars: DataFrame, names: Sequence[str] | None = None, per_step
         parts = list(pool.map(inheritable_thread_target(bars.sparkSession)(part), steps))
     out = bars
     for k, p in enumerate(parts):
-        out = out.join(p.withColumnRenamed("_x", f"_x{k}"), ["symbol", "ts"])
+        out = out.join(p.withColumnRenamed("_x", f"_x{k}").hint("merge"), ["symbol", "ts"])  # no part goes through the driver
     values = F.concat(*[F.col(f"_x{k}") for k in range(len(parts))])
     return out.select("symbol", "ts", *BARS, values.alias("x")), [c for _, columns in steps for c in columns]
 

@@ -15,6 +15,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: A table of names with more rows is joined by a shuffle. Spark's own check looks at compressed bytes of a
+#: few columns, by which millions of rows, hundreds of MB when unpacked, still pass through the driver.
+MOST_NAMES = 500_000
+_NAMES: dict[tuple[str, str, str], int] = {}
+
+
+def named(spark: SparkSession, sf: str, name: str, *columns: Column) -> DataFrame:
+    """Columns of a table that trades look their symbol up in."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _NAMES:
+        _NAMES[key] = table(spark, sf, name).count()
+    names = table(spark, sf, name).select(*columns)
+    return names.hint("merge") if _NAMES[key] > MOST_NAMES else names
+
+
 def trade_seq() -> Column:
     """Order number, line, part and supplier packed into one fixed-width number."""
     d = "decimal(38,0)"
@@ -26,7 +41,7 @@ def trade_seq() -> Column:
 def trades(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as trades. Prices are whole numbers of the smallest currency unit."""
     items = table(spark, sf, "lineitem")
-    brands = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
+    brands = named(spark, sf, "part", F.col("p_partkey"), F.col("p_brand").alias("symbol"))
     return items.join(brands, F.col("l_partkey") == F.col("p_partkey")).select(
         "symbol", *_trade_columns()
     )
@@ -34,7 +49,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
 
 def supplier_trades(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "lineitem")
-    names = table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("symbol"))
+    names = named(spark, sf, "supplier", F.col("s_suppkey"), F.col("s_name").alias("symbol"))
     return items.join(names, F.col("l_suppkey") == F.col("s_suppkey")).select("symbol", *_trade_columns())
 
 
