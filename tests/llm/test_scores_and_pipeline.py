@@ -1,6 +1,7 @@
 """Scores against plain counts, and the pipeline against brute force."""
 
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -128,6 +129,16 @@ def test_every_occurrence_counts(spark):
     assert lm_score.count_bits(words).sum() == bits + 4 * 3 * 8 * len(lm_score.ORDERS)
 
 
+def test_tables_of_a_small_corpus_are_sent_small(spark):
+    words = spark.createDataFrame([(bytearray(b"ab"), 5, 5), (bytearray(b"cd"), 1, 1)], "token binary, n long, times long")
+    table = lm_score.count_bits(words)
+    sent = lm_score._sent(table)
+    assert len(pickle.dumps(sent)) < 20_000 < table.nbytes // 1000
+    assert np.array_equal(lm_score._received(sent), table)
+    full = np.ones((300, 2), np.float32)
+    assert np.array_equal(lm_score._received(lm_score._sent(full)), full)
+
+
 def test_tree_decisions():
     """Ways lead to their leaves, what a text had is counted in it alone, and runs of a long text hand it on."""
     code = lm_score.Code.of([4, 9, 2, 1, 30])

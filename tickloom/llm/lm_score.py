@@ -163,6 +163,24 @@ def _summed(parts: DataFrame, chunks: int) -> dict[int, np.ndarray]:
     return {r["chunk"]: np.frombuffer(r["counts"], np.float32) for r in rows}
 
 
+def _sent(table: np.ndarray) -> tuple[int, np.ndarray | None, np.ndarray]:
+    """A table of counts as it goes to the tasks: of one with few entries in use only these, and where they are.
+
+    Every host keeps a file of each table, which for a small corpus would be far larger than the corpus.
+    """
+    used = np.flatnonzero(table.any(axis=1))
+    return (len(table), None, table) if 3 * len(used) >= 2 * len(table) else (len(table), used.astype(np.uint32), table[used])
+
+
+def _received(sent: tuple[int, np.ndarray | None, np.ndarray]) -> np.ndarray:
+    n, used, counts = sent
+    if used is None:
+        return counts
+    table = np.zeros((n, 2), np.float32)
+    table[used] = counts
+    return table
+
+
 # -- counts -------------------------------------------------------------------------------------
 
 
@@ -278,12 +296,12 @@ def learn_mixer(vocabulary: DataFrame, table) -> Mixer:
     """Each partition adapts weights online over its tokens; the model takes their means, by how often each gate was used."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, step = Mixer(), 0
+        mixer, step, counts = Mixer(), 0, _received(table.value)
         for batch, tokens in runs(batches, 0):
             times, at = batch.column(1).to_numpy(), 0
             while at < len(tokens):
                 stop = at + FIRST_STEP + 5 * step
-                mixer.learn(table.value, tokens[at:stop], RATE / (1 + step / 100), step >= LATER, times[at:stop])
+                mixer.learn(counts, tokens[at:stop], RATE / (1 + step / 100), step >= LATER, times[at:stop])
                 at, step = stop, step + 1
         yield _part(0, np.concatenate([(mixer.weights * mixer.weights_seen[:, None]).ravel(), mixer.weights_seen, mixer.refined.ravel()]))
 
@@ -302,9 +320,9 @@ def spelled(vocabulary: DataFrame, table, mixer: Mixer) -> DataFrame:
     weights, refined = mixer.weights, mixer.refined
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Mixer(weights, refined)
+        model, counts = Mixer(weights, refined), _received(table.value)
         for batch, tokens in runs(batches, 0):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.log10_of(table.value, tokens))], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.log10_of(counts, tokens))], schema.names)
 
     return vocabulary.mapInArrow(run, schema)
 
@@ -524,9 +542,9 @@ def learn_tree(rows: DataFrame, tree, table) -> TreeMixer:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, code = tree.value[0], Code(**tree.value[1])
-        mixer, step = TreeMixer(), 0
+        mixer, step, counts = TreeMixer(), 0, _received(table.value)
         for d in _training(batches, leaf, code, lambda: min(RUN_TOKENS, FIRST_TOKENS + 20 * step)):
-            mixer.learn(table.value, d, TREE_RATE / (1 + step / 100))
+            mixer.learn(counts, d, TREE_RATE / (1 + step / 100))
             step += 1
         yield _part(0, np.concatenate([(mixer.weights * mixer.seen[:, None]).ravel(), mixer.seen]))
 
@@ -573,10 +591,10 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", held: Colum
     leaves = sorted((-r["n"], bytes(r["token"])) for r in vocabulary.where(coded).select("token", "n").collect())
     escapes = max(1, total + sum(n for n, _ in leaves))
     tree = spark.sparkContext.broadcast(({t: k for k, (_, t) in enumerate(leaves, 1)}, vars(Code.of([escapes, *[-n for n, _ in leaves]]))))
-    counts = spark.sparkContext.broadcast(count_decisions(rows, tree))
+    counts = spark.sparkContext.broadcast(_sent(count_decisions(rows, tree)))
     mixer = learn_tree(rows, tree, counts)
     weighed = vocabulary.withColumn("times", F.when(coded, F.lit(1)).otherwise(F.greatest(F.col("n"), F.lit(1))).cast("long"))
-    table = spark.sparkContext.broadcast(count_bits(weighed))
+    table = spark.sparkContext.broadcast(_sent(count_bits(weighed)))
     words = written(spelled(vocabulary, table, learn_mixer(weighed, table)), "spelled")
     words = written(words.withColumn("spelling", F.when(coded, 0.0).otherwise(escaped(words.where(~coded), escapes))), "words")
     base = F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1)))
@@ -623,7 +641,7 @@ def _parts(rows: DataFrame, known, tree, counts, mixer: TreeMixer) -> DataFrame:
         gc.disable()
         held, base, spelling = known.value
         leaf, code = tree.value[0], Code(**tree.value[1])
-        model, table = TreeMixer(weights), counts.value
+        model, table = TreeMixer(weights), _received(counts.value)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for kept, texts in text_rows(batch, ["key", "held_out"], "text", 1_000_000):
