@@ -6,22 +6,24 @@
    The shifted values of a shingle lie side by side in one table, so a signature is the minimum of
    table rows.
 3. Classes that agree on a band meet in a bucket. In two rounds, the first over a few bands, every
-   class is compared with one bucket leader, on the full sets. The links give components.
-4. Buckets that still hold several components are worked through in blocks: pairs of different
-   components whose signatures agree well enough are compared on the full sets as well. So no pair
-   that meets in a bucket is left open, and a large group of copies costs one comparison a member.
+   class is compared with one bucket leader: the signatures, and if these agree well enough the full
+   sets. The links give components.
+4. Buckets that still hold several components are worked through in blocks: first the signatures, then
+   the full sets of all classes that have a similar signature from another component in their block. So no
+   pair that meets in a bucket is left open, a large group of copies costs one comparison a member, and no
+   list of pairs is made.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,10 @@ FIRST_BANDS = 4
 AGREE = 97
 #: Members compared with one copy of a leader's text; rows of a block.
 MEMBERS, BLOCK = 256, 512
+#: Shingles of a block, about.
+BLOCK_SHINGLES = 1_000_000
+#: Bits of the map of keys whose texts are wanted: 2 MB.
+KEY_BITS = 1 << 24
 SLICE = 1_000_000
 U64 = np.uint64
 
@@ -154,19 +160,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    parts = sig.reshape(BANDS, ROWS).astype(U64)
-    key = np.arange(1, BANDS + 1, dtype=U64) << U64(40)
-    for k in range(ROWS):
-        key = _mix(key + parts[:, k] * U64(0x9E3779B97F4A7C15))
-    return key.view(np.int64)
+def buckets_of() -> Column:
+    """The bucket of each band of a signature."""
+    each = 2 * ROWS
+    return F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + each * k, each)) for k in range(BANDS)])
 
 
 def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``id``, ``n`` (set size), ``cls`` (digest of the set), ``sig``, ``bands``; empty sets have NULL in the last three."""
-    schema = T.StructType(
-        [T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    )
+    """``id``, ``n`` (set size), ``cls`` (digest of the set), ``sig``; empty sets have NULL in the last two."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
@@ -178,7 +180,6 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                     [
                         kept.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([None if s is None else s.astype(np.uint16).tobytes() for s in sigs], pa.binary()),
-                        pa.array([None if s is None else band_keys(s) for s in sigs], pa.list_(pa.int64())),
                     ],
                     schema.names,
                 )
@@ -186,6 +187,20 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def with_texts(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``wanted`` (with ``id``) with the texts of the documents of that key, as ``text``.
+
+    A bitmap of the hashed keys, of a fixed size, goes to the documents first, so that hardly any texts but those wanted are shuffled.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(KEY_BITS)) + 1
+    bits = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    texts = docs.select(F.col(key).cast("long").alias("id"), or_empty(text).alias("text")).withColumn("place", place)
+    byte = F.conv(F.hex(F.expr("substring(bits, int(bitmap_bit_position(place) div 8) + 1, 1)")), 16, 10).cast("int")
+    is_set = F.bit_get(byte, F.expr("int(bitmap_bit_position(place) % 8)")) == 1
+    found = texts.join(F.broadcast(written(bits, "bits")), (F.bitmap_bucket_number("place") == F.col("bucket")) & is_set)
+    return wanted.join(found.select(F.col("id").alias("__id"), "text"), F.col("id").eqNullSafe(F.col("__id"))).drop("__id")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """Those of the pairs (``a``, ``b``; class digests) whose full sets are alike enough.
 
@@ -196,11 +211,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, key: str, te
     runs = written(runs, "leaders")
     members = pairs.join(runs, "a").select("a", F.expr("pmod(xxhash64(b), runs)").cast("int").alias("run"), F.col("b").alias("cls"), F.lit(1).alias("role"))
     leaders = runs.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("a").alias("cls"), F.lit(0).alias("role"))
-    wanted = written(members.unionByName(leaders), "wanted")
-    ids = wanted.select("cls").distinct().join(classes.select("cls", "id"), "cls")
-    texts = docs.select(F.col(key).cast("long").alias("__id"), or_empty(text).alias("text"))
-    held = ids.join(texts, F.col("id").eqNullSafe(F.col("__id"))).select("cls", "text")
-    dealt = wanted.join(held, "cls").repartition("a", "run").sortWithinPartitions("a", "run", "role")
+    wanted = written(members.unionByName(leaders).join(classes.select("cls", "id"), "cls"), "wanted")
+    held = with_texts(wanted, docs, key, text).select("a", "run", "cls", "role", "text")
+    dealt = held.repartition("a", "run").sortWithinPartitions("a", "run", "role")
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,11 +287,17 @@ def _nearest(shared: DataFrame) -> DataFrame:
     return counted.groupBy("cls").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("cls").alias("b"))
 
 
-def _banded(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``band``, ``cls``, ``low``, ``root``: every class in each of its buckets, with its component so far."""
-    named = classes.select("cls", "low", "bands").join(roots, F.col("cls") == F.col("u"), "left")
-    named = written(named.select("cls", "low", "bands", F.coalesce("root", "cls").alias("root")), "named")
-    return named.select(F.explode("bands").alias("band"), "cls", "low", "root")
+def _shared(classes: DataFrame) -> DataFrame:
+    """``k``, ``band``, ``cls``, ``low``, ``n``: every class in each of its buckets that another class is in too."""
+    rows = classes.select(F.posexplode(buckets_of()).alias("k", "band"), "cls", "low", "n")
+    several = written(rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band"), "several")
+    return written(rows.join(several, "band", "left_semi").select("k", "band", "cls", "low", "n"), "shared")
+
+
+def _rooted(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band``, ``cls``, ``low``, ``n``, ``root``: the classes in their buckets, with their component so far."""
+    named = shared.join(roots, F.col("cls") == F.col("u"), "left")
+    return named.select("band", "cls", "low", "n", F.coalesce("root", "cls").alias("root"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -295,17 +314,21 @@ def _largest(rows: DataFrame) -> DataFrame:
     return written(found.select("band", "most"), "largest")
 
 
-def _dealt(stays: DataFrame, visits: DataFrame) -> DataFrame:
-    """Rows to compare (``of``, ``cls``, ``root``) in blocks of bounded size: ``stays`` are dealt out by
-    group ``of``, and every row of ``visits`` goes to all blocks of its group. Adds ``block`` and ``side``."""
-    blocks = written(stays.groupBy("of").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-    home = F.expr("pmod(xxhash64(cls), blocks)").cast("int")
-    stay = stays.join(blocks, "of").select("of", home.alias("block"), F.lit(0).alias("side"), "cls", "root", "sig")
-    visit = visits.join(blocks, "of").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return stay.unionByName(visit.select("of", "block", F.lit(1).alias("side"), "cls", "root", "sig"))
+def _dealt(places: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows to compare in blocks of bounded size: a place (``of``, ``cls``, ``n``, ``root``, ``stay``, ``visit``) that stays is
+    dealt to one block of its group ``of``, one that visits goes to all of them. Adds ``block``, ``side`` and ``sig``.
+
+    A class brings its signature once, to all of its places; it has at most two a band and one more.
+    """
+    blocks = written(places.where("stay").groupBy("of").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "blocks")
+    held = places.join(blocks, "of").groupBy("cls").agg(F.first("root").alias("root"), F.collect_list(F.struct("of", "blocks", "stay", "visit")).alias("places"))
+    rows = held.join(classes.select("cls", "sig"), "cls").select("cls", "root", "sig", F.inline("places"))
+    home = "if(stay, array(struct(int(pmod(xxhash64(cls), blocks)) AS block, 0 AS side)), array())"
+    away = "if(visit, transform(sequence(0, blocks - 1), b -> struct(b AS block, 1 AS side)), array())"
+    return rows.select("of", "cls", "root", "sig", F.expr(f"inline(concat({home}, {away}))"))
 
 
-def _to_compare(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _places(rows: DataFrame) -> DataFrame:
     """What is left open in buckets with several components.
 
     Members of a bucket outside its largest component meet one another in the bucket. They meet the
@@ -314,45 +337,50 @@ def _to_compare(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """
     largest = _largest(rows)
     others = rows.alias("r").join(largest.alias("m"), (F.col("r.band") == F.col("m.band")) & (F.col("r.root") != F.col("m.most")))
-    others = written(others.select(F.col("r.band").cast("string").cast("binary").alias("of"), "cls", "root", "most"), "others")
+    others = written(others.select(F.col("r.band").cast("string").cast("binary").alias("of"), "cls", "n", "root", "most"), "others")
     several = others.groupBy("of").count().where("count > 1").select("of")
-    inside = others.join(several, "of", "left_semi").select("of", "cls", "root")
-    callers = others.select(F.col("most").alias("of"), "cls", "root").distinct()
-    members = rows.select(F.col("root").alias("of"), "cls", "root").distinct().join(callers.select("of").distinct(), "of", "left_semi")
-    sigs = classes.select("cls", "sig")
-    inside, callers, members = (x.join(sigs, "cls") for x in (inside, callers, members))
-    return _dealt(inside, inside).unionByName(_dealt(members, callers))
+    inside = others.join(several, "of", "left_semi").select("of", "cls", "n", "root")
+    callers = others.select(F.col("most").alias("of"), "cls", "n", "root").distinct()
+    members = rows.select(F.col("root").alias("of"), "cls", "n", "root").distinct().join(callers.select("of").distinct(), "of", "left_semi")
+    sides = lambda df, stay, visit: df.withColumns({"stay": F.lit(stay), "visit": F.lit(visit)})
+    return sides(inside, True, True).unionByName(sides(members, True, False)).unionByName(sides(callers, False, True))
 
 
-def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket, lie in different components and have similar signatures."""
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-    dealt = _to_compare(rows, classes).repartition("of", "block").sortWithinPartitions("of", "block", "side")
+def _star_places(stars: DataFrame) -> DataFrame:
+    """Every ``b`` meets its leader ``a`` only."""
+    members = stars.select(F.col("a").alias("of"), F.col("b").alias("cls"), F.lit(1).cast("long").alias("n"), F.col("b").alias("root"), F.lit(True).alias("stay"), F.lit(False).alias("visit"))
+    leaders = stars.select(F.col("a").alias("of"), F.col("a").alias("cls"), F.lit(1).cast("long").alias("n"), F.col("a").alias("root"), F.lit(False).alias("stay"), F.lit(True).alias("visit"))
+    return members.unionByName(leaders.distinct())
+
 
-    def compare(stay: list[tuple], visit: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+def _agreeing(places: DataFrame, classes: DataFrame, columns: list[str], types: list[pa.DataType], give: Callable[[tuple, list, list, np.ndarray, np.ndarray], list[tuple]]) -> DataFrame:
+    """What ``give`` makes of each block: of its stays, some of its visits, and numbers of pairs of them (visit, stay) that lie
+    in different components and have similar signatures."""
+    dealt = _dealt(places, classes).repartition("of", "block").sortWithinPartitions("of", "block", "side")
+
+    def compare(at: tuple, stay: list[tuple], visit: list[tuple]) -> list[tuple]:
         if not stay or not visit:
-            return
+            return []
         sig = np.frombuffer(b"".join(s for _, s, _ in stay), np.uint16).reshape(len(stay), -1)
         roots = np.array([r for _, _, r in stay], object)
-        for cls, s, root in visit:
-            same = (sig == np.frombuffer(s, np.uint16)).sum(axis=1)
-            for k in np.flatnonzero((same >= AGREE) & (roots != root)).tolist():
-                yield min(cls, stay[k][0]), max(cls, stay[k][0])
+        pairs = [np.flatnonzero(((sig == np.frombuffer(s, np.uint16)).sum(axis=1) >= AGREE) & (roots != root)) for _, s, root in visit]
+        at_visit = np.repeat(np.arange(len(visit)), [len(p) for p in pairs])
+        return give(at, stay, visit, at_visit, np.concatenate(pairs)) if len(at_visit) else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, stay, visit = None, [], []
-        found: set[tuple[bytes, bytes]] = set()
+        found: set[tuple] = set()
 
         def out() -> pa.RecordBatch:
-            both = sorted(found)
+            held = list(zip(*sorted(found), strict=True)) or [[] for _ in columns]
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, types, strict=True)], columns)
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 of, block, side, cls, sig, root = row
                 if (of, block) != at:
-                    found.update(compare(stay, visit))
+                    found.update(compare(at, stay, visit))
                     at, stay, visit = (of, block), [], []
                     if len(found) > 10_000:
                         yield out()
@@ -361,14 +389,94 @@ def open_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
                 else:
                     visit.append((cls, sig, root))
                     if len(visit) >= BLOCK:  # visitors need not be held together
-                        found.update(compare(stay, visit))
+                        found.update(compare(at, stay, visit))
                         visit = []
-        found.update(compare(stay, visit))
+        found.update(compare(at, stay, visit))
         yield out()
 
+    schema = ", ".join(f"{c} {'int' if t == pa.int32() else t}" for c, t in zip(columns, types, strict=True))
     return dealt.select("of", "block", "side", "cls", "sig", "root").mapInArrow(run, schema).distinct()
 
 
+def agreeing_stars(stars: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (the leader ``a``, ``b``) that have similar signatures."""
+    return _agreeing(_star_places(stars), classes, ["a", "b"], [pa.binary(), pa.binary()], lambda at, stay, visit, v, s: [(visit[x][0], stay[y][0]) for x, y in zip(v.tolist(), s.tolist(), strict=True)])
+
+
+def meetings(places: DataFrame, classes: DataFrame) -> DataFrame:
+    """``of``, ``block``, ``side``, ``cls``, ``root``: who has a similar signature on the other side of a block.
+
+    Not the pairs: in a group of texts that are alike, but not enough, these grow with the square of its size.
+    """
+
+    def give(at: tuple, stay: list, visit: list, v: np.ndarray, s: np.ndarray) -> list[tuple]:
+        sides = ((0, stay, s), (1, visit, v))
+        return [(*at, side, held[k][0], held[k][2]) for side, held, which in sides for k in np.unique(which).tolist()]
+
+    return _agreeing(places, classes, ["of", "block", "side", "cls", "root"], [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], give)
+
+
+def common_counts(sets: list[np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """A function that counts how many shingles a set has in common with each of the sets."""
+    shingles = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+
+    def count(one: np.ndarray) -> np.ndarray:
+        first = np.searchsorted(shingles, one)
+        sizes = np.searchsorted(shingles, one, "right") - first
+        at = np.arange(sizes.sum()) + np.repeat(first - (sizes.cumsum() - sizes), sizes)
+        return np.bincount(owner[at], minlength=len(sets))
+
+    return count
+
+
+def links(met: DataFrame, docs: DataFrame, classes: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """Pairs of classes (``a``, ``b``) whose full sets are alike enough, as many as join what each block has in one component.
+
+    The text of one document of each class goes to the blocks where it has met others, and is compared with all of the other side.
+    """
+    wanted = written(met.join(classes.select("cls", "id"), "cls"), "wanted")
+    held = with_texts(wanted, docs, key, text).select("of", "block", "side", "cls", "root", "text")
+    dealt = held.repartition("of", "block").sortWithinPartitions("of", "block", "side")
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        at, stay, count, above = None, {}, None, {}
+
+        def top(root: bytes) -> bytes:
+            while (up := above.get(root, root)) != root:
+                above[root] = root = above.get(up, up)
+            return root
+
+        for batch in batches:
+            for kept, batch_texts in text_rows(batch, ["of", "block", "side", "cls", "root"], "text", SLICE):
+                found_a, found_b = [], []
+                for of, block, side, cls, root, s in zip(*[c.to_pylist() for c in kept.columns], shingle_sets(batch_texts, words), strict=True):
+                    if digest(s) != cls:
+                        continue  # another row under the same key
+                    if (of, block) != at:
+                        at, stay, count, above = (of, block), {}, None, {}
+                    if side == 0:
+                        stay[cls] = (s, root)
+                    elif stay:
+                        if count is None:
+                            count = common_counts([x for x, _ in stay.values()])
+                            names, roots, sizes = list(stay), [r for _, r in stay.values()], np.array([len(x) for x, _ in stay.values()])
+                        common = count(s)
+                        for k in np.flatnonzero(100 * common >= percent * (len(s) + sizes - common)).tolist():
+                            x, y = top(root), top(roots[k])
+                            if x != y:
+                                above[x] = y
+                                found_a.append(min(cls, names[k]))
+                                found_b.append(max(cls, names[k]))
+                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.binary()), pa.array(found_b, pa.binary())], schema.names)
+
+    return dealt.mapInArrow(run, schema).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: ``key``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -382,30 +490,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     sketch = written(sketches(docs, key, text, words), "sketches")
     low = F.coalesce(F.col("id"), F.lit(-(2**63)))
     classes = written(
-        sketch.where("n > 0").groupBy("cls").agg(F.min(low).alias("low"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumn("id", F.expr("nullif(low, -9223372036854775808L)")),
+        sketch.where("n > 0").groupBy("cls").agg(F.min(low).alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig")).withColumn("id", F.expr("nullif(low, -9223372036854775808L)")),
         "classes",
     )
+    shared = _shared(classes)
     # A first round over a few bands: every class with the bucket leader it shares most of them with.
-    rows = classes.select(F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("band"), "cls", "low")
-    buckets = rows.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("low", "cls"))["cls"].alias("a")).where("n > 1")
-    shared = rows.select("band", "cls").join(written(buckets.select("band", "a"), "buckets"), "band")
-    first = written(_nearest(shared.where("a != cls")), "stars")
-    roots = components(verified(first, docs, classes, key, text, words, percent))
+    rows = shared.where(F.col("k") < FIRST_BANDS)
+    buckets = written(rows.groupBy("band").agg(F.min(F.struct("low", "cls"))["cls"].alias("a")), "buckets")
+    first = written(_nearest(rows.select("band", "cls").join(buckets, "band").where("a != cls")), "stars")
+    alike_first = written(agreeing_stars(first, classes), "alike")
+    roots = components(verified(alike_first, docs, classes, key, text, words, percent))
     # Then over all bands, for buckets whose members are not in one component yet: the classes that
     # are not in their leader's component, again with the leader they share most buckets with.
-    rows = _banded(classes, roots)
+    rows = _rooted(shared, roots)
     mixed = written(_mixed(rows), "mixed")
     if not mixed.isEmpty():
         apart = rows.alias("r").join(mixed.alias("m"), (F.col("r.band") == F.col("m.band")) & (F.col("r.root") != F.col("m.a_root"))).select("a", "cls")
         second = written(_nearest(apart).join(first, ["a", "b"], "left_anti"), "stars")
         if not second.isEmpty():
-            roots = _contracted(roots, written(verified(second, docs, classes, key, text, words, percent), "links"))
-            rows = _banded(classes, roots)
+            alike_second = written(agreeing_stars(second, classes), "alike")
+            roots = _contracted(roots, written(verified(alike_second, docs, classes, key, text, words, percent), "links"))
+            rows = _rooted(shared, roots)
         # What is left is compared in blocks.
-        tried = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = written(open_pairs(rows, classes).join(tried, ["a", "b"], "left_anti"), "open")
+        more = written(meetings(_places(rows), classes), "open")
         if not more.isEmpty():
-            roots = _contracted(roots, written(verified(more, docs, classes, key, text, words, percent), "links"))
+            roots = _contracted(roots, written(links(more, docs, classes, key, text, words, percent), "links"))
     grouped = classes.select("cls", "low").join(roots, F.col("cls") == F.col("u"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     grouped = written(grouped, "grouped")
     lowest = written(grouped.groupBy("root").agg(F.min("low").alias("component_low")), "lowest")
