@@ -116,6 +116,17 @@ def test_packing_of_odd_rows(odd, words):
     assert packing.digest(odd.limit(0)).count() == 0
 
 
+def test_ids_are_written_and_dealt_in_16_bits_if_they_fit(odd, words, monkeypatch):
+    kept, plain = [], packing.written
+    monkeypatch.setattr(packing, "written", lambda df, what: kept.append(plain(df, what)) or kept[-1])
+    narrow = packing.pack(odd).agg({"length": "sum"}).first()[0]
+    assert sum(len(r["ids"]) for r in kept[0].collect()) == 2 * narrow
+    wide = packing.pack(odd, end_id=70_000)  # beyond 16 bits
+    assert wide.agg({"length": "sum"}).first()[0] == narrow and sum(len(r["ids"]) for r in kept[1].collect()) == 4 * narrow
+    ends = [np.frombuffer(r["ids"], "<u4")[-1] for r in wide.collect() if r["start"] + r["length"] == r["doc_tokens"]]
+    assert len(ends) == odd.count() and set(ends) == {70_000}
+
+
 def test_neighbours_are_the_best_by_bm25():
     rng = np.random.default_rng(5)
     docs = [rng.integers(0, 90, rng.integers(5, packing.QUERY_TERMS)).astype("<u4") for _ in range(60)]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_rows, written
-from .tokens import DEFAULT_VOCABULARY, word_bpe
+from .tokens import DEFAULT_VOCABULARY, id_bound, word_bpe
 
 WINDOW = 2048
 #: A shard is closed at this many documents or ids, whichever comes first.
@@ -142,8 +142,13 @@ def plan(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
     return [tuple(p) for p in pieces]
 
 
-def as_ids(docs: DataFrame, key: str, text: str, end_id: int, vocabulary: str, cache_share: float) -> DataFrame:
-    """``key``, ``ids`` (unsigned 32-bit, little-endian, closed by the end id), ``row`` (a number of its own)."""
+def id_type(vocabulary: str, end_id: int) -> str:
+    """16 bits for the ids that are written and dealt if the vocabulary and the end id allow, else 32."""
+    return "<u2" if max(id_bound(vocabulary), end_id + 1) <= 1 << 16 else "<u4"
+
+
+def as_ids(docs: DataFrame, key: str, text: str, end_id: int, vocabulary: str, cache_share: float, narrow: str) -> DataFrame:
+    """``key``, ``ids`` (unsigned, little-endian, of type ``narrow``; closed by the end id), ``row`` (a number of its own)."""
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,21 +157,21 @@ def as_ids(docs: DataFrame, key: str, text: str, end_id: int, vocabulary: str, c
         row = TaskContext.get().partitionId() * PER_PARTITION
         for batch in batches:
             for rows, texts in text_rows(batch, ["key"], "__text", 1_000_000):
-                ids = pa.array([bpe.encode(t) + end for t in texts], pa.binary())
+                ids = pa.array([np.frombuffer(bpe.encode(t) + end, "<u4").astype(narrow).tobytes() for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column(0), ids, pa.array(range(row, row + len(texts)), pa.int64())], schema.names)
                 row += len(texts)
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def corpus_of(rows: DataFrame) -> tuple[Corpus, int]:
+def corpus_of(rows: DataFrame, narrow: str) -> tuple[Corpus, int]:
     """The corpus of all documents, and how many ids it has. Its size is the vocabulary's."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                term = np.unique(np.frombuffer(raw.as_py(), "<u4"))
+                term = np.unique(np.frombuffer(raw.as_py(), narrow))
                 if term[-1] >= len(df):
                     df = np.concatenate([df, np.zeros(int(term[-1]) + 1 - len(df), np.int64)])
                 df[term] += 1
@@ -177,16 +182,17 @@ def corpus_of(rows: DataFrame) -> tuple[Corpus, int]:
     counts = rows.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(max([0, *counts["term"].to_pylist()]) + 1, np.int64)
     df[counts["term"].to_numpy()] = counts["df"].to_numpy()
-    return Corpus(n, total / 4 / max(1, n), df), total // 4
+    total //= np.dtype(narrow).itemsize
+    return Corpus(n, total / max(1, n), df), total
 
 
-def in_order(rows: DataFrame, corpus, shards: int) -> DataFrame:
+def in_order(rows: DataFrame, corpus, shards: int, narrow: str) -> DataFrame:
     """The rows in ranges of their places. Equal places are parted by the row's number, so none is too large for a range."""
     schema = T.StructType([*rows.schema, T.StructField("place", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = [corpus.value.place(np.frombuffer(raw.as_py(), "<u4")) for raw in batch.column(1)]
+            places = [corpus.value.place(np.frombuffer(raw.as_py(), narrow)) for raw in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.binary())], schema.names)
 
     return rows.mapInArrow(run, schema).repartitionByRange(shards, "place", "row").sortWithinPartitions("place", "row")
@@ -203,8 +209,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int =
     schema = T.StructType(
         [docs.schema[key]] + [T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))]
     )
-    rows = written(as_ids(docs, key, text, end_id, vocabulary, cache_share), "ids")
-    found, total = corpus_of(rows)
+    narrow = id_type(vocabulary, end_id)
+    rows = written(as_ids(docs, key, text, end_id, vocabulary, cache_share, narrow), "ids")
+    found, total = corpus_of(rows, narrow)
     corpus = docs.sparkSession.sparkContext.broadcast(found)
     shards = max(1, -(-found.n // SHARD_DOCS), -(-total // SHARD_IDS))
 
@@ -222,7 +229,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int =
             pieces = np.array(plan(ids, window, corpus.value), np.int64)
             for a in range(0, len(pieces), 2000):
                 doc, start, length, sequence, offset = pieces[a : a + 2000].T
-                raw = [ids[d][s : s + n].tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+                raw = [ids[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
                 sizes = np.array([len(ids[d]) for d in doc.tolist()], np.int64)
                 columns = [keys.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(raw, pa.binary()), pa.array(sizes), pa.array(sequence + first), pa.array(offset)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
@@ -231,7 +238,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int =
         for batch in batches:
             at = 0
             for k, raw in enumerate(batch.column(1)):
-                ids.append(np.frombuffer(raw.as_py(), "<u4"))
+                ids.append(np.frombuffer(raw.as_py(), narrow))
                 size += len(ids[-1])
                 if len(ids) == SHARD_DOCS or size >= SHARD_IDS:
                     kept.append(batch.select([0]).slice(at, k + 1 - at))
@@ -243,7 +250,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int =
         if ids:
             yield from close()
 
-    return in_order(rows, corpus, shards).select("key", "ids").mapInArrow(run, schema)
+    return in_order(rows, corpus, shards, narrow).select("key", "ids").mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, cache_share: float = 1.0) -> DataFrame:

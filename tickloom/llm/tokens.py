@@ -88,3 +88,7 @@ def word_bpe(path: str, cache_share: float = 1.0) -> WordBpe:
     return WordBpe(path, cache_share)
 
 
+@lru_cache(maxsize=2)
+def id_bound(path: str) -> int:
+    """All ids of the vocabulary are below it."""
+    return 1 + max(Tokenizer.from_file(path).get_vocab().values())
