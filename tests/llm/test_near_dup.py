@@ -1,8 +1,10 @@
 """Components of near copies against all pairs compared on their full sets."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import near_dup
 
@@ -144,3 +146,38 @@ def test_one_of_each_keeps_whole_rows(odd):
     assert out.columns == odd.columns
     keys = [r["doc_id"] for r in out.collect()]
     assert keys.count(7) == 0 and keys.count(6) == 1 and keys.count(None) == 1 and {1, 2, 3, 4, 5, 9, 10} <= set(keys)
+
+
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch):
+    """Single rows that stay pass by the bitmaps; only repeated keys and colliding hashes are looked up. With a few bits all rows are."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(12))
+    rows = [(k, words(k), "a") for k in range(400)] + [(k + 1000, words(k), "copy") for k in range(100)] + [(None, words(999), "null")]
+    rows += [(7, words(7), "a"), (8, words(8000), "other text"), (1001, words(1), "copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(4)
+    want = sorted([r for r in rows if r[2] != "copy"][:-2] + [rows[-2]], key=str)
+    looked_up, semi = [], near_dup.among
+
+    def seen(found, bits, column, how="left_semi"):
+        out = semi(found, bits, column, how)
+        if "more" in found.columns and how == "left_semi":
+            looked_up.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "among", seen)
+    assert sorted([tuple(r) for r in near_dup.one_of_each(docs).collect()], key=str) == want
+    assert looked_up[0] <= 406 and looked_up[1] <= 8
+    monkeypatch.setattr(near_dup, "KEY_BITS", 8)
+    assert sorted([tuple(r) for r in near_dup.one_of_each(docs).collect()], key=str) == want
+    assert looked_up[-1] > 300
+
+
+def test_buckets_of_one_class_are_dropped_before_the_shuffle(spark, monkeypatch):
+    classes = near_dup.sketches(spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k // 2}") for k in range(200)], "doc_id long, text string"), "doc_id", "text", 1)
+    classes = classes.withColumn("low", F.col("id")).cache()
+    passed, semi = [], near_dup.among
+    monkeypatch.setattr(near_dup, "among", lambda *a: passed.append(semi(*a).count()) or semi(*a))
+    shared = near_dup._shared(classes).collect()
+    rows = [(r["cls"], b) for r in classes.withColumn("bands", near_dup.buckets_of()).collect() for b in r["bands"]]
+    often = Counter(b for _, b in rows)
+    assert sorted((r["cls"], r["band"]) for r in shared) == sorted(x for x in rows if often[x[1]] > 1)
+    assert len(shared) <= passed[0] < len(rows) / 10

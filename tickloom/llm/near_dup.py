@@ -187,17 +187,31 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def _place(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(KEY_BITS)) + 1
+
+
+def key_bits(keys: DataFrame, column: str) -> DataFrame:
+    """A bitmap of the hashed keys, of a fixed size: ``bucket``, ``bits``."""
+    held = keys.select(_place(column).alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+    return written(held.agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")), "bits")
+
+
+def among(rows: DataFrame, bits: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key may be one of those of the bitmap (``left_anti``: the rows whose key is none of them), without a shuffle."""
+    place = _place(column)
+    byte = F.conv(F.hex(F.substring("bits", (F.bitmap_bit_position(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.bit_get(byte, (F.bitmap_bit_position(place) % 8).cast("int")) == 1
+    return rows.join(F.broadcast(bits), (F.bitmap_bucket_number(place) == F.col("bucket")) & is_set, how)
+
+
 def with_texts(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The rows of ``wanted`` (with ``id``) with the texts of the documents of that key, as ``text``.
 
-    A bitmap of the hashed keys, of a fixed size, goes to the documents first, so that hardly any texts but those wanted are shuffled.
+    A bitmap of the keys goes to the documents first, so that hardly any texts but those wanted are shuffled.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(KEY_BITS)) + 1
-    bits = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    texts = docs.select(F.col(key).cast("long").alias("id"), or_empty(text).alias("text")).withColumn("place", place)
-    byte = F.conv(F.hex(F.expr("substring(bits, int(bitmap_bit_position(place) div 8) + 1, 1)")), 16, 10).cast("int")
-    is_set = F.bit_get(byte, F.expr("int(bitmap_bit_position(place) % 8)")) == 1
-    found = texts.join(F.broadcast(written(bits, "bits")), (F.bitmap_bucket_number("place") == F.col("bucket")) & is_set)
+    texts = docs.select(F.col(key).cast("long").alias("id"), or_empty(text).alias("text"))
+    found = among(texts, key_bits(wanted, "id"), "id")
     return wanted.join(found.select(F.col("id").alias("__id"), "text"), F.col("id").eqNullSafe(F.col("__id"))).drop("__id")
 
 
@@ -291,6 +305,7 @@ def _shared(classes: DataFrame) -> DataFrame:
     """``k``, ``band``, ``cls``, ``low``, ``n``: every class in each of its buckets that another class is in too."""
     rows = classes.select(F.posexplode(buckets_of()).alias("k", "band"), "cls", "low", "n")
     several = written(rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band"), "several")
+    rows = among(rows, key_bits(several, "band"), "band")  # hardly any others are shuffled
     return written(rows.join(several, "band", "left_semi").select("k", "band", "cls", "low", "n"), "shared")
 
 
@@ -526,11 +541,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of the smallest key of each component, with all columns; of rows with equal key and text one stays."""
-    kept = near_duplicates(docs, key, text, words, percent).where("kept").select(F.col(key).alias("__kept")).distinct()
-    kept = written(kept, "kept")
-    out = docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
-    again = written(docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("__again")), "repeated-keys")
-    lone = out.join(again, F.col(key).eqNullSafe(F.col("__again")), "left_anti")
-    several = out.join(again, F.col(key).eqNullSafe(F.col("__again")), "left_semi").dropDuplicates([key, text])
-    return lone.unionByName(several)
+    """The rows of the smallest key of each component, with all columns; of rows with equal key and text one stays.
+
+    Two bitmaps go to the documents: of the keys that stay, and of those that go or are repeated. Rows that are in one of them
+    alone need not be looked up, so hardly any texts are shuffled.
+    """
+    judged = near_duplicates(docs, key, text, words, percent).groupBy(F.col(key).alias("__key")).agg(F.bool_or("kept").alias("stays"), F.count("*").alias("rows"))
+    judged = written(judged, "judged")
+    stays = judged.where("stays").select("__key")
+    look_up = key_bits(judged.where("NOT stays OR rows > 1"), "__key")
+    named = among(docs.withColumn("__key", F.col(key).cast("long")), key_bits(stays, "__key"), "__key")
+    plain = among(named, look_up, "__key", "left_anti").drop("__key")
+    rest = among(named, look_up, "__key").withColumnRenamed("__key", "__own")
+    rest = rest.join(stays, F.col("__own").eqNullSafe(F.col("__key")), "left_semi").drop("__own")
+    return plain.unionByName(rest.dropDuplicates([key, text]))
