@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tickloom.llm import bpe, flat_ids, packing
+from tickloom.llm import bpe, flat_ids, packing, tokens
 from tickloom.llm.tokens import DEFAULT_VOCABULARY, WordBpe
 
 
@@ -56,6 +56,44 @@ def test_word_bpe_equals_library(words, text):
     assert WORDS.encode(text) == as_bytes(words.encode(text, add_special_tokens=False).ids)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(HARD, max_size=6))
+def test_texts_encoded_together_equal_library(words, texts):
+    ids, ends = WORDS.encode_all(texts)
+    found = [words.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [k for f in found for k in f] and np.diff(ends, prepend=0).tolist() == [len(f) for f in found]
+
+
+def test_a_full_cache_of_words_is_emptied():
+    small = tokens.WordBpe(tokens.DEFAULT_VOCABULARY, cache_share=1e-5)
+    texts = [" ".join(f"Word{k % 50}x{j}, word{j}." for j in range(30)) for k in range(60)]
+    assert [small.encode(t) for t in texts] == [WORDS.encode(t) for t in texts]
+    assert len(small.chunks) < 20
+
+
+def test_lookups_in_rows_and_postings_are_the_same(monkeypatch):
+    """Scores over rows of common terms, postings and what is left of them equal sums over all postings."""
+    rng = np.random.default_rng(4)
+    docs = [(rng.zipf(1.3, rng.integers(1, 200)) % 500).astype("<u2") for _ in range(300)]
+    plain, unused = packing.Index(docs), np.ones(300, bool)
+    weight = np.zeros((500, 300))
+    for t in range(500):
+        at = slice(*plain.posting_at[t : t + 2]) if t + 1 < len(plain.posting_at) else slice(0)
+        weight[t, plain.posting_doc[at]] = plain.posting_weight[at]
+    dropping = packing.Index(docs)
+    monkeypatch.setattr(packing, "DENSE_BYTES", 0)
+    sparse = packing.Index(docs)
+    assert len(plain.rows) and not len(sparse.rows)
+    for seed in rng.permutation(300).tolist():
+        unused[seed] = False
+        terms, _ = np.unique(docs[seed], return_counts=True)
+        scores = np.add.accumulate(weight[terms[weight[terms, seed] > 0]], axis=0)[-1] if (weight[terms, seed] > 0).any() else np.zeros(300)
+        found = np.flatnonzero((scores > 0) & unused)
+        want = found[np.argsort(-scores[found], kind="stable")].tolist()
+        assert dropping.neighbours(seed, unused).tolist() == sparse.neighbours(seed, unused).tolist() == want
+    assert dropping.n < 10
+
+
 def test_round_trip_of_odd_rows(odd, library):
     rows = bpe.round_trip(odd).collect()
     assert len(rows) == odd.count()

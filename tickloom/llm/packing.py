@@ -29,11 +29,22 @@ SHARD_DOCS = 2048
 SHARD_IDS = 4_000_000
 #: A document is dealt to a shard by its terms of largest BM25 weight, the commonest of them first.
 QUERY_TERMS = 16
+#: Terms that more than one in so many documents of a shard have are held as rows of weights, up to so many bytes.
+DENSE, DENSE_BYTES = 16, 24 << 20
 K1, B = 1.2, 0.75
 #: Sequence ids are the partition's number times this, plus a counter.
 PER_PARTITION = 1 << 36
 
 
+def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and how often each is there (a stable sort of 16 bits is a radix sort)."""
+    ids = np.sort(ids, kind="stable")
+    first = np.ones(len(ids) + 1, bool)
+    np.not_equal(ids[1:], ids[:-1], out=first[1:-1])
+    at = np.flatnonzero(first)
+    return ids[at[:-1]], np.diff(at)
+
+
 class Corpus:
     """How many documents there are, their mean length, and how many have each term."""
 
@@ -52,7 +63,7 @@ class Corpus:
 
     def place(self, ids: np.ndarray) -> bytes:
         """Where a document stands in the order of all: the ranks of its heaviest terms, the commonest first."""
-        term, tf = np.unique(ids, return_counts=True)
+        term, tf = term_counts(ids)
         weight = self.weights(term, tf, float(len(ids)))
         best = np.argsort(-weight, kind="stable")[:QUERY_TERMS]
         return np.sort(self.rank[term[best[weight[best] > 0]]]).tobytes()
@@ -63,7 +74,7 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         n = len(docs)
-        uniques = [np.unique(d, return_counts=True) for d in docs]
+        uniques = [term_counts(d) for d in docs]
         sizes = np.array([len(u) for u, _ in uniques], np.int64)
         term = np.concatenate([u for u, _ in uniques])
         tf = np.concatenate([c for _, c in uniques]).astype(np.float64)
@@ -71,11 +82,20 @@ class Index:
         length = np.array([len(d) for d in docs], np.float64)
         df = np.bincount(term)
         weight = (corpus or Corpus.of(docs)).weights(term, tf, length[doc])
-        self.n, self.starts = n, np.concatenate([[0], sizes.cumsum()])
+        self.n, self.docs, self.starts = n, np.arange(n), np.concatenate([[0], sizes.cumsum()])
         self.term, self.weight = term, weight
         order = np.argsort(term, kind="stable")
         self.posting_doc, self.posting_weight = doc[order], weight[order]
         self.posting_at = np.concatenate([[0], df.cumsum()])
+        # The commonest terms are rows of weights over all documents, which are added up faster than postings.
+        common = np.argsort(-df, kind="stable")[: DENSE_BYTES // (8 * max(1, n))]
+        common = common[df[common] * DENSE > n]
+        self.row_of = np.full(len(df), -1)
+        self.row_of[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n))
+        for k, t in enumerate(common.tolist()):
+            at = slice(self.posting_at[t], self.posting_at[t + 1])
+            self.rows[k, self.posting_doc[at]] = self.posting_weight[at]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first; ties by place."""
@@ -83,10 +103,25 @@ class Index:
         terms = self.term[a:b][self.weight[a:b] > 0]
         if not len(terms):
             return np.empty(0, np.int64)
-        spans = [slice(self.posting_at[t], self.posting_at[t + 1]) for t in terms.tolist()]
-        scores = np.bincount(np.concatenate([self.posting_doc[s] for s in spans]), np.concatenate([self.posting_weight[s] for s in spans]), self.n)
-        found = np.flatnonzero((scores > 0) & unused)
-        return found[np.argsort(-scores[found], kind="stable")]
+        if 2 * np.count_nonzero(unused) < self.n:
+            self._drop(unused)
+        scores = np.zeros(self.n)
+        for row, start, stop in zip(self.row_of[terms].tolist(), self.posting_at[terms].tolist(), self.posting_at[terms + np.int64(1)].tolist(), strict=True):
+            if row >= 0:
+                scores += self.rows[row]
+            else:
+                scores[self.posting_doc[start:stop]] += self.posting_weight[start:stop]
+        found = np.flatnonzero((scores > 0) & unused[self.docs])
+        return self.docs[found[np.argsort(-scores[found], kind="stable")]]
+
+    def _drop(self, unused: np.ndarray) -> None:
+        """Used documents go from the postings and rows; ``docs`` are those that are left."""
+        left = unused[self.docs]
+        held = left[self.posting_doc]
+        self.posting_at = np.concatenate([[0], held.cumsum()])[self.posting_at]
+        self.posting_doc, self.posting_weight = (left.cumsum() - 1)[self.posting_doc[held]], self.posting_weight[held]
+        self.rows, self.docs = self.rows.take(np.flatnonzero(left), axis=1), self.docs[left]
+        self.n = len(self.docs)
 
 
 def plan(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -152,12 +187,15 @@ def as_ids(docs: DataFrame, key: str, text: str, end_id: int, vocabulary: str, c
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end = word_bpe(vocabulary, cache_share), np.array([end_id], "<u4").tobytes()
+        bpe, width = word_bpe(vocabulary, cache_share), np.dtype(narrow).itemsize
         gc.disable()
         row = TaskContext.get().partitionId() * PER_PARTITION
         for batch in batches:
-            for rows, texts in text_rows(batch, ["key"], "__text", 1_000_000):
-                ids = pa.array([np.frombuffer(bpe.encode(t) + end, "<u4").astype(narrow).tobytes() for t in texts], pa.binary())
+            for rows, texts in text_rows(batch, ["key"], "__text"):
+                found, ends = bpe.encode_all(texts)
+                closed = np.insert(found.astype(narrow), ends, end_id)
+                offsets = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1)) * width]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(closed)])
                 yield pa.RecordBatch.from_arrays([rows.column(0), ids, pa.array(range(row, row + len(texts)), pa.int64())], schema.names)
                 row += len(texts)
 
@@ -171,7 +209,7 @@ def corpus_of(rows: DataFrame, narrow: str) -> tuple[Corpus, int]:
         df = np.zeros(1, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                term = np.unique(np.frombuffer(raw.as_py(), narrow))
+                term, _ = term_counts(np.frombuffer(raw.as_py(), narrow))
                 if term[-1] >= len(df):
                     df = np.concatenate([df, np.zeros(int(term[-1]) + 1 - len(df), np.int64)])
                 df[term] += 1
@@ -253,5 +291,5 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int =
     return in_order(rows, corpus, shards, narrow).select("key", "ids").mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, cache_share: float = 1.0) -> DataFrame:
+def digest(docs: DataFrame, cache_share: float = 1.8) -> DataFrame:
     return pack(docs, cache_share=cache_share).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -1,27 +1,34 @@
 """Token ids of the lower-casing word vocabulary, by the tokenizers library.
 
 White space never is part of a token there, so a text is the sequence of its chunks between ASCII
-white space, and each distinct chunk is encoded once per worker. Chunks of common Latin letters go
-to the library's BPE model piece by piece; any other chunk goes through the whole library call.
+white space, and each distinct chunk is encoded once per worker while its cache has room. Chunks of common Latin letters go
+to the library's BPE model piece by piece; any other chunk goes through the whole library call. A text of
+such chunks alone is lower-cased first, so that a word has one chunk in either case.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Bytes that a worker holds of known chunks and pieces, each counted with what Python adds to it.
-CHUNK_BYTES, PIECE_BYTES, ENTRY_BYTES = 104 << 20, 56 << 20, 180
+CHUNK_BYTES, PIECE_BYTES, ENTRY_BYTES = 144 << 20, 16 << 20, 180
 #: Marks that the pattern cuts off after a run of letters.
 MARKS = frozenset(".,;:!?")
+MARK_BYTES = frozenset(m.encode() for m in MARKS)
 #: Characters that the vocabulary's normalizer only lower-cases, one by one.
 SIMPLE = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]+")
+SIMPLE_TEXT = re.compile("[\t-\r \x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]*")
 #: The pattern of the vocabulary file (a fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -33,6 +40,17 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(other)}
 
 
+class _Known(dict):
+    """Ids of known chunks; an unknown one is handed to ``learn``."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        return self.learn(chunk)
+
+
 class WordBpe:
     """``cache_share`` scales the bytes that are held of known chunks and pieces."""
 
@@ -41,24 +59,48 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.letters = _byte_letters()
-        self.chunks: dict[bytes, bytes] = {}
+        self.chunks = _Known(self._learn)
         self.pieces: dict[str, bytes] = {}
         self.chunk_bytes = self.piece_bytes = 0
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        chunks = text.encode().split()
-        known = self.chunks
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if self.chunk_bytes > self.most_chunk_bytes:
-                known.clear()
-                self.chunk_bytes = 0
-            for c in set(chunks).difference(known):
-                ids = known[c] = self._chunk(c.decode())
-                self.chunk_bytes += len(c) + len(ids) + ENTRY_BYTES
-            return b"".join(map(known.__getitem__, chunks))
+        if SIMPLE_TEXT.fullmatch(text):
+            text = text.lower()
+        return b"".join(map(self.chunks.__getitem__, text.encode().split()))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The unsigned 32-bit ids of the texts in a row, and where those of each text end. Each distinct chunk is looked up once."""
+        texts = [t.lower() if SIMPLE_TEXT.fullmatch(t) else t for t in texts]
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        chunks = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = [self.chunks[c] if c else b"" for c in chunks]  # white space at either end of a text gives an empty chunk
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), sizes.cumsum() - sizes
+        which = coded.indices.to_numpy()
+        size = sizes[which]
+        end = size.cumsum()
+        at = np.repeat(starts[which] - (end - size), size)
+        at += np.arange(len(at))
+        return flat[at], np.concatenate([[0], end])[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
+
+    def _learn(self, chunk: bytes) -> bytes:
+        if chunk.isalpha() and chunk.islower():  # ASCII letters: a piece by themselves
+            ids = self._tokenized(chunk.decode())
+        elif chunk[-1:] in MARK_BYTES and chunk[:-1].isalpha():
+            ids = self.chunks[chunk[:-1].lower()] + self._piece(chunk[-1:].decode())
+        else:
+            ids = self._chunk(chunk.decode())
+        if self.chunk_bytes > self.most_chunk_bytes:
+            self.chunks.clear()
+            self.chunk_bytes = 0
+        self.chunks[chunk] = ids
+        self.chunk_bytes += len(chunk) + len(ids) + ENTRY_BYTES
+        return ids
+
+    def _tokenized(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if SIMPLE.fullmatch(chunk):
@@ -78,7 +120,7 @@ class WordBpe:
                 self.pieces.clear()
                 self.piece_bytes = 0
             mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            known = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            known = self.pieces[piece] = self._tokenized(mapped)
             self.piece_bytes += len(piece) + len(known) + ENTRY_BYTES
         return known
 
