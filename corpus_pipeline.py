@@ -40,7 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(docs, cache_share=0.55)  # workers of the earlier stages are still there
+    return packing.digest(docs, cache_share=0.3)  # workers of the earlier stages are still there
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", site_lines), ("near_duplicates", near_copies), ("packing", packed)]

@@ -31,6 +31,8 @@ SHARD_IDS = 4_000_000
 QUERY_TERMS = 16
 #: Terms that more than one in so many documents of a shard have are held as rows of weights, up to so many bytes.
 DENSE, DENSE_BYTES = 16, 24 << 20
+#: Characters that are encoded together, scaled as the memory for known words is.
+BATCH_CHARS = 2_400_000
 K1, B = 1.2, 0.75
 #: Sequence ids are the partition's number times this, plus a counter.
 PER_PARTITION = 1 << 36
@@ -103,7 +105,7 @@ class Index:
         terms = self.term[a:b][self.weight[a:b] > 0]
         if not len(terms):
             return np.empty(0, np.int64)
-        if 2 * np.count_nonzero(unused) < self.n:
+        if 3 * np.count_nonzero(unused) < 2 * self.n:
             self._drop(unused)
         scores = np.zeros(self.n)
         for row, start, stop in zip(self.row_of[terms].tolist(), self.posting_at[terms].tolist(), self.posting_at[terms + np.int64(1)].tolist(), strict=True):
@@ -191,7 +193,7 @@ def as_ids(docs: DataFrame, key: str, text: str, end_id: int, vocabulary: str, c
         gc.disable()
         row = TaskContext.get().partitionId() * PER_PARTITION
         for batch in batches:
-            for rows, texts in text_rows(batch, ["key"], "__text"):
+            for rows, texts in text_rows(batch, ["key"], "__text", int(BATCH_CHARS * cache_share)):
                 found, ends = bpe.encode_all(texts)
                 closed = np.insert(found.astype(narrow), ends, end_id)
                 offsets = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1)) * width]).astype(np.int32)
@@ -206,13 +208,15 @@ def corpus_of(rows: DataFrame, narrow: str) -> tuple[Corpus, int]:
     """The corpus of all documents, and how many ids it has. Its size is the vocabulary's."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(1, np.int64)
+        df, last = np.zeros(1, np.int64), np.zeros(1, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                term, _ = term_counts(np.frombuffer(raw.as_py(), narrow))
-                if term[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(term[-1]) + 1 - len(df), np.int64)])
-                df[term] += 1
+                ids = np.frombuffer(raw.as_py(), narrow)
+                if (most := int(ids.max())) >= len(df):
+                    df, last = (np.concatenate([x, np.zeros(most + 1 - len(x), np.int64)]) for x in (df, last))
+                place = np.arange(len(ids))
+                last[ids] = place
+                df[ids[last[ids] == place]] += 1  # each term at its last place
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(df[term], pa.int64())], ["term", "df"])
 
@@ -242,7 +246,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int =
 
     Every row is a document: its ids, then the end id; NULL and empty texts are the end id alone.
     Sequences are full windows but for the powers of two at the end of a shard. An empty table
-    gives no rows. Repeated rows are documents of their own. ``cache_share`` scales the memory for known words.
+    gives no rows. Repeated rows are documents of their own. ``cache_share`` scales the memory for known words and what is encoded together.
     """
     schema = T.StructType(
         [docs.schema[key]] + [T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))]
