@@ -214,3 +214,31 @@ def test_like_documents_meet_in_a_shard(spark, monkeypatch):
     assert sum(sizes.values()) == sum({p["doc_id"]: p["doc_tokens"] for p in pieces}.values())
     mixed = [len(t) for k, t in topics.items() if sizes[k] == 512]
     assert mixed and np.mean(mixed) < 2.5, np.mean(mixed)
+
+
+def test_documents_of_each_term_are_counted_where_they_are_encoded(documents):
+    """Each task writes one row of counts, so no further pass over the ids is needed; places come for many documents at once."""
+    rows = packing.as_ids(documents.repartition(3), "doc_id", "text", 1, tokens.DEFAULT_VOCABULARY, 0.2, "<u2").cache()
+    assert rows.where("df IS NOT NULL").count() == 3
+    found, total = packing.corpus_of(rows, "<u2")
+    docs = [np.frombuffer(r["ids"], "<u2") for r in rows.where("row IS NOT NULL").collect()]
+    plain = packing.Corpus.of(docs)
+    assert (found.n, total) == (len(docs), sum(map(len, docs))) and np.array_equal(found.df, plain.df)
+    for ids, place in zip(docs[:50], found.places(docs[:50]), strict=True):
+        term, tf = np.unique(ids, return_counts=True)
+        weight = found.weights(term, tf, float(len(ids)))
+        best = np.argsort(-weight, kind="stable")[: packing.QUERY_TERMS]
+        assert place == np.sort(found.rank[term[best[weight[best] > 0]]]).tobytes()
+
+
+def test_neighbours_come_in_order_though_few_are_sorted_at_a_time():
+    """Copies of equal score, by place, and more neighbours than are looked at first."""
+    rng = np.random.default_rng(9)
+    docs = [rng.integers(0, 60, rng.integers(10, 60)).astype("<u2") for _ in range(150)] * 2
+    index, unused = packing.Index(docs), np.ones(300, bool)
+    for seed in range(20):
+        unused[seed] = False
+        terms = np.unique(docs[seed])
+        scores = index._exact(terms, np.arange(300))
+        found = np.flatnonzero((scores > 0) & unused)
+        assert list(index.best_first(seed, unused)) == found[np.argsort(-scores[found], kind="stable")].tolist()

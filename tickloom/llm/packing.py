@@ -30,7 +30,11 @@ SHARD_IDS = 4_000_000
 #: A document is dealt to a shard by its terms of largest BM25 weight, the commonest of them first.
 QUERY_TERMS = 16
 #: Terms that more than one in so many documents of a shard have are held as rows of weights, up to so many bytes.
-DENSE, DENSE_BYTES = 16, 24 << 20
+DENSE, DENSE_BYTES = 16, 12 << 20
+#: So many neighbours are put in order first.
+FIRST_BEST = 16
+#: Documents whose terms are counted together.
+BATCH_DOCS = 256
 #: Characters that are encoded together, scaled as the memory for known words is.
 BATCH_CHARS = 2_400_000
 K1, B = 1.2, 0.75
@@ -38,13 +42,22 @@ K1, B = 1.2, 0.75
 PER_PARTITION = 1 << 36
 
 
-def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids in order, and how often each is there (a stable sort of 16 bits is a radix sort)."""
-    ids = np.sort(ids, kind="stable")
-    first = np.ones(len(ids) + 1, bool)
-    np.not_equal(ids[1:], ids[:-1], out=first[1:-1])
+def term_counts(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents whose ids lie in a row: how many distinct ids each has, and these, in order, with how often each is there."""
+    narrow = ids.dtype.itemsize == 2 and len(lengths) <= 1 << 16
+    kind, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
+    keys = np.repeat(np.arange(len(lengths), dtype=kind) << kind(shift), lengths)
+    keys |= ids
+    keys.sort()
+    first = np.ones(len(keys) + 1, bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:-1])
     at = np.flatnonzero(first)
-    return ids[at[:-1]], np.diff(at)
+    keys = keys[at[:-1]]
+    return np.bincount((keys >> kind(shift)).astype(np.int64), minlength=len(lengths)), (keys & kind((1 << shift) - 1)).astype(ids.dtype), np.diff(at)
+
+
+def lengths_of(docs: list[np.ndarray]) -> np.ndarray:
+    return np.fromiter(map(len, docs), np.int64, len(docs))
 
 
 class Corpus:
@@ -63,12 +76,17 @@ class Corpus:
     def weights(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | float) -> np.ndarray:
         return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
 
-    def place(self, ids: np.ndarray) -> bytes:
-        """Where a document stands in the order of all: the ranks of its heaviest terms, the commonest first."""
-        term, tf = term_counts(ids)
-        weight = self.weights(term, tf, float(len(ids)))
-        best = np.argsort(-weight, kind="stable")[:QUERY_TERMS]
-        return np.sort(self.rank[term[best[weight[best] > 0]]]).tobytes()
+    def places(self, docs: list[np.ndarray]) -> list[bytes]:
+        """Where each document stands in the order of all: the ranks of its heaviest terms, the commonest first."""
+        length = lengths_of(docs)
+        sizes, term, tf = term_counts(np.concatenate(docs), length)
+        light, rank = -self.weights(term, tf, np.repeat(length, sizes).astype(float)), self.rank[term]
+        out, start = [], 0
+        for stop in sizes.cumsum().tolist():
+            best = light[start:stop].argsort(kind="stable")[:QUERY_TERMS] + start
+            out.append(np.sort(rank[best[light[best] < 0]]).tobytes())
+            start = stop
+        return out
 
 
 class Index:
@@ -76,45 +94,72 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         n = len(docs)
-        uniques = [term_counts(d) for d in docs]
-        sizes = np.array([len(u) for u, _ in uniques], np.int64)
-        term = np.concatenate([u for u, _ in uniques])
-        tf = np.concatenate([c for _, c in uniques]).astype(np.float64)
+        length = lengths_of(docs)
+        sizes, term, tf = term_counts(np.concatenate(docs), length)
         doc = np.repeat(np.arange(n), sizes)
-        length = np.array([len(d) for d in docs], np.float64)
         df = np.bincount(term)
-        weight = (corpus or Corpus.of(docs)).weights(term, tf, length[doc])
+        weight = (corpus or Corpus.of(docs)).weights(term, tf, length.astype(float)[doc])
         self.n, self.docs, self.starts = n, np.arange(n), np.concatenate([[0], sizes.cumsum()])
         self.term, self.weight = term, weight
         order = np.argsort(term, kind="stable")
         self.posting_doc, self.posting_weight = doc[order], weight[order]
         self.posting_at = np.concatenate([[0], df.cumsum()])
         # The commonest terms are rows of weights over all documents, which are added up faster than postings.
-        common = np.argsort(-df, kind="stable")[: DENSE_BYTES // (8 * max(1, n))]
+        common = np.argsort(-df, kind="stable")[: DENSE_BYTES // (4 * max(1, n))]
         common = common[df[common] * DENSE > n]
-        self.row_of = np.full(len(df), -1)
+        self.row_of, self.wanted = np.full(len(df), -1), np.zeros(len(df), bool)
         self.row_of[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), n))
+        self.rows = np.zeros((len(common), n), np.float32)
         for k, t in enumerate(common.tolist()):
             at = slice(self.posting_at[t], self.posting_at[t + 1])
             self.rows[k, self.posting_doc[at]] = self.posting_weight[at]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first; ties by place."""
+        return np.fromiter(self.best_first(seed, unused), np.int64)
+
+    def best_first(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """The neighbours one by one. Rough scores tell which are looked at first, exact ones put them in order."""
         a, b = self.starts[seed], self.starts[seed + 1]
         terms = self.term[a:b][self.weight[a:b] > 0]
         if not len(terms):
-            return np.empty(0, np.int64)
-        if 3 * np.count_nonzero(unused) < 2 * self.n:
+            return
+        docs, rough = self._rough(terms, unused)
+        most, rounding = FIRST_BEST, 1e-6 + len(terms) * 2.0**-22
+        while len(docs):
+            bound = float(np.partition(rough, -most)[-most]) if len(docs) > 2 * most else 0.0
+            near = np.flatnonzero(rough >= bound)
+            scores = self._exact(terms, docs[near])
+            sure = scores >= bound * (1 + rounding)  # nothing else can come before these
+            yield from docs[near[sure]][np.argsort(-scores[sure], kind="stable")].tolist()
+            left = np.ones(len(docs), bool)
+            left[near[sure]] = False
+            docs, rough, most = docs[left], rough[left], 8 * most
+
+    def _rough(self, terms: np.ndarray, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unused documents that have one of the terms, by place, and their scores in 32 bits."""
+        if 5 * np.count_nonzero(unused) < 4 * self.n:
             self._drop(unused)
-        scores = np.zeros(self.n)
-        for row, start, stop in zip(self.row_of[terms].tolist(), self.posting_at[terms].tolist(), self.posting_at[terms + np.int64(1)].tolist(), strict=True):
-            if row >= 0:
-                scores += self.rows[row]
-            else:
-                scores[self.posting_doc[start:stop]] += self.posting_weight[start:stop]
+        row = self.row_of[terms]
+        rare = terms[row < 0]
+        start = self.posting_at[rare]
+        size = self.posting_at[rare + np.int64(1)] - start
+        at = np.repeat(start - (size.cumsum() - size), size)
+        at += np.arange(len(at))
+        scores = np.bincount(self.posting_doc[at], self.posting_weight[at], self.n).astype(np.float32)
+        scores += np.add.reduce(self.rows.take(row[row >= 0], axis=0), axis=0)
         found = np.flatnonzero((scores > 0) & unused[self.docs])
-        return self.docs[found[np.argsort(-scores[found], kind="stable")]]
+        return self.docs[found], scores[found]
+
+    def _exact(self, terms: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """The scores of documents: sums over the terms in order."""
+        size = self.starts[docs + 1] - self.starts[docs]
+        at = np.repeat(self.starts[docs] - (size.cumsum() - size), size)
+        at += np.arange(len(at))
+        self.wanted[terms] = True
+        held = np.flatnonzero(self.wanted[self.term[at]])
+        self.wanted[terms] = False
+        return np.bincount(np.repeat(np.arange(len(docs)), size)[held], self.weight[at[held]], len(docs))
 
     def _drop(self, unused: np.ndarray) -> None:
         """Used documents go from the postings and rows; ``docs`` are those that are left."""
@@ -156,7 +201,7 @@ def plan(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
             at = put(seed, at)
         last, seed = seed, -1
         if fill:
-            for other in index.neighbours(last, unused).tolist():
+            for other in index.best_first(last, unused):
                 unused[other] = False
                 stop = put(other, 0)
                 if not fill:
@@ -185,21 +230,33 @@ def id_type(vocabulary: str, end_id: int) -> str:
 
 
 def as_ids(docs: DataFrame, key: str, text: str, end_id: int, vocabulary: str, cache_share: float, narrow: str) -> DataFrame:
-    """``key``, ``ids`` (unsigned, little-endian, of type ``narrow``; closed by the end id), ``row`` (a number of its own)."""
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType())])
+    """``key``, ``ids`` (unsigned, little-endian, of type ``narrow``; closed by the end id), ``row`` (a number of its own).
+
+    Each task adds one row without ids and number, but with ``df``: how many of its documents have each id (unsigned 32-bit).
+    """
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType()), T.StructField("df", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, width = word_bpe(vocabulary, cache_share), np.dtype(narrow).itemsize
         gc.disable()
-        row = TaskContext.get().partitionId() * PER_PARTITION
+        row, df, key_type = TaskContext.get().partitionId() * PER_PARTITION, np.zeros(0, np.int64), pa.null()
         for batch in batches:
+            key_type = batch.schema.field(0).type
             for rows, texts in text_rows(batch, ["key"], "__text", int(BATCH_CHARS * cache_share)):
-                found, ends = bpe.encode_all(texts)
-                closed = np.insert(found.astype(narrow), ends, end_id)
-                offsets = np.concatenate([[0], (ends + np.arange(1, len(ends) + 1)) * width]).astype(np.int32)
-                ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(closed)])
-                yield pa.RecordBatch.from_arrays([rows.column(0), ids, pa.array(range(row, row + len(texts)), pa.int64())], schema.names)
+                found, ends = bpe.encode_all(texts, narrow)
+                closed = np.insert(found, ends, end_id)
+                bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+                for a in range(0, len(texts), BATCH_DOCS):
+                    at = bounds[a : a + BATCH_DOCS + 1]
+                    more = np.bincount(term_counts(closed[at[0] : at[-1]], np.diff(at))[1])
+                    if len(more) > len(df):
+                        df, more = more, df
+                    df[: len(more)] += more
+                ids = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(closed)])
+                yield pa.RecordBatch.from_arrays([rows.column(0), ids, pa.array(range(row, row + len(texts)), pa.int64()), pa.nulls(len(texts), pa.binary())], schema.names)
                 row += len(texts)
+        if len(df):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.array([b""]), pa.nulls(1, pa.int64()), pa.array([df.astype("<u4").tobytes()])], schema.names)
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
@@ -208,20 +265,18 @@ def corpus_of(rows: DataFrame, narrow: str) -> tuple[Corpus, int]:
     """The corpus of all documents, and how many ids it has. Its size is the vocabulary's."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, last = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        df = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                ids = np.frombuffer(raw.as_py(), narrow)
-                if (most := int(ids.max())) >= len(df):
-                    df, last = (np.concatenate([x, np.zeros(most + 1 - len(x), np.int64)]) for x in (df, last))
-                place = np.arange(len(ids))
-                last[ids] = place
-                df[ids[last[ids] == place]] += 1  # each term at its last place
+                more = np.frombuffer(raw.as_py(), "<u4").astype(np.int64)
+                if len(more) > len(df):
+                    df, more = more, df
+                df[: len(more)] += more
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(df[term], pa.int64())], ["term", "df"])
 
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
-    counts = rows.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    n, total = rows.agg(F.count("row"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()
+    counts = rows.where("df IS NOT NULL").select("df").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(max([0, *counts["term"].to_pylist()]) + 1, np.int64)
     df[counts["term"].to_numpy()] = counts["df"].to_numpy()
     total //= np.dtype(narrow).itemsize
@@ -234,7 +289,8 @@ def in_order(rows: DataFrame, corpus, shards: int, narrow: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = [corpus.value.place(np.frombuffer(raw.as_py(), narrow)) for raw in batch.column(1)]
+            ids = [np.frombuffer(raw.as_py(), narrow) for raw in batch.column(1)]
+            places = [p for a in range(0, len(ids), BATCH_DOCS) for p in corpus.value.places(ids[a : a + BATCH_DOCS])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.binary())], schema.names)
 
     return rows.mapInArrow(run, schema).repartitionByRange(shards, "place", "row").sortWithinPartitions("place", "row")
@@ -254,6 +310,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int =
     narrow = id_type(vocabulary, end_id)
     rows = written(as_ids(docs, key, text, end_id, vocabulary, cache_share, narrow), "ids")
     found, total = corpus_of(rows, narrow)
+    rows = rows.where("row IS NOT NULL").drop("df")
     corpus = docs.sparkSession.sparkContext.broadcast(found)
     shards = max(1, -(-found.n // SHARD_DOCS), -(-total // SHARD_IDS))
 

@@ -69,21 +69,21 @@ class WordBpe:
             text = text.lower()
         return b"".join(map(self.chunks.__getitem__, text.encode().split()))
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The unsigned 32-bit ids of the texts in a row, and where those of each text end. Each distinct chunk is looked up once."""
+    def encode_all(self, texts: list[str], kind: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts in a row (unsigned, of type ``kind``), and where those of each text end. Each distinct chunk is looked up once."""
         texts = [t.lower() if SIMPLE_TEXT.fullmatch(t) else t for t in texts]
         words = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         coded = words.flatten().dictionary_encode()
         chunks = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
         ids = [self.chunks[c] if c else b"" for c in chunks]  # white space at either end of a text gives an empty chunk
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, starts = np.frombuffer(b"".join(ids), "<u4"), sizes.cumsum() - sizes
-        which = coded.indices.to_numpy()
-        size = sizes[which]
-        end = size.cumsum()
-        at = np.repeat(starts[which] - (end - size), size)
-        at += np.arange(len(at))
-        return flat[at], np.concatenate([[0], end])[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
+        width = np.dtype(kind).itemsize
+        starts = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4 * width, out=starts[1:])
+        known = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(starts), pa.py_buffer(np.frombuffer(b"".join(ids), "<u4").astype(kind))])
+        taken = known.take(coded.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) // width if len(taken) else np.zeros(1, np.int64)
+        found = np.frombuffer(taken.buffers()[2], kind, ends[-1]) if ends[-1] else np.empty(0, kind)
+        return found, ends[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
 
     def _learn(self, chunk: bytes) -> bytes:
         if chunk.isalpha() and chunk.islower():  # ASCII letters: a piece by themselves
