@@ -35,8 +35,8 @@ def train_and_backtest(
     """Train every symbol's models on its first part, weight them by their accuracy on the rest, and
     backtest the weighted predictions of the rest.
 
-    Rows, models, scores and predictions are written below ``folder``; the metrics are those of the
-    predictions that were written. Returns one row of metrics per symbol.
+    Bars, rows, models, scores and predictions are written below ``folder``, so what gives the bars runs once;
+    the metrics are those of the predictions that were written. Returns one row of metrics per symbol.
     """
     spark = bars.sparkSession
 
@@ -44,6 +44,7 @@ def train_and_backtest(
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
+    bars = kept(bars, "bars")
     rows = kept(train_rows(bars, names, sentiment, share, **layout), "rows")
     models = kept(fit_groups(rows, specs, held=F.col("part") == "val", group_rows=layout.get("group_rows")), "models")
     val = kept(score_groups(rows, models, specs, keep=("target", "part")), "scores").where("part = 'val'")
