@@ -242,3 +242,10 @@ def test_neighbours_come_in_order_though_few_are_sorted_at_a_time():
         scores = index._exact(terms, np.arange(300))
         found = np.flatnonzero((scores > 0) & unused)
         assert list(index.best_first(seed, unused)) == found[np.argsort(-scores[found], kind="stable")].tolist()
+
+
+def test_long_documents_are_not_counted_together():
+    lengths = np.array([packing.BATCH_IDS * 3, 5, packing.BATCH_IDS - 5, 1, *[2] * 600])
+    parts = list(packing.runs_of(lengths))
+    assert parts[:2] == [(0, 1), (1, 3)] and parts[-1][1] == len(lengths) and all(a < b for a, b in parts)
+    assert [a for a, _ in parts[1:]] == [b for _, b in parts[:-1]] and max(b - a for a, b in parts) == packing.BATCH_DOCS

@@ -33,8 +33,8 @@ QUERY_TERMS = 16
 DENSE, DENSE_BYTES = 16, 12 << 20
 #: So many neighbours are put in order first.
 FIRST_BEST = 16
-#: Documents whose terms are counted together.
-BATCH_DOCS = 256
+#: Documents whose terms are counted together, and about how many ids these have at most.
+BATCH_DOCS, BATCH_IDS = 256, 400_000
 #: Characters that are encoded together, scaled as the memory for known words is.
 BATCH_CHARS = 2_400_000
 K1, B = 1.2, 0.75
@@ -60,6 +60,17 @@ def lengths_of(docs: list[np.ndarray]) -> np.ndarray:
     return np.fromiter(map(len, docs), np.int64, len(docs))
 
 
+def runs_of(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Documents in runs of a bounded number of documents and ids (a longer document stands alone)."""
+    ends = lengths.cumsum()
+    a = 0
+    while a < len(lengths):
+        room = ends[a] - lengths[a] + BATCH_IDS
+        b = min(a + BATCH_DOCS, max(a + 1, int(np.searchsorted(ends, room, "right"))), len(lengths))
+        yield a, b
+        a = b
+
+
 class Corpus:
     """How many documents there are, their mean length, and how many have each term."""
 
@@ -246,8 +257,8 @@ def as_ids(docs: DataFrame, key: str, text: str, end_id: int, vocabulary: str, c
                 found, ends = bpe.encode_all(texts, narrow)
                 closed = np.insert(found, ends, end_id)
                 bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
-                for a in range(0, len(texts), BATCH_DOCS):
-                    at = bounds[a : a + BATCH_DOCS + 1]
+                for a, b in runs_of(np.diff(bounds)):
+                    at = bounds[a : b + 1]
                     more = np.bincount(term_counts(closed[at[0] : at[-1]], np.diff(at))[1])
                     if len(more) > len(df):
                         df, more = more, df
@@ -290,7 +301,7 @@ def in_order(rows: DataFrame, corpus, shards: int, narrow: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [np.frombuffer(raw.as_py(), narrow) for raw in batch.column(1)]
-            places = [p for a in range(0, len(ids), BATCH_DOCS) for p in corpus.value.places(ids[a : a + BATCH_DOCS])]
+            places = [p for a, b in runs_of(lengths_of(ids)) for p in corpus.value.places(ids[a:b])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.binary())], schema.names)
 
     return rows.mapInArrow(run, schema).repartitionByRange(shards, "place", "row").sortWithinPartitions("place", "row")
